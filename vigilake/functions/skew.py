@@ -42,27 +42,30 @@ def with_previous(
 
 def with_running(
     df: DataFrame, keys: Sequence[str], cell: Column, order: Sequence[str],
-    value: Column, name: str,
+    value: Column, name: str, before: bool = False, how: str = "sum",
 ) -> DataFrame:
-    """Adds the running sum of `value` under `keys`; `lit(1)` gives a row number."""
+    """Adds the running sum (or max) of `value` under `keys`; `lit(1)` gives a row number.
+
+    With `before` the row itself is left out, so the first row gets 0 (or NULL).
+    """
+    fold = {"sum": F.sum, "max": F.max}[how]
     celled = df.withColumn("_cell", cell).withColumn("_value", value)
-    totals = celled.groupBy(*keys, "_cell").agg(F.sum("_value").alias("_total"))
-    earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = totals.select(
-        *keys, "_cell", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset")
-    )
+    totals = celled.groupBy(*keys, "_cell").agg(fold("_value").alias("_total"))
+    first = Window.unboundedPreceding
+    earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(first, -1)
+    offsets = totals.select(*keys, "_cell", fold("_total").over(earlier).alias("_offset"))
     inside = (
         Window.partitionBy(*keys, "_cell").orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        .rowsBetween(first, -1 if before else Window.currentRow)
     )
-    return (
-        celled.withColumn("_inside", F.sum("_value").over(inside))
-        .join(offsets, [*keys, "_cell"], "left")
-        .withColumn(name, F.col("_offset") + F.col("_inside"))
-        .drop("_cell", "_value", "_inside", "_offset")
+    joined = celled.withColumn("_inside", fold("_value").over(inside)).join(
+        offsets, [*keys, "_cell"], "left"
     )
+    if how == "sum":
+        total = F.coalesce("_offset", F.lit(0)) + F.coalesce("_inside", F.lit(0))
+    else:
+        total = F.greatest("_offset", "_inside")
+    return joined.withColumn(name, total).drop("_cell", "_value", "_inside", "_offset")
 
 
 def exact_percentile(
