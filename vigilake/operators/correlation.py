@@ -39,6 +39,7 @@ from vigilake.constants import (
     TOPOLOGY_WEIGHT,
 )
 from vigilake.functions.skew import time_cell, with_running
+from vigilake.session import cut_lineage
 from vigilake.operators.graph import components, depths, graph_nodes, neighbours
 
 HOUR = 3600
@@ -88,7 +89,7 @@ def correlate(
         F.col("starts_at").alias("last_at"), "taken_at", "closing",
     )
     if order is None:
-        steps = _with_island(steps, window_s, threshold, close_after_s)
+        steps = _with_island(cut_lineage(steps), window_s, threshold, close_after_s)
     else:
         steps = steps.withColumn("island", F.concat_ws("|", "tenant", "component"))
     decisions = _decide(steps, edges, declared, window_s, threshold, close_after_s, order is None)
@@ -109,7 +110,7 @@ def _with_component(rows, edges, declared, threshold):
     bridges = known.join(first, "dedup_key").where(F.col("service") != F.col("_first")).select(
         "service", F.col("_first").alias("depends_on")
     )
-    links = edges.select("service", "depends_on").union(bridges.distinct())
+    links = cut_lineage(edges.select("service", "depends_on").union(bridges.distinct()))
     by_service = components(links, declared)
     by_key = known.join(by_service, "service").groupBy("dedup_key").agg(
         F.min("component").alias("_by_key")
@@ -157,7 +158,7 @@ def _correlate_reduced(rows, edges, declared, window_s, threshold, close_after_s
             "last_at", F.col("first.starts_at").alias("taken_at"), F.lit(False).alias("closing"),
         )
     )
-    steps = _with_island(steps, window_s, threshold, close_after_s)
+    steps = _with_island(cut_lineage(steps), window_s, threshold, close_after_s)
     decisions = _decide(steps, edges, declared, window_s, threshold, close_after_s, True)
     starts = runs.select("run").distinct()
     led = _with_epoch(
@@ -179,38 +180,49 @@ def _correlate_reduced(rows, edges, declared, window_s, threshold, close_after_s
 def _with_island(steps, window_s, threshold, close_after_s):
     """Adds `island`: rows in different islands cannot influence each other.
 
-    Works on one row per minute and one per key and stretch, both far fewer than
-    the alerts, and cuts those by time again where they run along a component.
+    A component's time line is cut at every silence longer than the closing time,
+    and inside such a stretch wherever a gap is wider than the time bound and no
+    key has alerts on both sides. Both cuts are found on one row per minute.
     """
     base = ["tenant", "component"]
     if threshold <= 0.6:
         return steps.withColumn("island", F.concat_ws("|", *base))
     slack = window_s * (1 - (threshold - 0.6) / 0.4) + 1
-    minute = time_cell(F.col("first_at"), MINUTE)
-    day = lambda col: time_cell(F.col(col), 86_400)
-    steps = steps.withColumn("minute", minute)
-    minutes = steps.groupBy(*base, "minute").agg(
+    micros = lambda start, end: F.unix_micros(end) - F.unix_micros(start)
+    steps = steps.withColumn("minute", time_cell(F.col("first_at"), MINUTE))
+    busy = steps.groupBy(*base, "minute", "dedup_key").agg(
         F.min("first_at").alias("lo"), F.max("last_at").alias("hi")
     )
-    gapped = with_running(minutes, base, day("lo"), ["minute"], F.col("hi"), "before", True, "max")
-    silent = F.unix_micros("lo") - F.unix_micros("before") > close_after_s * 1_000_000
-    stretches = with_running(
-        gapped, base, day("lo"), ["minute"], F.coalesce(silent, F.lit(True)).cast("int"), "stretch"
-    ).select(*base, "minute", "stretch")
-    steps = steps.join(stretches, [*base, "minute"])
-    group = [*base, "stretch"]
-    spans = steps.groupBy(*group, "dedup_key").agg(
-        F.min("first_at").alias("lo"), F.max("last_at").alias("hi")
+    earlier = lambda keys: (
+        Window.partitionBy(*keys).orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    numbered = lambda keys, flag: F.sum(F.coalesce(flag, F.lit(True)).cast("int")).over(
+        Window.partitionBy(*keys).orderBy("minute")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    silent = micros(F.max("hi").over(earlier(base)), F.col("lo")) > close_after_s * 1_000_000
+    stretches = (
+        busy.groupBy(*base, "minute").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .withColumn("silent", silent)
+        .select(*base, "minute", numbered(base, F.col("silent")).alias("stretch"))
+    )
+    part = [*base, "stretch"]
+    again = F.lead("lo").over(Window.partitionBy(*part, "dedup_key").orderBy("minute"))
+    apart = micros(F.max("reach").over(earlier(part)), F.col("lo")) > int(slack * 1_000_000)
+    islands = (
+        busy.join(stretches, [*base, "minute"])
+        .withColumn("reach", F.greatest("hi", again))
+        .groupBy(*part, "minute")
+        .agg(F.min("lo").alias("lo"), F.max("reach").alias("reach"))
+        .withColumn("apart", apart)
+        .withColumn("number", numbered(part, F.col("apart")))
+        .select(
+            *base, "minute",
+            F.concat_ws("|", *base, F.col("stretch").cast("string"), F.col("number").cast("string"))
+            .alias("island"),
+        )
     )
-    order = ["lo", "dedup_key"]
-    reach = with_running(spans, group, day("lo"), order, F.col("hi"), "before", True, "max")
-    apart = F.unix_micros("lo") - F.unix_micros("before") > int(slack * 1_000_000)
-    numbered = with_running(
-        reach, group, day("lo"), order, F.coalesce(apart, F.lit(True)).cast("int"), "number"
-    ).select(*group, "dedup_key", "number")
-    return steps.join(numbered, [*group, "dedup_key"]).withColumn(
-        "island", F.concat_ws("|", "tenant", "component", "stretch", "number")
-    ).drop("minute", "stretch", "number")
+    return steps.join(islands, [*base, "minute"]).drop("minute")
 
 
 def _decide(steps, edges, declared, window_s, threshold, close_after_s, in_time_order):
@@ -222,7 +234,7 @@ def _decide(steps, edges, declared, window_s, threshold, close_after_s, in_time_
         .sortWithinPartitions("island", "taken_at", "closing", "first_id")
     )
     loop = _Loop(window_s, threshold, close_after_s, in_time_order)
-    return ready.mapInPandas(loop.run, DECISION_DDL)
+    return cut_lineage(ready.mapInPandas(loop.run, DECISION_DDL))
 
 
 class _Incident:

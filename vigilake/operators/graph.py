@@ -87,10 +87,9 @@ def components(edges: DataFrame, declared: DataFrame | None = None) -> DataFrame
     Each round takes the smallest label among neighbours and then the label of
     that label, so long chains shorten by doubling.
     """
-    near = cut_lineage(undirected(edges))
-    labels = cut_lineage(
-        graph_nodes(edges, declared).withColumn("component", F.col("service"))
-    )
+    edges = cut_lineage(edges.select("service", "depends_on"))
+    near = undirected(edges)
+    labels = graph_nodes(edges, declared).withColumn("component", F.col("service"))
     while True:
         heard = (
             near.join(labels.select(F.col("service").alias("a"), "component"), "a")
