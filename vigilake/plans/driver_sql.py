@@ -117,6 +117,8 @@ def with_views(sql: str) -> str:
         return sql.strip()
     body = ", ".join(f"{name} AS ({VIEWS[name].strip()})" for name in views)
     text = sql.strip()
+    if text.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {body}, {text[15:]}"
     if text.upper().startswith("WITH "):
         return f"WITH {body}, {text[5:]}"
     return f"WITH {body} {text}"
