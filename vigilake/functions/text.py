@@ -7,7 +7,7 @@ from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
@@ -49,21 +49,31 @@ def number_spellings(values: pd.Series) -> pd.Series:
     return values.map(spell)
 
 
-def lexical_features(text: Column) -> Column:
-    """Word and character-trigram features, one array element per occurrence."""
+def with_lexical_features(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds word and character-trigram features, one array element per occurrence.
+
+    Built in stages: an expression used inside an array function would
+    otherwise be computed again for every element.
+    """
     words = F.filter(
         F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)),
         lambda w: ~w.isin(*EXEMPLAR_STOPWORDS),
     )
-    joined = F.array_join(words, " ")
     grams = F.when(
-        F.length(joined) >= NGRAM,
+        F.length("_joined") >= NGRAM,
         F.transform(
-            F.sequence(F.lit(1), F.length(joined) - (NGRAM - 1)),
-            lambda i: F.concat(F.lit("c:"), joined.substr(i, F.lit(NGRAM))),
+            F.sequence(F.lit(1), F.length("_joined") - (NGRAM - 1)),
+            lambda i: F.concat(F.lit("c:"), F.col("_joined").substr(i, F.lit(NGRAM))),
         ),
     ).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.transform(words, lambda w: F.concat(F.lit("w:"), w)), grams)
+    return (
+        df.withColumn("_words", words)
+        .withColumn("_joined", F.array_join("_words", " "))
+        .withColumn(
+            name, F.concat(F.transform("_words", lambda w: F.concat(F.lit("w:"), w)), grams)
+        )
+        .drop("_words", "_joined")
+    )
 
 
 def exemplar_vectors() -> list[tuple[int, str, dict[str, float]]]:

@@ -55,7 +55,8 @@ def walk_claims(drafts: DataFrame, key: str = "incident_id") -> DataFrame:
             + ",owner:string,priority:string,category:string,at:string>>"
         )
         parts.append(F.coalesce(F.transform(items, claim).cast(typed), F.array().cast(typed)))
-    return drafts.select(key, F.explode(F.concat(*parts)).alias("c")).select(key, "c.*")
+    walked = drafts.select(key, F.explode_outer(F.concat(*parts)).alias("c"))
+    return walked.where(F.col("c").isNotNull()).select(key, "c.*")
 
 
 def trim_transcript(

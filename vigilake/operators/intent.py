@@ -13,19 +13,23 @@ from vigilake.constants import (
     SUMMARY_CHARS,
 )
 from vigilake.functions.evidence import timeline_ref
-from vigilake.functions.text import exemplar_vectors, lexical_features, strip
+from vigilake.functions.text import exemplar_vectors, strip, with_lexical_features
 from vigilake.functions.times import chat_timestamp
 
 MIN_CHARS = 3
 
 
-def rule_intent(text: Column) -> Column:
-    """Struct (intent, confidence, summary) from the first matching rule.
+def with_rule_intent(messages: DataFrame, name: str = "rule") -> DataFrame:
+    """Adds struct (intent, confidence, summary) from the first rule `text` matches.
 
     Very short or emoji-only messages are noise for certain; text no rule knows
     is noise with half confidence.
     """
-    body = strip(F.coalesce(text, F.lit("")))
+    staged = messages.withColumn("_body", strip(F.coalesce("text", F.lit(""))))
+    return staged.withColumn(name, _rule_intent(F.col("_body"))).drop("_body")
+
+
+def _rule_intent(body: Column) -> Column:
     summary = F.substring(body, 1, SUMMARY_CHARS)
     said = lambda intent, sure, words: F.struct(
         F.lit(intent).alias("intent"), F.lit(sure).alias("confidence"), words.alias("summary")
@@ -55,7 +59,7 @@ def exemplar_scores(messages: DataFrame, keys: list[str]) -> DataFrame:
         [(f, [w.get(i, 0.0) for i in range(len(phrases))]) for f, w in weights.items()],
         "feature STRING, weights ARRAY<DOUBLE>",
     )
-    features = messages.select(*keys, lexical_features(F.col("text")).alias("_f"))
+    features = with_lexical_features(messages, "text", "_f").select(*keys, "_f")
     # squared length of the count vector: each occurrence adds 2 * (times seen before) + 1
     runs = F.aggregate(
         F.array_sort("_f"),
@@ -67,7 +71,7 @@ def exemplar_scores(messages: DataFrame, keys: list[str]) -> DataFrame:
         ),
     )["sq"]
     hits = features.withColumn("_sq", runs).select(
-        *keys, "_sq", F.explode("_f").alias("feature")
+        *keys, "_sq", F.explode_outer("_f").alias("feature")  # outer: no filter re-computes _f
     ).join(F.broadcast(vocabulary), "feature")
     sums = hits.groupBy(*keys).agg(
         F.first("_sq").alias("_sq"),
@@ -89,7 +93,7 @@ def exemplar_scores(messages: DataFrame, keys: list[str]) -> DataFrame:
 
 def classify(messages: DataFrame, keys: list[str], threshold: float = EXEMPLAR_THRESHOLD):
     """Adds `intent`, `confidence` and `summary`; examples only speak where no rule did."""
-    ruled = messages.withColumn("_rule", rule_intent(F.col("text")))
+    ruled = with_rule_intent(messages, "_rule")
     open_ = (F.col("_rule.intent") == "noise") & (F.col("_rule.confidence") < 1.0)
     scored = exemplar_scores(ruled.where(open_).select(*keys, "text"), keys).where(
         F.col("score") >= threshold

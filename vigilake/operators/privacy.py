@@ -70,8 +70,8 @@ def _resolve(candidates: Column) -> Column:
 def pii_spans(texts: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per personal value: keys, order, class, value, start, end (0-based)."""
     matched = texts.select(*keys, *order, _candidates("text").alias("_c")).where(F.size("_c") > 0)
-    found = matched.select(*keys, *order, F.explode(_resolve(F.col("_c"))).alias("s"))
-    return found.select(*keys, *order, "s.class", "s.value", "s.start", "s.end")
+    found = matched.select(*keys, *order, F.explode_outer(_resolve(F.col("_c"))).alias("s"))
+    return found.where(F.col("s").isNotNull()).select(*keys, *order, "s.class", "s.value", "s.start", "s.end")
 
 
 def token_map(spans: DataFrame, group: str, order: list[str]) -> DataFrame:
@@ -131,12 +131,11 @@ def restore(texts: DataFrame, keys: list[str], group: str, mapping: DataFrame) -
     values = used.join(mapping.select(group, "token", "value"), [group, "token"], "left").groupBy(
         *keys
     ).agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("value", "token").alias("v")))).alias("_v"))
-    gaps = F.split("redacted", pattern, -1)
-    woven = F.aggregate(
-        F.sequence(F.lit(0), F.size(gaps) - 1), F.lit(""),
-        lambda acc, i: F.concat(acc, F.get(gaps, i), F.coalesce(F.get(F.col("_v"), i)["v"], F.lit(""))),
+    pieces = F.zip_with(
+        F.split("redacted", pattern, -1), F.coalesce("_v", F.array().cast("array<struct<at:int,v:string>>")),
+        lambda gap, token: F.concat(gap, F.coalesce(token["v"], F.lit(""))),
     )
-    return texts.join(values, keys, "left").withColumn("restored", woven).drop("_v")
+    return texts.join(values, keys, "left").withColumn("restored", F.array_join(pieces, "")).drop("_v")
 
 
 def redaction_audit(spans: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from vigilake.constants import (
     STEP_MIN_TOKENS,
 )
 
-PATTERNS_PER_PASS = 200
+PATTERNS_PER_PASS = 100
 
 
 def match_runbooks(incidents: DataFrame, runbooks: DataFrame) -> DataFrame:

@@ -143,8 +143,8 @@ _SURE = " ".join(f"WHEN '{kind}' THEN {confidence}" for kind, _, confidence in I
     SELECT doc_id, CASE kind WHEN 'sure' THEN 'noise' ELSE kind END AS intent,
            CAST(CASE kind WHEN 'sure' THEN 1.0 WHEN 'noise' THEN 0.5 {_SURE} END AS DOUBLE) AS confidence FROM k""")
 def _(v):
-    return v.table("documents").select("doc_id", intent.rule_intent(F.col("text")).alias("r")).select(
-        "doc_id", "r.intent", "r.confidence"
+    return intent.with_rule_intent(v.table("documents").select("doc_id", "text")).select(
+        "doc_id", "rule.intent", "rule.confidence"
     )
 
 
@@ -198,10 +198,10 @@ def _(v):
 
 
 @query("runbook_match", """
-    WITH b AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey) AS position,
-                      '(?i)' || replace(p_name, ' ', '|') AS pat,
-                      CASE WHEN p_size > 25 THEN 'sev' || (1 + p_size % 4) END AS sev,
-                      CASE WHEN p_size % 3 = 0 THEN p_type END AS svc FROM part),
+    WITH k AS (SELECT p_brand, min(p_partkey) AS id, min(p_name) AS low, max(p_name) AS high, max(p_size) % 4 AS size,
+                      min(p_type) AS kind, count(*) AS n FROM part GROUP BY p_brand),
+    b AS (SELECT id, id AS position, '(?i)' || upper(low) || '|' || split_part(high, ' ', 1) AS pat,
+                 CASE WHEN n % 2 = 0 THEN 'sev' || (1 + size) END AS sev, CASE WHEN id % 3 = 0 THEN kind END AS svc FROM k),
     i AS (SELECT DISTINCT p_name AS name, 'sev' || (1 + p_partkey % 4) AS severity, lower(p_type) AS service FROM part),
     m AS (SELECT i.*, b.id, position, 1 + CASE WHEN sev IS NULL THEN 0 ELSE 1 END
                  + CASE WHEN svc IS NULL THEN 0 ELSE 2 END AS score
@@ -212,12 +212,14 @@ def _(v):
         ON k = 1 AND r.name = p_name AND r.severity = 'sev' || (1 + p_partkey % 4) AND r.service = lower(p_type)""")
 def _(v):
     part = v.table("part")
-    books = part.select(
-        F.col("p_partkey").alias("id"), F.col("p_partkey").alias("position"),
-        F.replace("p_name", F.lit(" "), F.lit("|")).alias("alert_pattern"),
-        F.when(F.col("p_size") > 25, F.concat(F.lit("sev"), (1 + F.col("p_size") % 4).cast("string")))
-        .alias("severity_filter"),
-        F.when(F.col("p_size") % 3 == 0, F.col("p_type")).alias("service_filter"),
+    books = part.groupBy("p_brand").agg(
+        F.min("p_partkey").alias("id"), F.min("p_name").alias("low"), F.max("p_name").alias("high"),
+        (F.max("p_size") % 4).alias("size"), F.min("p_type").alias("kind"), F.count("*").alias("n"),
+    ).select(
+        "id", F.col("id").alias("position"),
+        F.concat(F.upper("low"), F.lit("|"), F.split_part("high", F.lit(" "), F.lit(1))).alias("alert_pattern"),
+        F.when(F.col("n") % 2 == 0, F.concat(F.lit("sev"), (1 + F.col("size")).cast("string"))).alias("severity_filter"),
+        F.when(F.col("id") % 3 == 0, F.col("kind")).alias("service_filter"),
     )
     raised = part.select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("root_signal"),
