@@ -232,12 +232,24 @@ def _decide(steps, edges, declared, window_s, threshold, close_after_s, in_time_
         steps.join(near, "service", "left")
         .repartition("island")
         .sortWithinPartitions("island", "taken_at", "closing", "first_id")
+        .drop("taken_at")
     )
-    loop = _Loop(window_s, threshold, close_after_s, in_time_order)
+    loop = Loop(window_s, threshold, close_after_s, in_time_order)
     return cut_lineage(ready.mapInPandas(loop.run, DECISION_DDL))
 
 
-class _Incident:
+def typed_rows(batch: pd.DataFrame):
+    """Rows with neighbour sets and missing services as None."""
+    batch["near"] = [None if v is None else frozenset(v) for v in batch["near"]]
+    batch["service"] = [v if isinstance(v, str) else None for v in batch["service"]]
+    return batch.itertuples(index=False)
+
+
+def decisions(rows: list) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[part.split()[0] for part in DECISION_DDL.split(", ")])
+
+
+class Incident:
     __slots__ = ("id", "rank", "lo", "hi", "services", "labels", "closed")
 
     def __init__(self, row):
@@ -256,7 +268,7 @@ class _Incident:
                 self.labels.setdefault(name, value)
 
 
-class _Loop:
+class Loop:
     """Sequential part of the job: sees rows of one island after another, in order."""
 
     def __init__(self, window_s, threshold, close_after_s, in_time_order):
@@ -267,31 +279,34 @@ class _Loop:
         island, holders, opened = None, {}, []
         for batch in batches:
             out = []
-            batch["near"] = [None if v is None else frozenset(v) for v in batch["near"]]
-            batch["service"] = [v if isinstance(v, str) else None for v in batch["service"]]
-            for row in batch.itertuples(index=False):
+            for row in typed_rows(batch):
                 if row.island != island:
                     island, holders, opened = row.island, {}, []
-                holder = holders.get(row.dedup_key)
-                if row.closing:
-                    if holder is not None:
-                        holder.closed = True
-                    continue
-                kind, score, why = "attached", None, None
-                if holder is None or self.ended(holder, row):
-                    if self.in_time_order:
-                        opened = [i for i in opened if not self.ended(i, row)]
-                    holder, score, why = self.best(opened, row)
-                    kind = "merged"
-                    if holder is None:
-                        kind, score, why = "new", None, None
-                        holder = _Incident(row)
-                        opened.append(holder)
-                    holders[row.dedup_key] = holder
-                holder.absorb(row)
-                out.append((row.first_id, row.dedup_key, holder.id, row.first_at, kind, score, why))
-            columns = [part.split()[0] for part in DECISION_DDL.split(", ")]
-            yield pd.DataFrame(out, columns=columns)
+                if self.in_time_order and row.dedup_key not in holders:
+                    opened[:] = [i for i in opened if not self.ended(i, row)]
+                decision = self.step(holders, opened, row)
+                if decision is not None:
+                    out.append(decision)
+            yield decisions(out)
+
+    def step(self, holders: dict, opened: list, row):
+        """Takes one row into the open incidents; returns its decision, None for a closure."""
+        holder = holders.get(row.dedup_key)
+        if row.closing:
+            if holder is not None:
+                holder.closed = True
+            return None
+        kind, score, why = "attached", None, None
+        if holder is None or self.ended(holder, row):
+            holder, score, why = self.best(opened, row)
+            kind = "merged"
+            if holder is None:
+                kind, score, why = "new", None, None
+                holder = Incident(row)
+                opened.append(holder)
+            holders[row.dedup_key] = holder
+        holder.absorb(row)
+        return row.first_id, row.dedup_key, holder.id, row.first_at, kind, score, why
 
     def ended(self, incident, row):
         return incident.closed or row.first_at - incident.hi > self.close_after

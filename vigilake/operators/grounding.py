@@ -23,38 +23,39 @@ from vigilake.functions.text import number_spellings, strip
 CITATIONS = "array<struct<kind:string,ref:string>>"
 
 
+CLAIM = (
+    f"array<struct<field:int,position:int,path:string,text:string,citations:{CITATIONS},"
+    "owner:string,priority:string,category:string,at:string>>"
+)
+
+
+def _claims_of(name: str, order: int):
+    """The claims of one draft field as an array in the common shape."""
+    field, single = F.col("draft")[name], name == "root_cause_hypothesis"
+    items = F.when(field.isNotNull(), F.array(field)) if single else field
+    nothing = F.lit(None).cast("string")
+    acted, timed = name == "action_items", name == "timeline"
+
+    def shaped(claim, i):
+        path = F.lit(name) if single else F.concat(F.lit(name + "["), i.cast("string"), F.lit("]"))
+        details = [claim[c] if acted else nothing for c in ("owner", "priority", "category")]
+        return F.struct(
+            F.lit(order).alias("field"), i.alias("position"), path.alias("path"),
+            claim["description" if acted or timed else "text"].alias("text"),
+            claim["citations"].alias("citations"), details[0].alias("owner"),
+            details[1].alias("priority"), details[2].alias("category"),
+            (claim["at"] if timed else nothing).alias("at"),
+        )
+
+    return F.coalesce(F.transform(items, shaped).cast(CLAIM), F.array().cast(CLAIM))
+
+
 def walk_claims(drafts: DataFrame, key: str = "incident_id") -> DataFrame:
-    """One row per claim of the struct column `draft`: key, seq, path, text, citations, owner.
+    """One row per claim of the struct column `draft`: key, field, position, path, text, citations, owner.
 
     The seven fields are laid end to end as one array and exploded once.
     """
-    parts = []
-    for order, name in enumerate(CLAIM_FIELDS):
-        field = F.col("draft")[name]
-        single = name == "root_cause_hypothesis"
-        items = F.when(field.isNotNull(), F.array(field)) if single else field
-        body = "description" if name in ("timeline", "action_items") else "text"
-        extra = (
-            (lambda c: (c["owner"], c["priority"], c["category"])) if name == "action_items"
-            else (lambda c: (F.lit(None).cast("string"),) * 3)
-        )
-        at = (lambda c: c["at"]) if name == "timeline" else (lambda c: F.lit(None).cast("string"))
-
-        def claim(c, i, name=name, order=order, single=single, body=body, extra=extra, at=at):
-            path = F.lit(name) if single else F.concat(F.lit(name + "["), i.cast("string"), F.lit("]"))
-            owner, priority, category = extra(c)
-            return F.struct(
-                F.lit(order).alias("field"), i.cast("int").alias("position"), path.alias("path"),
-                c[body].alias("text"), c["citations"].cast(CITATIONS).alias("citations"),
-                owner.alias("owner"), priority.alias("priority"), category.alias("category"),
-                at(c).alias("at"),
-            )
-
-        typed = (
-            "array<struct<field:int,position:int,path:string,text:string,citations:" + CITATIONS
-            + ",owner:string,priority:string,category:string,at:string>>"
-        )
-        parts.append(F.coalesce(F.transform(items, claim).cast(typed), F.array().cast(typed)))
+    parts = [_claims_of(name, order) for order, name in enumerate(CLAIM_FIELDS)]
     walked = drafts.select(key, F.explode_outer(F.concat(*parts)).alias("c"))
     return walked.where(F.col("c").isNotNull()).select(key, "c.*")
 

@@ -19,8 +19,8 @@ def match_runbooks(incidents: DataFrame, runbooks: DataFrame) -> DataFrame:
     """Best runbook per incident: id, runbook_id, score, matched_on.
 
     `incidents` has id, root_signal, alertname, severity, service; `runbooks`
-    has id, position, alert_pattern, severity_filter, service_filter. The root
-    signal decides; the alert name is only asked when nothing matched it.
+    has id, position (anything that sorts, such as the file name), alert_pattern,
+    severity_filter, service_filter. The root signal decides; the alert name is only asked when nothing matched it.
 
     Incidents are reduced to their distinct situations first. Patterns come in
     passes of a fixed number as literals, so each compiles once and a large
@@ -34,8 +34,9 @@ def match_runbooks(incidents: DataFrame, runbooks: DataFrame) -> DataFrame:
     )
     passes, batch = [], []
     columns = ["id", "position", "alert_pattern", "severity_filter", "service_filter"]
-    for row in runbooks.select(*columns).orderBy("position", "id").toLocalIterator():
-        batch.append(row)
+    ordered = runbooks.select(*columns).orderBy("position", "id")
+    for place, row in enumerate(ordered.toLocalIterator()):
+        batch.append((place, row))
         if len(batch) == PATTERNS_PER_PASS:
             passes.append(_pass(asked, batch))
             batch = []
@@ -74,11 +75,11 @@ def _pass(asked: DataFrame, batch: list) -> DataFrame:
         F.when(
             _applies(row),
             F.struct(
-                F.lit(-_score(row)).alias("neg_score"), F.lit(int(row.position)).alias("position"),
+                F.lit(-_score(row)).alias("neg_score"), F.lit(place).alias("position"),
                 F.lit(int(row.id)).alias("runbook_id"),
             ),
         )
-        for row in batch
+        for place, row in batch
     ]
     nothing = F.lit(None).cast("struct<neg_score:int,position:int,runbook_id:int>")
     found = F.array_min(F.array_compact(F.array(*options))) if options else nothing
