@@ -258,6 +258,16 @@ class Incident:
         self.services, self.labels = {}, {}
         self.absorb(row)
 
+    def plain(self):
+        return tuple(getattr(self, name) for name in self.__slots__)
+
+    @classmethod
+    def of(cls, plain):
+        incident = cls.__new__(cls)
+        for name, value in zip(cls.__slots__, plain):
+            setattr(incident, name, value)
+        return incident
+
     def absorb(self, row):
         self.lo, self.hi = min(self.lo, row.first_at), max(self.hi, row.last_at)
         self.rank = max(self.rank, row.severity_rank)
@@ -282,8 +292,8 @@ class Loop:
             for row in typed_rows(batch):
                 if row.island != island:
                     island, holders, opened = row.island, {}, []
-                if self.in_time_order and row.dedup_key not in holders:
-                    opened[:] = [i for i in opened if not self.ended(i, row)]
+                if self.in_time_order:
+                    self.forget(holders, opened, row)
                 decision = self.step(holders, opened, row)
                 if decision is not None:
                     out.append(decision)
@@ -308,6 +318,15 @@ class Loop:
         holder.absorb(row)
         return row.first_id, row.dedup_key, holder.id, row.first_at, kind, score, why
 
+    def forget(self, holders, opened, row):
+        """Drops ended incidents before a row that may open one; rows come in time order."""
+        holder = holders.get(row.dedup_key)
+        if holder is None or self.ended(holder, row):
+            opened[:] = [i for i in opened if not self.ended(i, row)]
+            if len(holders) > 1000 + 4 * len(opened):
+                for key in [k for k, i in holders.items() if self.ended(i, row)]:
+                    del holders[key]
+
     def ended(self, incident, row):
         return incident.closed or row.first_at - incident.hi > self.close_after
 

@@ -22,7 +22,7 @@ from vigilake.constants import (
     MERGE_THRESHOLD,
     STABLE_LABELS,
 )
-from vigilake.operators.correlation import DECISION_DDL, Loop, decisions, typed_rows
+from vigilake.operators.correlation import DECISION_DDL, Incident, Loop, decisions, typed_rows
 from vigilake.operators.graph import components, neighbours
 
 
@@ -39,6 +39,8 @@ def correlate_stream(
     """
     links = edges.select("service", "depends_on")
     graph = components(links if bridges is None else links.union(bridges))
+    # recomputed so that only `starts_at` itself carries the watermark
+    plain = lambda name: F.timestamp_micros(F.unix_micros(name))
     placed = (
         alerts.withWatermark("starts_at", lateness)
         .join(graph, "service", "left")
@@ -48,8 +50,8 @@ def correlate_stream(
             F.col("id").alias("first_id"), "dedup_key", "service", "near",
             F.col("severity_rank").cast("int").alias("severity_rank"),
             F.struct(*[F.col("labels")[n].alias(n) for n in STABLE_LABELS]).alias("labels"),
-            F.col("starts_at").alias("first_at"), F.col("starts_at").alias("last_at"),
-            F.col(order).alias("taken_at"), F.lit(False).alias("closing"), "starts_at",
+            plain("starts_at").alias("first_at"), plain("starts_at").alias("last_at"),
+            (plain(order) if order == "starts_at" else F.col(order)).alias("taken_at"), F.lit(False).alias("closing"), "starts_at",
         )
     )
     loop = Loop(window_s, threshold, close_after_s, False)
@@ -61,14 +63,16 @@ def correlate_stream(
         if state.hasTimedOut:
             state.remove()
             return
-        holders, opened = pickle.loads(state.get[0]) if state.exists else ({}, [])
+        keys, kept = pickle.loads(state.get[0]) if state.exists else ({}, [])
+        opened = [Incident.of(plain) for plain in kept]
+        holders = {dedup: opened[at] for dedup, at in keys.items()}
         rows = pd.concat(list(batches)).sort_values(["taken_at", "first_id"])
         out = [loop.step(holders, opened, row) for row in typed_rows(rows)]
         latest = max(incident.hi for incident in opened)
         live = [i for i in opened if latest - i.hi <= idle]
-        kept = {id(i) for i in live}
-        held = {k: i for k, i in holders.items() if id(i) in kept}
-        state.update((pickle.dumps((held, live)),))
+        at = {id(incident): n for n, incident in enumerate(live)}
+        keys = {dedup: at[id(i)] for dedup, i in holders.items() if id(i) in at}
+        state.update((pickle.dumps((keys, [i.plain() for i in live])),))
         expires = int((latest + idle).timestamp() * 1000)
         state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
         yield decisions(out)
