@@ -98,7 +98,8 @@ def classify(messages: DataFrame, keys: list[str], threshold: float = EXEMPLAR_T
     scored = exemplar_scores(ruled.where(open_).select(*keys, "text"), keys).where(
         F.col("score") >= threshold
     ).select(*keys, F.col("intent").alias("_intent"), "score")
-    near = F.least(F.bround("score", 2), F.lit(EXEMPLAR_MAX_CONFIDENCE))
+    sure = F.least(F.bround("score", 2), F.lit(EXEMPLAR_MAX_CONFIDENCE))
+    near = F.when(F.col("score").isNotNull(), sure)  # least() alone would skip a NULL score
     return ruled.join(scored, keys, "left").select(
         *messages.columns,
         F.coalesce("_intent", "_rule.intent").alias("intent"),

@@ -235,7 +235,7 @@ def impact(
         F.coalesce("namespace", F.lit("default")).alias("namespace"), "detected_at",
         F.coalesce("resolved_at", as_of_literal(as_of)).alias("end_at"),
     ).withColumn("minutes", window_minutes(F.col("detected_at"), F.col("end_at")))
-    start = F.timestamp_micros(F.unix_micros("end_at") - F.col("minutes") * 60_000_000)
+    start = F.timestamp_micros(F.unix_micros("end_at") - F.col("minutes").cast("bigint") * 60_000_000)
     span = span.withColumn("start_at", start)
 
     named = with_series(samples.where(F.col("name").isin(
