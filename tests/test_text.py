@@ -25,7 +25,7 @@ def test_rule_order_and_noise(spark):
 def test_exemplar_layer_only_speaks_where_rules_do_not(spark):
     rows = [(1, "the graphs have come down"), (2, "why do the graphs come down"), (3, "lunch is at noon"), (4, ":x:")]
     df = spark.createDataFrame(rows, "id INT, text STRING")
-    got = {r.id: (r.intent, r.confidence) for r in intent.classify(df, ["id"]).collect()}
+    got = {r.id: (r.intent, r.confidence) for r in intent.classify(df).collect()}
     assert got[1] == ("recovery_signal", 0.65) and got[2] == ("investigation", 0.7)
     assert got[3] == ("noise", 0.5) and got[4] == ("noise", 1.0)
 

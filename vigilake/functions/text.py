@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
@@ -49,31 +50,13 @@ def number_spellings(values: pd.Series) -> pd.Series:
     return values.map(spell)
 
 
-def with_lexical_features(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds word and character-trigram features, one array element per occurrence.
-
-    Built in stages: an expression used inside an array function would
-    otherwise be computed again for every element.
-    """
-    words = F.filter(
-        F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)),
-        lambda w: ~w.isin(*EXEMPLAR_STOPWORDS),
-    )
-    grams = F.when(
-        F.length("_joined") >= NGRAM,
-        F.transform(
-            F.sequence(F.lit(1), F.length("_joined") - (NGRAM - 1)),
-            lambda i: F.concat(F.lit("c:"), F.col("_joined").substr(i, F.lit(NGRAM))),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    return (
-        df.withColumn("_words", words)
-        .withColumn("_joined", F.array_join("_words", " "))
-        .withColumn(
-            name, F.concat(F.transform("_words", lambda w: F.concat(F.lit("w:"), w)), grams)
-        )
-        .drop("_words", "_joined")
-    )
+def lexical_counts(text: str) -> Counter:
+    """How often each content word and each character trigram of them occurs."""
+    words = [w for w in re.findall("[a-z0-9]+", text.lower()) if w not in EXEMPLAR_STOPWORDS]
+    joined = " ".join(words)
+    counts = Counter("w:" + w for w in words)
+    counts.update("c:" + joined[i : i + NGRAM] for i in range(len(joined) - NGRAM + 1))
+    return counts
 
 
 def exemplar_vectors() -> list[tuple[int, str, dict[str, float]]]:
@@ -81,12 +64,7 @@ def exemplar_vectors() -> list[tuple[int, str, dict[str, float]]]:
     out = []
     for intent, phrases in EXEMPLARS.items():
         for phrase in phrases:
-            words = [w for w in phrase.lower().split() if w not in EXEMPLAR_STOPWORDS]
-            joined = " ".join(words)
-            counts = Counter("w:" + w for w in words)
-            counts.update(
-                "c:" + joined[i : i + NGRAM] for i in range(len(joined) - NGRAM + 1)
-            )
+            counts = lexical_counts(phrase)
             norm = math.sqrt(sum(n * n for n in counts.values()))
             out.append((len(out), intent, {f: n / norm for f, n in counts.items()}))
     return out

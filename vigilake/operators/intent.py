@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from vigilake.constants import (
     EXEMPLAR_MAX_CONFIDENCE,
@@ -13,7 +17,7 @@ from vigilake.constants import (
     SUMMARY_CHARS,
 )
 from vigilake.functions.evidence import timeline_ref
-from vigilake.functions.text import exemplar_vectors, strip, with_lexical_features
+from vigilake.functions.text import exemplar_vectors, lexical_counts, strip
 from vigilake.functions.times import chat_timestamp
 
 MIN_CHARS = 3
@@ -42,68 +46,49 @@ def _rule_intent(body: Column) -> Column:
     return chosen.otherwise(said("noise", 0.5, summary))
 
 
-def exemplar_scores(messages: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, intent, score): the example phrase nearest to each message.
+@F.pandas_udf(StructType().add("intent", StringType()).add("score", DoubleType()))
+def _nearest_exemplar(texts: pd.Series) -> pd.DataFrame:
+    """The example phrase closest to each text by cosine of word and trigram counts.
 
-    The fixed phrases are one small feature table. A message's feature
-    occurrences meet it in a broadcast join and fold, before any shuffle, into
-    one row of partial sums per message.
+    Stays beside the scan: exploding the features into a join re-groups several
+    hundred rows per message and measured several times slower.
     """
-    spark = messages.sparkSession
     phrases = exemplar_vectors()
-    weights: dict[str, dict[int, float]] = {}
+    index: dict[str, list[tuple[int, float]]] = {}
     for at, _, vector in phrases:
         for feature, weight in vector.items():
-            weights.setdefault(feature, {})[at] = weight
-    vocabulary = spark.createDataFrame(
-        [(f, [w.get(i, 0.0) for i in range(len(phrases))]) for f, w in weights.items()],
-        "feature STRING, weights ARRAY<DOUBLE>",
-    )
-    features = with_lexical_features(messages, "text", "_f").select(*keys, "_f")
-    # squared length of the count vector: each occurrence adds 2 * (times seen before) + 1
-    runs = F.aggregate(
-        F.array_sort("_f"),
-        F.struct(F.lit("").alias("f"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("sq")),
-        lambda acc, f: F.struct(
-            f.alias("f"),
-            F.when(f == acc["f"], acc["n"] + 1).otherwise(1).alias("n"),
-            (acc["sq"] + F.when(f == acc["f"], acc["n"] * 2 + 1).otherwise(1)).alias("sq"),
-        ),
-    )["sq"]
-    hits = features.withColumn("_sq", runs).select(
-        *keys, "_sq", F.explode_outer("_f").alias("feature")  # outer: no filter re-computes _f
-    ).join(F.broadcast(vocabulary), "feature")
-    sums = hits.groupBy(*keys).agg(
-        F.first("_sq").alias("_sq"),
-        *[F.sum(F.col("weights")[i]).alias(f"_{i}") for i in range(len(phrases))],
-    )
-    options = F.array(
-        *[
-            F.struct(
-                (F.col(f"_{i}") / F.sqrt("_sq")).alias("score"), F.lit(-i).alias("order"),
-                F.lit(intent).alias("intent"),
-            )
-            for i, intent, _ in phrases
-        ]
-    )
-    return sums.select(*keys, F.array_max(options).alias("best")).select(
-        *keys, "best.intent", "best.score"
-    ).where(F.col("score") > 0)
+            index.setdefault(feature, []).append((at, weight))
+
+    def nearest(text):
+        counts = lexical_counts(text or "")
+        dots = [0.0] * len(phrases)
+        for feature, n in counts.items():
+            for at, weight in index.get(feature, ()):
+                dots[at] += n * weight
+        top = max(dots)
+        if top <= 0.0:
+            return None, None
+        return phrases[dots.index(top)][1], top / math.sqrt(sum(n * n for n in counts.values()))
+
+    return pd.DataFrame([nearest(t) for t in texts], columns=["intent", "score"])
+
+
+# Declared non-deterministic so that a filter on the result is not moved below
+# it, which would run it, and the rules feeding it, once more.
+nearest_exemplar = _nearest_exemplar.asNondeterministic()
 
 
-def classify(messages: DataFrame, keys: list[str], threshold: float = EXEMPLAR_THRESHOLD):
+def classify(messages: DataFrame, threshold: float = EXEMPLAR_THRESHOLD) -> DataFrame:
     """Adds `intent`, `confidence` and `summary`; examples only speak where no rule did."""
     ruled = with_rule_intent(messages, "_rule")
-    open_ = (F.col("_rule.intent") == "noise") & (F.col("_rule.confidence") < 1.0)
-    scored = exemplar_scores(ruled.where(open_).select(*keys, "text"), keys).where(
-        F.col("score") >= threshold
-    ).select(*keys, F.col("intent").alias("_intent"), "score")
-    sure = F.least(F.bround("score", 2), F.lit(EXEMPLAR_MAX_CONFIDENCE))
-    near = F.when(F.col("score").isNotNull(), sure)  # least() alone would skip a NULL score
-    return ruled.join(scored, keys, "left").select(
+    unsure = (F.col("_rule.intent") == "noise") & (F.col("_rule.confidence") < 1.0)
+    scored = ruled.withColumn("_near", nearest_exemplar(F.when(unsure, F.col("text"))))
+    speaks = unsure & F.coalesce(F.col("_near.score") >= threshold, F.lit(False))
+    sure = F.least(F.bround("_near.score", 2), F.lit(EXEMPLAR_MAX_CONFIDENCE))
+    return scored.select(
         *messages.columns,
-        F.coalesce("_intent", "_rule.intent").alias("intent"),
-        F.coalesce(near, F.col("_rule.confidence")).alias("confidence"),
+        F.when(speaks, F.col("_near.intent")).otherwise(F.col("_rule.intent")).alias("intent"),
+        F.when(speaks, sure).otherwise(F.col("_rule.confidence")).alias("confidence"),
         F.col("_rule.summary").alias("summary"),
     )
 

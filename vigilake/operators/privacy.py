@@ -21,7 +21,7 @@ SPAN = (
 
 
 @F.pandas_udf(ArrayType(SPAN))
-def _candidates(texts: pd.Series) -> pd.Series:
+def _find_candidates(texts: pd.Series) -> pd.Series:
     rules = [(name, re.compile(pattern), weight) for name, pattern, weight in PII_RULES]
 
     def spans(text):
@@ -33,6 +33,10 @@ def _candidates(texts: pd.Series) -> pd.Series:
     return texts.map(spans)
 
 
+# Non-deterministic by declaration: the filter on its result must not run it twice.
+_candidates = _find_candidates.asNondeterministic()
+
+
 def _resolve(candidates: Column) -> Column:
     """Drops false cards and private addresses, then keeps the stronger of overlapping spans."""
     real = F.filter(

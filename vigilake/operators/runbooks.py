@@ -122,16 +122,20 @@ def detect_steps(
     books = tokens.groupBy("runbook_id").agg(
         F.array_sort(F.collect_list(F.struct("position", "step_id", "tokens"))).alias("_steps")
     )
-    said = F.lower("text")
-    hits = F.transform(
-        "_steps",
-        lambda s: F.struct(
-            F.size(F.filter(s["tokens"], lambda t: said.contains(t))).alias("hits"),
-            (-s["position"]).alias("order"), s["step_id"].alias("step_id"),
-        ),
-    )
-    best = F.array_max(F.filter(hits, lambda h: h["hits"] >= min_tokens))
-    return messages.join(books, "runbook_id").withColumn("_best", best).where(
+
+    def best(said):
+        hits = F.transform(
+            "_steps",
+            lambda s: F.struct(
+                F.size(F.filter(s["tokens"], lambda t: said.contains(t))).alias("hits"),
+                (-s["position"]).alias("order"), s["step_id"].alias("step_id"),
+            ),
+        )
+        return F.array_max(F.filter(hits, lambda h: h["hits"] >= min_tokens))
+
+    # a one-element array binds the lower-cased text once instead of once per word
+    found = F.transform(F.array(F.lower("text")), best)[0]
+    return messages.join(books, "runbook_id").withColumn("_best", found).where(
         F.col("_best").isNotNull()
     ).select(*messages.columns, "_best.step_id", "_best.hits")
 

@@ -168,12 +168,12 @@ _PHRASES = ", ".join(
     SELECT d.conv_id, d.turn, round(max(dot / norm), 6) AS score FROM dots d
       JOIN norms n ON n.conv_id = d.conv_id AND n.turn = d.turn GROUP BY 1, 2""")
 def _(v):
-    found = intent.exemplar_scores(v.table("conversations"), ["conv_id", "turn"])
-    return rounded(found.drop("intent"))
+    near = v.table("conversations").withColumn("near", intent.nearest_exemplar("text"))
+    return rounded(near.select("conv_id", "turn", F.col("near.score").alias("score")).where("score > 0"))
 
 
 def _classified(v):
-    return intent.classify(v.messages(), ["id"])
+    return intent.classify(v.messages())
 
 
 @query("timeline")

@@ -98,7 +98,7 @@ def transcript_sink(incidents: DataFrame, messages_path: str, timeline_path: str
         )
         # Timeline first: its own key makes a repeat harmless, so a crash between
         # the two writes is repaired by the replay of the micro-batch.
-        events = timeline(classify(kept, ["channel_id", "ts"]))
+        events = timeline(classify(kept))
         append_new(events, timeline_path, ["incident_id", "source_message_ts"], ["intent"], "time")
         append_new(
             snapshot_requests(events).withColumn("time", chat_timestamp(F.col("at"))), snapshots_path,
