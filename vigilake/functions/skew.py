@@ -94,27 +94,24 @@ def exact_percentile(
             F.when(small, F.col("_max")).otherwise(F.col("_q")[1]).alias("_hi"),
         )
     )
-    counts = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c")).join(bracket, list(keys))
-    below = counts.groupBy(*keys).agg(
-        F.sum(F.when(F.col("_v") < F.col("_lo"), F.col("_c")).otherwise(0)).alias("_below")
+    # everything below the bracket shares one NULL value, which sorts first
+    counts = (
+        rows.join(bracket, list(keys)).where(F.col("_v") <= F.col("_hi"))
+        .groupBy(*keys, "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))
+        .agg(F.count("*").alias("_c"))
     )
-    inside = counts.where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
     up_to = (
-        Window.partitionBy(*keys).orderBy("_v")
+        Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_v"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    position = F.lit(p) * (F.col("_n") - 1)
-    ranked = inside.join(below, list(keys)).withColumn(
-        "_end", F.col("_below") + F.sum("_c").over(up_to)
-    ).withColumn("_pos", position)
+    ranked = counts.withColumn("_end", F.sum("_c").over(up_to)).withColumn(
+        "_pos", F.lit(p) * (F.col("_n") - 1)
+    )
     at_or_after = lambda rank: F.min(F.when(F.col("_end") > rank, F.col("_v")))
+    low, high = at_or_after(F.floor("_pos")), at_or_after(F.ceil("_pos"))
     return (
         ranked.groupBy(*keys)
-        .agg(
-            at_or_after(F.floor("_pos")).alias("_a"),
-            at_or_after(F.ceil("_pos")).alias("_b"),
-            F.first("_pos").alias("_pos"),
-        )
+        .agg(low.alias("_a"), high.alias("_b"), F.first("_pos").alias("_pos"))
         .select(
             *keys,
             (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_pos") - F.floor("_pos")))

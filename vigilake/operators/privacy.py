@@ -20,14 +20,27 @@ SPAN = (
 )
 
 
+# Text every match of a rule contains.
+NEEDS = {"SLACK_TOKEN": "xox", "JWT": "eyJ", "EMAIL": "@", "UPI": "@"}
+NEEDS_DIGIT = ("CARD", "PHONE", "IP")
+
+
 @F.pandas_udf(ArrayType(SPAN))
 def _find_candidates(texts: pd.Series) -> pd.Series:
     rules = [(name, re.compile(pattern), weight) for name, pattern, weight in PII_RULES]
+    digit = re.compile(r"\d")
+
+    def possible(name, text, digits):
+        """A rule is skipped when text lacks a character every match of it contains."""
+        return digits if name in NEEDS_DIGIT else NEEDS.get(name, "") in text
 
     def spans(text):
+        text = text or ""
+        digits = digit.search(text) is not None
         return [
             {"start": m.start(), "end": m.end(), "class": name, "priority": weight, "value": m.group()}
-            for name, pattern, weight in rules for m in pattern.finditer(text or "")
+            for name, pattern, weight in rules if possible(name, text, digits)
+            for m in pattern.finditer(text)
         ]
 
     return texts.map(spans)

@@ -11,15 +11,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity of two vectors, NULL when either is NULL or zero."""
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return dot(a, b) / F.nullif(norms, F.lit(0.0))
-
-
 def probe_vector(incidents: DataFrame, incident_id: int) -> DataFrame:
-    """One row, always: the probe's embedding, NULL when it has none."""
-    return incidents.where(F.col("id") == incident_id).agg(F.first("embedding").alias("probe"))
+    """One row, always: the probe's embedding scaled to length one, NULL when it has none."""
+    probe = incidents.where(F.col("id") == incident_id).agg(F.first("embedding").alias("v"))
+    length = probe.withColumn("length", F.nullif(F.sqrt(dot(F.col("v"), F.col("v"))), F.lit(0.0)))
+    return length.select(F.transform("v", lambda x: x / F.col("length")).alias("probe"))
 
 
 def repeat_incidents(
@@ -35,7 +31,8 @@ def repeat_incidents(
     nearest = (
         incidents.where((F.col("id") != incident_id) & F.col("embedding").isNotNull())
         .withColumn("_probe", probe)
-        .withColumn("similarity", cosine(F.col("embedding"), F.col("_probe")))
+        .withColumn("_length", F.nullif(F.sqrt(dot(F.col("embedding"), F.col("embedding"))), F.lit(0.0)))
+        .withColumn("similarity", dot(F.col("embedding"), F.col("_probe")) / F.col("_length"))
         .where(F.col("similarity") > threshold)
         .select("id", "public_key", "title", "detected_at", "similarity")
         .orderBy(F.desc("similarity"))
