@@ -59,7 +59,7 @@ def correlate(
     """Assigns every alert to an incident: incident_id, epoch, kind, score, reasons.
 
     `alerts` has id, dedup_key, service, severity_rank, labels, starts_at.
-    `closures` (dedup_key, closed_at) ends the incident holding that key; without
+    `closures` (dedup_key, closed_at, and the tenant column if one is named) ends the incident holding that key; without
     them an incident ends after `close_after_s` of silence. `order` names an
     arrival column when alerts must be taken in another order than by start.
     `tenant` names a column whose values never share an incident. An incident is
@@ -74,10 +74,13 @@ def correlate(
         F.lit(False).alias("closing"),
     )
     if closures is not None:
-        ends = closures.select("dedup_key", F.col("closed_at").alias("starts_at"))
+        ends = closures.select(
+            "dedup_key", F.col("closed_at").alias("starts_at"), *([tenant] if tenant else [])
+        )
         rows = rows.unionByName(
             ends.withColumns({"taken_at": F.col("starts_at"), "closing": F.lit(True),
-                              "tenant": F.lit("")}),
+                              "tenant": scope}).select(
+                "tenant", "dedup_key", "starts_at", "taken_at", "closing"),
             allowMissingColumns=True,
         )
     rows = _with_component(rows, edges, declared, threshold)
@@ -160,10 +163,8 @@ def _correlate_reduced(rows, edges, declared, window_s, threshold, close_after_s
     )
     steps = _with_island(cut_lineage(steps), window_s, threshold, close_after_s)
     decisions = _decide(steps, edges, declared, window_s, threshold, close_after_s, True)
-    starts = runs.select("run").distinct()
-    led = _with_epoch(
-        decisions.join(starts, F.col("alert_id") == F.col("run"), "left_semi"), None
-    ).select(
+    starts = runs.select("tenant", F.col("run").alias("alert_id")).distinct()
+    led = _with_epoch(decisions, starts).select(
         F.col("alert_id").alias("run"), "incident_id", "epoch",
         F.struct("kind", "score", "reasons").alias("decided"),
     )
@@ -379,21 +380,17 @@ def _reachable(service, near, others):
             yield 2, other
 
 
-def _with_epoch(decisions: DataFrame, tenants: DataFrame | None) -> DataFrame:
-    """Adds `epoch`: how many incidents the opening alert's key had opened before."""
-    if tenants is not None:
-        decisions = decisions.join(tenants, "alert_id")
-        scope = ["tenant", "dedup_key"]
-    else:
-        scope = ["dedup_key"]
+def _with_epoch(decisions: DataFrame, tenants: DataFrame) -> DataFrame:
+    """Adds `epoch`: how many incidents the opening alert's key had opened before.
+
+    `tenants` (alert_id, tenant) also restricts the decisions to its alerts.
+    """
+    decisions = decisions.join(tenants, "alert_id")
+    by_key = Window.partitionBy("tenant", "dedup_key").orderBy("decided_at", "alert_id")
     opened = decisions.where(F.col("kind") == "new").select(
-        *scope, "incident_id",
-        (F.row_number().over(Window.partitionBy(*scope).orderBy("decided_at", "alert_id")) - 1)
-        .alias("epoch"),
+        "incident_id", (F.row_number().over(by_key) - 1).alias("epoch")
     )
-    return decisions.join(
-        opened.select("incident_id", "epoch"), "incident_id", "left"
-    ).drop("decided_at")
+    return decisions.join(opened, "incident_id", "left").drop("decided_at")
 
 
 def incidents_of(assigned: DataFrame, alerts: DataFrame) -> DataFrame:
@@ -404,7 +401,7 @@ def incidents_of(assigned: DataFrame, alerts: DataFrame) -> DataFrame:
     return assigned.join(facts, "alert_id").groupBy("incident_id").agg(
         F.count("*").alias("correlated_alert_count"), F.min("starts_at").alias("detected_at"),
         F.max("starts_at").alias("last_alert_at"), F.max("severity_rank").alias("severity_rank"),
-        F.approx_count_distinct("service").alias("services_estimate"),
+        F.countDistinct("service").alias("services"),
         F.max("epoch").alias("dedup_epoch"),
     )
 

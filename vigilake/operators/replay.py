@@ -247,7 +247,7 @@ def replay(
         F.sum(estimated_cost(F.col("input_tokens"), F.col("output_tokens"), F.lit(input_rate), F.lit(output_rate)))
         .alias("cost_usd"),
         F.sum("latency_ms").alias("generation_ms"),
-        F.size(F.collect_set(F.when(F.col("prompt_sha") != F.lit(prompt_sha), F.col("prompt_sha")))).alias("prompt_drift"),
+        F.countDistinct(F.when(F.col("prompt_sha") != F.lit(prompt_sha), F.col("prompt_sha"))).alias("prompt_drift"),
     )
     facts = (
         ids.join(recordings.headers.select(F.col("recording").alias("id"), "bucket"), "id")
