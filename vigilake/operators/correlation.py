@@ -8,8 +8,9 @@ depends on order, so the work is arranged to keep the ordered part small:
    closeness in time, so only alerts of one connected component of the service
    graph (joined further by shared dedup keys) can ever meet.
 2. A repeat of a key whose last alert is less than the closing time old cannot
-   do anything but attach. Such repeats are reduced, between two possible
-   decisions, to one row per key and minute by ordinary hash aggregation.
+   do anything but attach. All such repeats between two possible decisions of a
+   component are reduced to one row per key, by hash aggregation per minute and
+   then across minutes.
 3. A component's timeline splits into islands wherever nothing could bridge the
    gap.
 
@@ -151,17 +152,30 @@ def _correlate_reduced(rows, edges, declared, window_s, threshold, close_after_s
         Window.partitionBy(*cell).orderBy("starts_at", "alert_id")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    steps = (
+    kind = ["dedup_key", "service", "severity_rank", "labels"]
+    by_minute = cut_lineage(
         marked.withColumn("turn", F.sum("may_open").over(in_cell))
-        .groupBy(*cell, "turn", "dedup_key", "service", "severity_rank", "labels")
+        .groupBy(*cell, "turn", *kind)
         .agg(F.min(here).alias("first"), F.max("starts_at").alias("last_at"))
+    )
+    earlier = (
+        Window.partitionBy("tenant", "component").orderBy("minute")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    offsets = by_minute.groupBy(*cell).agg(F.max("turn").alias("n")).select(
+        *cell, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset")
+    )
+    steps = (
+        by_minute.join(offsets, cell)
+        .groupBy("tenant", "component", (F.col("offset") + F.col("turn")).alias("turn"), *kind)
+        .agg(F.min("first").alias("first"), F.max("last_at").alias("last_at"))
         .select(
-            "tenant", "component", "dedup_key", "service", "severity_rank", "labels",
-            F.col("first.alert_id").alias("first_id"), F.col("first.starts_at").alias("first_at"),
-            "last_at", F.col("first.starts_at").alias("taken_at"), F.lit(False).alias("closing"),
+            "tenant", "component", *kind, F.col("first.alert_id").alias("first_id"),
+            F.col("first.starts_at").alias("first_at"), "last_at",
+            F.col("first.starts_at").alias("taken_at"), F.lit(False).alias("closing"),
         )
     )
-    steps = _with_island(cut_lineage(steps), window_s, threshold, close_after_s)
+    steps = _with_island(steps, window_s, threshold, close_after_s)
     decisions = _decide(steps, edges, declared, window_s, threshold, close_after_s, True)
     starts = runs.select("tenant", F.col("run").alias("alert_id")).distinct()
     led = _with_epoch(decisions, starts).select(
