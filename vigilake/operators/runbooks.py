@@ -121,23 +121,31 @@ def detect_steps(
     tokens = steps.withColumn("tokens", command_tokens(F.col("body"))).where(F.size("tokens") > 0)
     books = tokens.groupBy("runbook_id").agg(
         F.array_sort(F.collect_list(F.struct("position", "step_id", "tokens"))).alias("_steps")
-    )
+    ).withColumn("_words", F.array_distinct(F.flatten(F.col("_steps.tokens"))))
+
+    def said_words(said):
+        return F.filter("_words", lambda word: said.contains(word))
 
-    def best(said):
+    def best(present):
         hits = F.transform(
             "_steps",
             lambda s: F.struct(
-                F.size(F.filter(s["tokens"], lambda t: said.contains(t))).alias("hits"),
+                F.size(F.array_intersect(s["tokens"], present)).alias("hits"),
                 (-s["position"]).alias("order"), s["step_id"].alias("step_id"),
             ),
         )
         return F.array_max(F.filter(hits, lambda h: h["hits"] >= min_tokens))
 
-    # a one-element array binds the lower-cased text once instead of once per word
-    found = F.transform(F.array(F.lower("text")), best)[0]
-    return messages.join(books, "runbook_id").withColumn("_best", found).where(
-        F.col("_best").isNotNull()
-    ).select(*messages.columns, "_best.step_id", "_best.hits")
+    # one-element arrays bind the lower-cased text and its words once; each word
+    # of the runbook is looked for once, however many steps share it
+    found = F.transform(F.transform(F.array(F.lower("text")), said_words), best)[0]
+    # generated rather than projected, so that the filter on it cannot run it twice
+    tried = messages.join(books, "runbook_id").select(
+        *messages.columns, F.explode_outer(F.array(found)).alias("_best")
+    )
+    return tried.where(F.col("_best").isNotNull()).select(
+        *messages.columns, "_best.step_id", "_best.hits"
+    )
 
 
 def step_signals(
