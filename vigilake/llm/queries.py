@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.llm import line_dedup
-from vigilake.llm.common import table
+from vigilake.llm import decontaminate, language, line_dedup, mixing, secrets, simhash
+from vigilake.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,6 +24,30 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op3_simhash_dedup")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+@query("op6_language_id")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    filters = language.fit(docs, "doc_id", "text", "lang", allowed=~held_out(F.col("doc_id")))
+    return language.predict(docs.select("doc_id", "text"), filters, F.col("text")).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
+    )
+
+
+@query("op7_source_mixing")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, folder, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies"
+    )
+
+
 @query("op8_line_dedup", r"""
     WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
     numbered AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM parts),
@@ -40,3 +64,68 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, folder, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
     )
+
+
+@query("op9_decontaminate", r"""
+    WITH low AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+    items AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
+    starts AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0),
+    windows AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 9], ' ') AS t, least(len(w), 10) AS n FROM starts),
+    lengths AS (SELECT DISTINCT n FROM windows),
+    spots AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM low, lengths WHERE len(w) >= n),
+    placed AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS t FROM spots),
+    hits AS (SELECT doc_id, i, p.n, item_id FROM placed p JOIN windows USING (t, n)),
+    marked AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY 1),
+    named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+                     string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY 1)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+      FROM low LEFT JOIN marked USING (doc_id) LEFT JOIN named USING (doc_id)""")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query("op10_secret_scan", r"""
+    WITH base AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    pieces AS (
+        SELECT doc_id, 1 AS rank, 'assign' AS kind, text,
+               regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+') AS found
+          FROM base WHERE text SIMILAR TO '(?s).*[:=].*'
+        UNION ALL SELECT doc_id, 2, 'access', text, regexp_extract_all(text, 'AKIA[A-Z0-9]+') FROM base
+        UNION ALL SELECT doc_id, 3, 'hex', text, regexp_extract_all(text, '[0-9a-f]{16,}') FROM base),
+    walked AS (
+        SELECT doc_id, rank, kind, list_reduce(list_prepend({'at': 0, 'rest': text, 'hit': '', 'spans': []::STRUCT(s BIGINT, e BIGINT, hit VARCHAR)[]},
+                 list_transform(found, lambda f: {'at': 0, 'rest': '', 'hit': f, 'spans': []::STRUCT(s BIGINT, e BIGINT, hit VARCHAR)[]})),
+                 lambda a, f: {'at': a['at'] + strpos(a['rest'], f['hit']) - 1 + length(f['hit']),
+                               'rest': substr(a['rest'], strpos(a['rest'], f['hit']) + length(f['hit'])), 'hit': '',
+                               'spans': list_append(a['spans'], {'s': a['at'] + strpos(a['rest'], f['hit']) - 1,
+                                   'e': a['at'] + strpos(a['rest'], f['hit']) - 1 + length(f['hit']), 'hit': f['hit']})}) AS w
+          FROM pieces WHERE len(found) > 0),
+    spans AS (SELECT doc_id, rank, kind, unnest(w['spans']) AS s FROM walked),
+    good AS (SELECT doc_id, rank, kind, s['s'] AS a, s['e'] AS b FROM spans
+              WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(s['hit'],
+                    '^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 12
+                  WHEN 'access' THEN length(s['hit']) >= 18 ELSE true END),
+    digest AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+                      count(*) FILTER (kind = 'hex') AS n_hex,
+                      string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS listed FROM good GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(listed, '')) AS base_sha256
+      FROM documents LEFT JOIN digest USING (doc_id)""")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    listed = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[number(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+    )
