@@ -52,7 +52,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, l
         .withColumn("total", F.lit(share) * F.sum("source_size").over(everything))
         .withColumn("level", (F.col("total") - F.col("filled")) / (F.sum("weight").over(everything) - F.col("used")))
         # the first source in ratio order whose ratio exceeds the level ends the full ones
-        .withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
+        .withColumn("level", F.min(
+            F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "nth", "level"))
+        ).over(everything)["level"])
     )
     full = F.lit(limit) * F.col("source_size").cast("double")
     return ranked.select(
