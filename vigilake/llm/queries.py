@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.llm import decontaminate, language, line_dedup, mixing, secrets, simhash
+from vigilake.llm import decontaminate, language, line_dedup, mixing, secrets, simhash, substrings
 from vigilake.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,13 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op5_suffix_dedup")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
+
+
 @query("op6_language_id")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
