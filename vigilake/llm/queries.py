@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.llm import decontaminate, language, line_dedup, mixing, secrets, simhash, substrings
+from vigilake.llm import (
+    decontaminate,
+    language,
+    line_dedup,
+    mixing,
+    neighbours,
+    secrets,
+    simhash,
+    substrings,
+    toxicity,
+    url_filter,
+)
 from vigilake.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +35,23 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_nearest_neighbours")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), is_query=F.col("vec_id") % 100 == 0)
+
+
+@query("op2_toxicity")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    scored = toxicity.score_toxicity(
+        table(spark, folder, "documents"), table(spark, folder, "labels"), learn=fold.isin(0, 3), calibrate=fold == 1,
+    )
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 @query("op3_simhash_dedup")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
@@ -39,6 +67,17 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# The rules of the contract.
+URL_RULES = {
+    "com/en/": "block", "example.com/en/7": "allow", "net/de/": "block", "example.net/de/8": "allow", "org/es/": "block",
+}
+
+
+@query("op4_url_filter")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, folder, "pages"), URL_RULES)
+
+
 @query("op6_language_id")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
