@@ -55,7 +55,10 @@ def find_contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, shingle: int = 5,
 ) -> DataFrame:
-    """`doc_id, n_words, n_hit, item_ids`: hit words and the sorted items behind them."""
+    """`doc_id, row_key, n_words, n_hit, item_ids`: hit words and the sorted items behind them.
+
+    `row_key` is the hash of the text, to tell rows of one id apart.
+    """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn(
         "row_key", F.xxhash64("text")
     )
@@ -135,7 +138,7 @@ def find_contamination(
         .select(F.col("doc_id").alias("of"), F.col("row_key").alias("of_key"), "item_ids")
     )
     return checked.join(listed, same, "left").select(
-        "doc_id", "n_words", "n_hit",
+        "doc_id", "row_key", "n_words", "n_hit",
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
     )
 

@@ -11,6 +11,8 @@ that are shorter than `min_chars` code points after trimming always stay.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,15 +21,16 @@ from vigilake.llm.common import BLANKS, ascii_lower, stored, text_key
 
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    min_chars: int = 20, min_docs: int = 3,
+    min_chars: int = 20, min_docs: int = 3, carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per document: `doc_id, text, n_lines, n_dropped`, the text without dropped lines.
+    """One row per document: `doc_id, text, n_lines, n_dropped` and the columns of `carry`.
 
     A line found in `min_docs` documents or more stays in the largest id that
     holds it and goes from all others.
     """
     base = docs.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        F.struct(F.lit(0).alias("_none"), *carry).alias("carried"),
     ).withColumn("row_key", F.xxhash64("text"))
     lines = (
         base.select("doc_id", "row_key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -61,4 +64,5 @@ def dedup_lines(
         F.when(F.col("dropped").isNull(), F.col("text")).otherwise(rewritten).alias("text"),
         F.size("parts").cast("long").alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        *[F.col("carried")[name].alias(name) for name in carry],
     )
