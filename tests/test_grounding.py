@@ -120,8 +120,7 @@ def test_draft_document(spark, draft):
     assert "| P1 | <@U9> | add an alert for lease loss | `msg:1.0` |" in lines
     assert lines.index("## Summary") < lines.index("## Root cause") < lines.index("## Action items")
     assert "## Timeline" not in lines
-    parts = review.assemble(review.draft_lines(incidents, claims, report), per_part=10).orderBy("part").collect()
-    assert "\n".join(p.text for p in parts) == text and len(parts) > 2
+    assert review.assemble(review.draft_lines(incidents, claims, report)).count() == 1
 
 
 def recording(number, expects=True, draft=None, extra=()):

@@ -158,3 +158,17 @@ def test_rollup_refresh_replaces_only_its_days(spark, tmp_path):
     rollups.refresh(rollups.page_load_daily, df.union(df), target, T0, 3)
     got = {str(r.day): r.pages for r in spark.read.parquet(target).collect()}
     assert got == {"2024-04-26": 1, "2024-04-27": 1, "2024-04-28": 1, "2024-04-29": 2, "2024-04-30": 2}
+
+
+def test_runbook_patterns_in_both_spellings(spark):
+    books = spark.createDataFrame(
+        [(1, "a", "(?P<what_it>Disk)(?P=what_it)?Full", None, None), (2, "b", "état", None, None), (3, "c", "(?(1)a|b)", None, None),
+         (4, "d", "Queue", None, "(unclosed")],
+        "id INT, position STRING, alert_pattern STRING, severity_filter STRING, service_filter STRING")
+    seen = spark.createDataFrame(
+        [(1, "diskfull", None), (2, "ÉTATDisque", None), (3, "b", None), (4, "Queue", "db")],
+        "id INT, root_signal STRING, service STRING").selectExpr("*", "root_signal AS alertname", "CAST(NULL AS STRING) AS severity")
+    got = {r.id: r.runbook_id for r in runbooks.match_runbooks(seen, books).collect() if r.runbook_id is not None}
+    assert got == {1: 1, 2: 2}
+    problems = {r.id: r.problem for r in runbooks.pattern_problems(books).collect()}
+    assert problems == {3: "alert_pattern is not valid regex", 4: "service_filter is not valid regex"}

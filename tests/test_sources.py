@@ -39,6 +39,21 @@ def test_alert_webhook(spark):
         webhooks.accepted(entries).select("fingerprint", "starts_at", "ends_at", "labels", "service").collect()
 
 
+def test_unusable_payloads_are_rejected_rows(spark):
+    good = {"alerts": [{"labels": {"alertname": "Down"}, "startsAt": "2024-05-01T10:00:00Z"}]}
+    texts = ["{broken", "[1, 2]", json.dumps({"status": "firing"}), json.dumps({"alerts": {"a": 1}}), None, json.dumps(good),
+             json.dumps({"alerts": [None]})]
+    rows = spark.createDataFrame([(t,) for t in texts], "value STRING")
+    entries = webhooks.alert_entries(rows)
+    assert webhooks.accepted(entries).count() == 1
+    bad = sorted((str(r.raw), r.reject) for r in webhooks.rejected(entries).collect())
+    assert sorted(reason for _, reason in bad) == [
+        "alert entry is not an object", "malformed json", "malformed json", "payload has no alerts array",
+        "payload has no alerts array", "payload is not an object"]
+    assert sorted(r.reject for r in webhooks.chat_rejects(rows).collect()) == [
+        "malformed json", "malformed json", "payload is not an object"]
+
+
 def test_paging_shapes(spark):
     nested = {"event": "incident.triggered", "data": {"incident": {
         "id": "P1", "title": "Down", "service": {"summary": "db"}, "created_at": "2024-05-01T10:00:00Z",
@@ -125,6 +140,14 @@ def test_runbook_files(spark, tmp_path):
         "b.md": "duplicate step id", "c.md": "no YAML front matter", "d.md": "alert_pattern is not valid regex"}
 
 
+def test_front_matter_scalars(spark, tmp_path):
+    for name, line, want in [("a", "sev1  # only pages", "sev1"), ("b", '"sev#1" # note', "sev#1"), ("c", "'a b'", "a b"),
+                             ("d", "# nothing", None), ("e", "null", None), ("f", "x y", "x y")]:
+        (tmp_path / f"{name}.md").write_text(RUNBOOK.replace("severity_filter: sev2", f"severity_filter: {line}"))
+        book = files.read_runbooks(spark, str(tmp_path / f"{name}.md"))[0].first()
+        assert book.severity_filter == want, line
+
+
 def test_recording_checks(spark, tmp_path):
     header = {"format": 1, "incident": 5, "bucket": "real", "start": "2024-05-01T00:00:00Z"}
     lines = [header, {"t": 9, "kind": "b"}, {"t": 1, "kind": "a"}, {"kind": "ground_truth", "labels": {"x": 1}}]
@@ -151,9 +174,9 @@ def test_partitioned_table(spark, tmp_path):
     rows = spark.range(1000).select(
         F.timestamp_seconds(F.lit(1714521600) + F.col("id") * 600).alias("time"), F.lit(None).cast("bigint").alias("incident_id"),
         F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("series"), F.lit("db").alias("service"),
-        F.col("id").cast("double").alias("value"))
+        F.col("id").cast("double").alias("value"), F.create_map(F.lit("k"), F.col("id")).alias("labels"))
     path = str(tmp_path / "t")
-    tables.write_by_day(rows, path, "time", ["series"], files_per_day=2)
+    tables.write_by_day(rows, path, "time", ["series"], rows_per_task=100)
     part = tables.read_range(spark, path, "signal_samples", "time", "2024-05-02 00:00:00", "2024-05-02 01:00:00")
     assert part.count() == 7
     assert "PartitionFilters: [isnotnull(day" in part._jdf.queryExecution().toString()

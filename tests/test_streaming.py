@@ -59,16 +59,21 @@ def write_lines(path, payloads):
 def test_alerts_are_stored_once_and_rejects_kept(spark, tmp_path):
     source = tmp_path / "in"
     write_lines(source / "a.json", [envelope("Down", 0), envelope("Down", 0), envelope("Slow", 5)])
-    sink = ingest.alert_sink(str(tmp_path / "alerts"), str(tmp_path / "bad"))
+    sink = ingest.alert_sink(*[str(tmp_path / n) for n in ("alerts", "bad", "resolved", "seen")])
     ingest.run_once(ingest.payload_stream(spark, str(source)), sink, str(tmp_path / "ck"))
     broken = envelope("Down", 0)
     broken["alerts"][0]["startsAt"] = "soon"
     write_lines(source / "b.json", [envelope("Down", 0), broken, envelope("Late", 9, status="resolved")])
+    (source / "c.json").write_text("{not json\n")
     ingest.run_once(ingest.payload_stream(spark, str(source)), sink, str(tmp_path / "ck"))
     stored = spark.read.parquet(str(tmp_path / "alerts"))
     assert sorted(r.alertname for r in stored.collect()) == ["Down", "Slow"]
     bad = spark.read.parquet(str(tmp_path / "bad")).collect()
-    assert [r.reject for r in bad] == ["alert has no parseable startsAt"]
+    assert sorted(r.reject for r in bad) == ["alert has no parseable startsAt", "malformed json"]
+    done = spark.read.parquet(str(tmp_path / "resolved")).collect()
+    assert [(r.alertname, r.status) for r in done] == [("Late", "resolved")]
+    seen = ingest.with_sightings(stored, spark.read.parquet(str(tmp_path / "seen"))).collect()
+    assert {r.alertname: r.seen_count for r in seen} == {"Down": 3, "Slow": 1} and seen[0].last_seen_at
 
 
 def test_transcript_survives_redelivery_and_logs_edits(spark, tmp_path):
@@ -84,7 +89,7 @@ def test_transcript_survives_redelivery_and_logs_edits(spark, tmp_path):
             "deleted_ts": events[0]["ts"]}
     stray = {"type": "message", "channel": "C9", "ts": "1700000000.1", "text": "why"}
     incidents = spark.createDataFrame([(7, "C1")], "id BIGINT, chat_channel_id STRING")
-    names = ["messages", "timeline", "snapshots", "revisions"]
+    names = ["messages", "timeline", "snapshots", "revisions", "bad"]
     sink = ingest.transcript_sink(incidents, *[str(tmp_path / n) for n in names])
     source = tmp_path / "in"
     write_lines(source / "a.json", [*events, edit, edit, gone, stray])
@@ -99,6 +104,33 @@ def test_transcript_survives_redelivery_and_logs_edits(spark, tmp_path):
     assert kinds[:2] == ["edited", "deleted"]
 
 
+def test_edit_before_any_message_is_no_failure(spark, tmp_path):
+    incidents = spark.createDataFrame([(7, "C1")], "id BIGINT, chat_channel_id STRING")
+    sink = ingest.transcript_sink(incidents, *[str(tmp_path / n) for n in ("m", "t", "s", "r", "bad")])
+    edit = {"subtype": "message_changed", "channel": "C1", "event_time": "2023-11-14T23:00:00Z",
+            "message": {"ts": "1700000000.000001", "text": "edited"}}
+    said = {"type": "message", "channel": "C1", "ts": "1700000000.000001", "user": "U1", "text": "rolled back",
+            "event_time": "2023-11-14T22:13:20Z"}
+    frame = lambda *rows: spark.createDataFrame([(json.dumps(r),) for r in rows], "value STRING")
+    sink(frame(edit), 0)
+    sink(frame(said), 1)
+    sink(frame(edit), 2)
+    assert [r.kind for r in spark.read.parquet(str(tmp_path / "r")).collect()] == ["edited"]
+    sink(spark.createDataFrame([("nonsense{",)], "value STRING"), 3)
+    assert spark.read.parquet(str(tmp_path / "bad")).count() == 1
+
+
+def test_late_alert_gets_its_decision(spark, tmp_path):
+    parts = [[alert(1, 7200, "db")], [alert(2, 7230, "api")], [alert(3, 3600, "db", name="Slow"), alert(4, 7240, "db")]]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, ALERT_DDL).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema(ALERT_DDL).option("maxFilesPerTrigger", 1).option(
+        "recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    drain(streaming_correlation.correlate_stream(stream, edges_df(spark)), tmp_path / "out", tmp_path / "ck")
+    got = {r.alert_id: r.incident_id for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[3] == 3 and got[1] == got[2] == got[4]
+
+
 @pytest.mark.parametrize("name", ["incident", "cost", "pages"])
 def test_rollup_streams_match_batch(spark, tmp_path, views, name):
     if name == "incident":

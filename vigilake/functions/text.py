@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from difflib import SequenceMatcher
+from hashlib import blake2b
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType
 from vigilake.constants import EXEMPLAR_STOPWORDS, EXEMPLARS, PRIVATE_IP_PATTERN
 
 NGRAM = 3
+WORD_BASE = 1 << 50
 
 
 def strip(text: Column) -> Column:
@@ -50,24 +52,32 @@ def number_spellings(values: pd.Series) -> pd.Series:
     return values.map(spell)
 
 
-def lexical_counts(text: str) -> Counter:
-    """How often each content word and each character trigram of them occurs."""
-    words = [w for w in re.findall("[a-z0-9]+", text.lower()) if w not in EXEMPLAR_STOPWORDS]
-    joined = " ".join(words)
-    counts = Counter("w:" + w for w in words)
-    counts.update("c:" + joined[i : i + NGRAM] for i in range(len(joined) - NGRAM + 1))
-    return counts
-
-
-def exemplar_vectors() -> list[tuple[int, str, dict[str, float]]]:
-    """Unit vectors of the fixed example phrases: (position, intent, feature weights)."""
-    out = []
-    for intent, phrases in EXEMPLARS.items():
-        for phrase in phrases:
-            counts = lexical_counts(phrase)
-            norm = math.sqrt(sum(n * n for n in counts.values()))
-            out.append((len(out), intent, {f: n / norm for f, n in counts.items()}))
-    return out
+def lexical_features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of a text and how often each occurs.
+
+    Features are content words and the trigrams seen by a window sliding over the
+    words joined by blanks. A trigram is numbered by its three bytes, a word by a
+    48-bit hash above all trigrams.
+    """
+    content = [w for w in re.findall("[a-z0-9]+", text.lower()) if w not in EXEMPLAR_STOPWORDS]
+    stream = np.frombuffer(" ".join(content).encode("ascii"), dtype=np.uint8).astype(np.int64)
+    grams = np.zeros(0, dtype=np.int64)
+    if len(stream) >= NGRAM:
+        window = np.lib.stride_tricks.sliding_window_view(stream, NGRAM)
+        grams = window @ np.array([1 << 16, 1 << 8, 1])
+    named = [WORD_BASE + int.from_bytes(blake2b(w.encode(), digest_size=6).digest(), "big") for w in content]
+    return np.unique(np.concatenate([np.array(named, dtype=np.int64), grams]), return_counts=True)
+
+
+def exemplar_matrix() -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(intent of each example phrase, sorted features of all, their weights by phrase as unit rows)."""
+    intents = [kind for kind, phrases in EXEMPLARS.items() for _ in phrases]
+    counted = [lexical_features(phrase) for phrases in EXEMPLARS.values() for phrase in phrases]
+    features = np.unique(np.concatenate([found for found, _ in counted]))
+    weights = np.zeros((len(counted), len(features)))
+    for row, (found, n) in zip(weights, counted):
+        row[np.searchsorted(features, found)] = n / np.linalg.norm(n)
+    return intents, features, weights
 
 
 def is_private_ip(value: Column) -> Column:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from vigilake.constants import (
     SUMMARY_CHARS,
 )
 from vigilake.functions.evidence import timeline_ref
-from vigilake.functions.text import exemplar_vectors, lexical_counts, strip
+from vigilake.functions.text import exemplar_matrix, lexical_features, strip
 from vigilake.functions.times import chat_timestamp
 
 MIN_CHARS = 3
@@ -53,22 +52,15 @@ def _nearest_exemplar(texts: pd.Series) -> pd.DataFrame:
     Stays beside the scan: exploding the features into a join re-groups several
     hundred rows per message and measured several times slower.
     """
-    phrases = exemplar_vectors()
-    index: dict[str, list[tuple[int, float]]] = {}
-    for at, _, vector in phrases:
-        for feature, weight in vector.items():
-            index.setdefault(feature, []).append((at, weight))
+    intents, features, weights = exemplar_matrix()
 
     def nearest(text):
-        counts = lexical_counts(text or "")
-        dots = [0.0] * len(phrases)
-        for feature, n in counts.items():
-            for at, weight in index.get(feature, ()):
-                dots[at] += n * weight
-        top = max(dots)
-        if top <= 0.0:
-            return None, None
-        return phrases[dots.index(top)][1], top / math.sqrt(sum(n * n for n in counts.values()))
+        found, n = lexical_features(text or "")
+        place = np.minimum(np.searchsorted(features, found), len(features) - 1)
+        known = features[place] == found
+        dots = weights[:, place[known]] @ n[known]
+        best = int(dots.argmax())
+        return (intents[best], dots[best] / np.linalg.norm(n)) if dots[best] > 0.0 else (None, None)
 
     return pd.DataFrame([nearest(t) for t in texts], columns=["intent", "score"])
 

@@ -67,10 +67,10 @@ class Recordings:
     def alerts(self) -> DataFrame:
         """Alert entries through the ordinary normaliser, in recorded order."""
         group = F.to_json(F.struct(F.coalesce(_at("group.groupKey"), F.lit("")).alias("groupKey")))
-        envelope = F.concat(F.lit('{"alerts":['), _at("payload"), F.lit("],"), F.substring(group, 2, 4096))
+        envelope = F.concat(F.lit('{"alerts":['), _at("payload"), F.lit("],"), F.substr(group, F.lit(2)))
         payloads = self.of("alert").select("recording", "seq", "t", envelope.alias("value"))
         return accepted(alert_entries(payloads, ("recording", "seq", "t"))).withColumns(
-            {"id": F.col("recording") * 1_000_000 + F.col("seq"), "taken": F.struct("t", "seq")}
+            {"id": F.xxhash64("recording", "seq"), "taken": F.struct("t", "seq")}
         )
 
     def messages(self) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vigilake.functions.skew import time_cell, with_running
 
-LINES_PER_PART = 5000
+NEWEST_DEPLOYS = 5
 
 # Wording of the documents.
 BANNER = (
@@ -96,9 +96,10 @@ def _impact_lines(report: DataFrame, section: int, with_reason: bool) -> DataFra
 
 
 def skeleton_lines(
-    incidents: DataFrame, report: DataFrame, timeline: DataFrame, deploys: DataFrame, counts: DataFrame
+    incidents: DataFrame, report: DataFrame, timeline: DataFrame, deploys: DataFrame, counts: DataFrame,
+    newest_deploys: int = NEWEST_DEPLOYS,
 ) -> DataFrame:
-    """Lines of the model-free review of each incident.
+    """Lines of the model-free review of each incident; it names its `newest_deploys` deploys only.
 
     `incidents` has incident_id, public_key, title, severity, detected_at,
     resolved_at, runbook_name and the root alert's fields; `counts` has
@@ -163,7 +164,7 @@ def skeleton_lines(
         head, _impact_lines(facts, 1, True), _lines(incidents, 2, "## Timeline", ""),
         _lines(timeline, 3, entry, at=F.col("time")), _lines(known, 4, empty, ""),
         _lines(incidents, 5, "## Evidence available", "", root), _lines(book, 6, runbook),
-        _lines(deploys.where(F.col("rank") <= 5), 7, deploy, rank=F.col("rank")),
+        _lines(deploys.where(F.col("rank") <= newest_deploys), 7, deploy, rank=F.col("rank")),
         _lines(book, 8, transcript, ""), _lines(incidents, 9, *todo), _lines(book, 10, "---", "", closing),
     ]
     return _union(parts)
@@ -222,13 +223,12 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def assemble(lines: DataFrame, per_part: int = LINES_PER_PART) -> DataFrame:
-    """(incident_id, part, text): the lines in order, a very long document in several parts."""
+def assemble(lines: DataFrame) -> DataFrame:
+    """(incident_id, text): the lines of each document in order."""
     order = ["section", "at", "rank", "line", "text"]
     cell = F.struct("section", F.coalesce(time_cell(F.col("at"), 3600), F.lit(0)).alias("hour"))
     numbered = with_running(lines, ["incident_id"], cell, order, F.lit(1), "number")
-    part = F.floor((F.col("number") - 1) / per_part).cast("int").alias("part")
-    return numbered.groupBy("incident_id", part).agg(
+    return numbered.groupBy("incident_id").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("number", "text"))), lambda l: l["text"]), "\n"
         ).alias("text")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.errors import IllegalArgumentException, SparkRuntimeException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.constants import (
@@ -13,6 +16,35 @@ from vigilake.constants import (
 )
 
 PATTERNS_PER_PASS = 100
+MATCH_MODE = "(?iU)"
+
+
+def portable(pattern: str) -> str:
+    """Named groups and the end anchor in the engine's spelling instead of Python's."""
+    pattern = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', '')}>", pattern)
+    pattern = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\k<{m[1].replace('_', '')}>", pattern)
+    return pattern.replace("\\Z", "\\z")
+
+
+def compiles(spark: SparkSession, pattern: str) -> bool:
+    """Whether the engine that will match takes the pattern; asked without a job."""
+    try:
+        spark.sql("SELECT '' RLIKE :pattern", {"pattern": MATCH_MODE + portable(pattern)}).collect()
+    except (SparkRuntimeException, IllegalArgumentException):
+        return False
+    return True
+
+
+def pattern_problems(runbooks: DataFrame) -> DataFrame:
+    """(id, problem) of runbooks whose alert pattern or service filter does not compile."""
+    spark = runbooks.sparkSession
+    bad = [
+        (row.id, f"{column} is not valid regex")
+        for row in runbooks.select("id", "alert_pattern", "service_filter").toLocalIterator()
+        for column in ("alert_pattern", "service_filter")
+        if row[column] is not None and not compiles(spark, row[column])
+    ]
+    return spark.createDataFrame(bad, runbooks.select("id").schema.add("problem", "string"))
 
 
 def match_runbooks(incidents: DataFrame, runbooks: DataFrame) -> DataFrame:
@@ -20,6 +52,7 @@ def match_runbooks(incidents: DataFrame, runbooks: DataFrame) -> DataFrame:
 
     `incidents` has id, root_signal, alertname, severity, service; `runbooks`
     has id, position (anything that sorts, such as the file name), alert_pattern,
+    (a runbook whose pattern the engine refuses matches nothing, see `pattern_problems`),
     severity_filter, service_filter. The root signal decides; the alert name is only asked when nothing matched it.
 
     Incidents are reduced to their distinct situations first. Patterns come in
@@ -35,7 +68,10 @@ def match_runbooks(incidents: DataFrame, runbooks: DataFrame) -> DataFrame:
     passes, batch = [], []
     columns = ["id", "position", "alert_pattern", "severity_filter", "service_filter"]
     ordered = runbooks.select(*columns).orderBy("position", "id")
+    spark = runbooks.sparkSession
     for place, row in enumerate(ordered.toLocalIterator()):
+        if not all(compiles(spark, p) for p in (row.alert_pattern, row.service_filter) if p is not None):
+            continue
         batch.append((place, row))
         if len(batch) == PATTERNS_PER_PASS:
             passes.append(_pass(asked, batch))
@@ -92,11 +128,11 @@ def _score(row) -> int:
 
 
 def _applies(row) -> Column:
-    test = F.col("name").rlike("(?i)" + row.alert_pattern)
+    test = F.col("name").rlike(MATCH_MODE + portable(row.alert_pattern))
     if row.severity_filter is not None:
         test = test & F.coalesce(F.col("severity") == row.severity_filter, F.lit(False))
     if row.service_filter is not None:
-        test = test & F.coalesce(F.col("service").rlike("(?i)" + row.service_filter), F.lit(False))
+        test = test & F.coalesce(F.col("service").rlike(MATCH_MODE + portable(row.service_filter)), F.lit(False))
     return test
 
 

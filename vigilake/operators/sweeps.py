@@ -16,9 +16,9 @@ from vigilake.functions.times import as_of_literal, interval, seconds_between
 
 
 def awaiting_document(
-    incidents: DataFrame, documents: DataFrame, limit: int | None = 5, state: str = "resolved"
+    incidents: DataFrame, documents: DataFrame, limit: int | None = None, state: str = "resolved"
 ) -> DataFrame:
-    """Resolved incidents without any document, oldest first; the limit is the sweep's batch."""
+    """Resolved incidents without any document, oldest first; a limit makes it one batch of a sweep."""
     written = documents.select(F.col("incident_id").alias("id")).distinct()
     waiting = (
         incidents.where(F.col("state") == state).join(written, "id", "left_anti")
@@ -29,7 +29,7 @@ def awaiting_document(
 
 def nudges(
     incidents: DataFrame, as_of, after_s: int = NUDGE_AFTER_S, every_s: int = NUDGE_INTERVAL_S,
-    limit: int | None = 50,
+    limit: int | None = None,
 ) -> DataFrame:
     """Unacknowledged incidents due a reminder, one key per reminder interval."""
     age = seconds_between(F.col("detected_at"), as_of_literal(as_of))
@@ -50,7 +50,7 @@ def nudges(
 
 def abandonment_candidates(
     incidents: DataFrame, messages: DataFrame, transitions: DataFrame, as_of,
-    hours: int = ABANDON_AFTER_H, limit: int | None = 50,
+    hours: int = ABANDON_AFTER_H, limit: int | None = None,
 ) -> DataFrame:
     """Open incidents silent for the period: no alert, no message, no transition.
 

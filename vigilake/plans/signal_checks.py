@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigilake.constants import BUCKETS, INTENT_RULES
+from vigilake.constants import BUCKETS, EXEMPLARS, INTENT_RULES
 from vigilake.functions.evidence import message_ref, numbers_in
-from vigilake.functions.text import exemplar_vectors
 from vigilake.operators import evaluation, grounding, intent, metrics, privacy, review, runbooks
 from vigilake.plans.registry import query, rounded
 
@@ -149,27 +148,29 @@ def _(v):
 
 
 _PHRASES = ", ".join(
-    f"({i}, '{kind}', '{feature}', {weight!r})"
-    for i, kind, vector in exemplar_vectors() for feature, weight in vector.items()
+    "({}, '{}', '{}')".format(i, kind, phrase.replace("'", "''"))
+    for i, (kind, phrase) in enumerate((kind, p) for kind, phrases in EXEMPLARS.items() for p in phrases)
 )
 
 
 @query("nearest_exemplar", f"""
-    WITH x(i, kind, f, w) AS (VALUES {_PHRASES}),
-    words AS (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w NOT IN
-              ('a', 'an', 'and', 'at', 'for', 'in', 'is', 'it', 'of', 'on', 'the', 'to', 'we')) AS ws
-              FROM conversations),
+    WITH given(i, kind, phrase) AS (VALUES {_PHRASES}),
+    said AS (SELECT 'p' AS side, i AS a, 0 AS b, phrase AS text FROM given UNION ALL
+             SELECT 'm', conv_id, turn, text FROM conversations),
+    words AS (SELECT side, a, b, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w NOT IN
+              ('a', 'an', 'and', 'at', 'for', 'in', 'is', 'it', 'of', 'on', 'the', 'to', 'we')) AS ws FROM said),
     joined AS (SELECT *, array_to_string(ws, ' ') AS j FROM words),
-    feats AS (SELECT conv_id, turn, 'w:' || unnest(ws) AS f FROM joined UNION ALL
-              SELECT conv_id, turn, 'c:' || substr(j, unnest(range(1, length(j) - 1)), 3) FROM joined),
-    counts AS (SELECT conv_id, turn, f, count(*) AS n FROM feats GROUP BY 1, 2, 3),
-    norms AS (SELECT conv_id, turn, sqrt(sum(n * n)) AS norm FROM counts GROUP BY 1, 2),
-    dots AS (SELECT c.conv_id, c.turn, x.i, sum(n * w) AS dot FROM counts c JOIN x ON x.f = c.f GROUP BY 1, 2, 3)
-    SELECT d.conv_id, d.turn, round(max(dot / norm), 6) AS score FROM dots d
-      JOIN norms n ON n.conv_id = d.conv_id AND n.turn = d.turn GROUP BY 1, 2""")
+    feats AS (SELECT side, a, b, 'w:' || unnest(ws) AS f FROM joined UNION ALL
+              SELECT side, a, b, 'c:' || substr(j, unnest(range(1, length(j) - 1)), 3) FROM joined),
+    tally AS (SELECT side, a, b, f, count(*) AS n FROM feats GROUP BY ALL),
+    unit AS (SELECT side, a, b, f, n / sqrt(sum(n * n) OVER (PARTITION BY side, a, b)) AS w FROM tally),
+    cosine AS (SELECT m.a AS conv_id, m.b AS turn, p.a AS i, sum(m.w * p.w) AS score
+                 FROM unit m JOIN unit p ON p.f = m.f AND p.side = 'p' WHERE m.side = 'm' GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY round(score, 9) DESC, i) AS k FROM cosine)
+    SELECT conv_id, turn, kind AS intent, round(score, 6) AS score FROM ranked JOIN given USING (i) WHERE k = 1""")
 def _(v):
     near = v.table("conversations").withColumn("near", intent.nearest_exemplar("text"))
-    return rounded(near.select("conv_id", "turn", F.col("near.score").alias("score")).where("score > 0"))
+    return rounded(near.select("conv_id", "turn", "near.intent", F.col("near.score").alias("score")).where("score > 0"))
 
 
 def _classified(v):

@@ -77,7 +77,9 @@ def compiles(patterns: pd.Series) -> pd.Series:
 
 
 def _meta(name: str) -> Column:
-    raw = F.regexp_extract("front", rf"(?m)^{name}:[ \t]*(.*)$", 1)
+    # a quoted or bare scalar, and a comment after it
+    scalar = r"""("(?:[^"\\\n]|\\.)*"|'(?:[^'\n]|'')*'|(?:[^#"'\s][^\n]*?)?)"""
+    raw = F.regexp_extract("front", rf"(?m)^{name}:[ \t]*{scalar}[ \t]*(?:(?<=[ \t])#[^\n]*)?$", 1)
     bare = F.regexp_replace(strip(raw), r"""^(["'])(.*)\1$""", "$2")
     return F.when(~bare.isin("", "null", "None", "~"), bare)
 

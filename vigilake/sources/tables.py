@@ -14,17 +14,23 @@ ROWS_PER_FILE = 5_000_000
 
 
 def write_by_day(
-    rows: DataFrame, path: str, time: str, segment: list[str], files_per_day: int = 8,
+    rows: DataFrame, path: str, time: str, segment: list[str], rows_per_task: int = ROWS_PER_FILE,
     mode: str = "append",
 ) -> None:
     """Writes day partitions sorted by segment and time, so row-group statistics can skip.
 
-    Rows of a day are spread over `files_per_day` tasks by a hash of all their
-    columns, which keeps one busy day or segment from being one task's work.
+    Rows of a day are spread by a hash of all their columns over as many tasks as
+    its counted rows fill, which keeps a busy day or segment from being one task's
+    work. The count reads only the time column.
     """
-    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(files_per_day))
+    dated = rows.withColumn("day", F.to_date(time))
+    tasks = dated.groupBy(F.col("day").alias("_of")).agg(
+        F.ceil(F.count("*") / F.lit(rows_per_task)).alias("_tasks")
+    )
+    flat = [F.to_json(c) if "map<" in kind else F.col(c) for c, kind in rows.dtypes]
     (
-        rows.withColumn("day", F.to_date(time)).withColumn("_spread", spread)
+        dated.join(tasks, F.col("day").eqNullSafe(F.col("_of")))
+        .withColumn("_spread", F.pmod(F.xxhash64(*flat), "_tasks")).drop("_of", "_tasks")
         .repartition("day", "_spread").sortWithinPartitions("day", *segment, time).drop("_spread")
         .write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE)
         .option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)

@@ -34,6 +34,13 @@ def _is_object(text: Column) -> Column:
     return F.coalesce(F.ltrim(text).startswith("{"), F.lit(False))
 
 
+def _unreadable(text: Column) -> Column:
+    """Why a payload cannot be read as an object, or NULL."""
+    return F.when(F.get_json_object(text, "$").isNull(), "malformed json").when(
+        ~_is_object(text), "payload is not an object"
+    )
+
+
 def _status(raw: Column) -> Column:
     return F.when(F.lower(raw) == "resolved", "resolved").otherwise("firing")
 
@@ -46,12 +53,19 @@ def _no_nulls(values: Column) -> Column:
 def alert_entries(payloads: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Every alert of every envelope with its normalised columns and a `reject` reason.
 
-    `carry` names payload columns to keep beside the alert.
+    A payload that is no object or has no array of alerts is one rejected row;
+    an empty array has nothing to reject. `carry` names payload columns to keep.
     """
-    envelope = payloads.select(*carry, F.from_json("value", ALERT_ENVELOPE_DDL).alias("e"))
-    entry = envelope.select(*carry, F.explode("e.alerts").alias("a"), "e.groupKey", "e.status")
+    envelope = payloads.select(
+        *carry, "value", F.from_json("value", ALERT_ENVELOPE_DDL).alias("e"), _unreadable(F.col("value")).alias("whole")
+    ).withColumn("whole", F.coalesce("whole", F.when(F.col("e.alerts").isNull(), "payload has no alerts array")))
+    alone = F.array(F.lit(None).cast(envelope.schema["e"].dataType["alerts"].dataType.elementType))
+    entry = envelope.select(
+        *carry, "value", "whole", F.explode(F.when(F.col("whole").isNull(), F.col("e.alerts")).otherwise(alone)).alias("a"),
+        "e.groupKey", "e.status",
+    )
     named = entry.select(
-        *carry, "a", "groupKey", "status", _no_nulls(F.col("a.labels")).alias("labels"),
+        *carry, "value", "whole", "a", "groupKey", "status", _no_nulls(F.col("a.labels")).alias("labels"),
         _no_nulls(F.col("a.annotations")).alias("annotations"),
         parse_timestamp(F.col("a.startsAt")).alias("starts_at"),
         parse_timestamp(F.col("a.endsAt")).alias("ends_at"),
@@ -59,7 +73,8 @@ def alert_entries(payloads: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame
     label = lambda name: F.col("labels")[name]
     level = severity_level(label("severity"))
     reject = (
-        F.when(F.col("a").isNull(), "alert entry is not an object")
+        F.when(F.col("whole").isNotNull(), F.col("whole"))
+        .when(F.col("a").isNull(), "alert entry is not an object")
         .when(_present(label("alertname")).isNull(), "alert has no alertname label")
         .when(F.col("starts_at").isNull(), "alert has no parseable startsAt")
     )
@@ -70,7 +85,7 @@ def alert_entries(payloads: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame
         label("alertname").alias("alertname"), label("service").alias("service"),
         level.alias("severity"), severity_rank(level).alias("severity_rank"), "starts_at", "ends_at",
         "labels", "annotations", _present(F.col("a.generatorURL")).alias("generator_url"),
-        F.to_json("a").alias("raw"), reject.alias("reject"),
+        F.coalesce(F.to_json("a"), "value").alias("raw"), reject.alias("reject"),
     )
 
 
@@ -153,6 +168,13 @@ def chat_events(payloads: DataFrame) -> DataFrame:
     return payloads.select(F.from_json("value", CHAT_EVENT_DDL).alias("e")).select("e.*")
 
 
+def chat_rejects(payloads: DataFrame) -> DataFrame:
+    """Chat payloads that are no JSON object: raw, reject."""
+    return payloads.select(F.col("value").alias("raw"), _unreadable(F.col("value")).alias("reject")).where(
+        F.col("reject").isNotNull()
+    )
+
+
 def split_chat(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(messages, edits, deletes); edits and deletes lacking a channel or ts are dropped."""
     subtype = F.coalesce("subtype", F.lit(""))

@@ -25,24 +25,25 @@ from vigilake.constants import (
 from vigilake.operators.correlation import DECISION_DDL, Incident, Loop, decisions, typed_rows
 from vigilake.operators.graph import components, neighbours
 
+ARRIVAL_SLACK = "1 minute"
+
 
 def correlate_stream(
     alerts: DataFrame, edges: DataFrame, *, window_s: int = CORRELATION_WINDOW_S,
     threshold: float = MERGE_THRESHOLD, close_after_s: int = CLOSE_AFTER_S,
-    lateness: str = "10 minutes", order: str = "starts_at", bridges: DataFrame | None = None,
+    order: str = "starts_at", bridges: DataFrame | None = None,
 ) -> DataFrame:
     """One decision per arriving alert: alert_id, incident_id, kind, score, reasons.
 
     `bridges` (service, depends_on) joins components that share dedup keys; in a
-    stream such keys are not known beforehand. State of a component leaves once
-    it has been silent for the closing time by the watermark.
+    stream such keys are not known beforehand. The watermark follows arrival, not
+    the alerts' own time: an alert gets its decision however late it comes, and
+    state of a component leaves once no alert of it has arrived for the closing time.
     """
     links = edges.select("service", "depends_on")
     graph = components(links if bridges is None else links.union(bridges))
-    # recomputed so that only `starts_at` itself carries the watermark
-    plain = lambda name: F.timestamp_micros(F.unix_micros(name))
     placed = (
-        alerts.withWatermark("starts_at", lateness)
+        alerts.withColumn("arrived_at", F.current_timestamp()).withWatermark("arrived_at", ARRIVAL_SLACK)
         .join(graph, "service", "left")
         .join(neighbours(edges), "service", "left")
         .select(
@@ -50,8 +51,8 @@ def correlate_stream(
             F.col("id").alias("first_id"), "dedup_key", "service", "near",
             F.col("severity_rank").cast("int").alias("severity_rank"),
             F.struct(*[F.col("labels")[n].alias(n) for n in STABLE_LABELS]).alias("labels"),
-            plain("starts_at").alias("first_at"), plain("starts_at").alias("last_at"),
-            (plain(order) if order == "starts_at" else F.col(order)).alias("taken_at"), F.lit(False).alias("closing"), "starts_at",
+            F.col("starts_at").alias("first_at"), F.col("starts_at").alias("last_at"),
+            F.col(order).alias("taken_at"), F.lit(False).alias("closing"), "arrived_at",
         )
     )
     loop = Loop(window_s, threshold, close_after_s, False)
@@ -73,8 +74,8 @@ def correlate_stream(
         at = {id(incident): n for n, incident in enumerate(live)}
         keys = {dedup: at[id(i)] for dedup, i in holders.items() if id(i) in at}
         state.update((pickle.dumps((keys, [i.plain() for i in live])),))
-        expires = int((latest + idle).timestamp() * 1000)
-        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
+        arrived = int(rows["arrived_at"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(arrived, state.getCurrentWatermarkMs()) + close_after_s * 1000)
         yield decisions(out)
 
     return placed.groupBy("component").applyInPandasWithState(

@@ -18,7 +18,14 @@ from vigilake.operators.audit import triage_messages
 from vigilake.operators.intent import classify, snapshot_requests, timeline
 from vigilake.operators.store import append_revisions, insert_new
 from vigilake.operators.sweeps import with_incident
-from vigilake.sources.webhooks import accepted, alert_entries, chat_events, rejected, split_chat
+from vigilake.sources.webhooks import (
+    accepted,
+    alert_entries,
+    chat_events,
+    chat_rejects,
+    rejected,
+    split_chat,
+)
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -67,28 +74,52 @@ def append_new(rows: DataFrame, path: str, keys: Sequence[str], order: Sequence[
     fresh.write.mode("append").partitionBy("day").parquet(path)
 
 
-def alert_sink(alerts_path: str, rejects_path: str) -> Sink:
-    """Stores each firing alert once by (fingerprint, starts_at); unusable payloads go aside."""
+def _keep_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    """One folder per micro-batch, so that its replay replaces what it wrote."""
+    rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def alert_sink(alerts_path: str, rejects_path: str, resolved_path: str, sightings_path: str) -> Sink:
+    """Stores each firing alert once by (fingerprint, starts_at), counting how often it came.
+
+    Resolved alerts have a table of their own, once per (fingerprint, starts_at,
+    ends_at), since they must not open incidents. Unusable payloads go aside.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         entries = alert_entries(batch)
-        bad = rejected(entries)
-        bad.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{rejects_path}/batch={batch_id}"
-        )
-        append_new(
-            firing(accepted(entries)), alerts_path, ["fingerprint", "starts_at"], ["severity_rank", "raw"],
-            "starts_at",
+        _keep_batch(rejected(entries), rejects_path, batch_id)
+        good = accepted(entries)
+        order = ["severity_rank", "raw"]
+        append_new(firing(good), alerts_path, ["fingerprint", "starts_at"], order, "starts_at")
+        append_new(resolved(good), resolved_path, ["fingerprint", "starts_at", "ends_at"], order, "starts_at")
+        seen = firing(good).groupBy("fingerprint", "starts_at").agg(
+            F.count("*").alias("seen"), F.current_timestamp().alias("seen_at")
         )
+        _keep_batch(seen, sightings_path, batch_id)
 
     return write
 
 
+def with_sightings(alerts: DataFrame, sightings: DataFrame) -> DataFrame:
+    """Stored alerts with `seen_count` and `last_seen_at` over all deliveries."""
+    keys = ["fingerprint", "starts_at"]
+    total = sightings.groupBy(*keys).agg(
+        F.sum("seen").alias("seen_count"), F.max("seen_at").alias("last_seen_at")
+    )
+    return alerts.join(total, keys, "left")
+
+
 def transcript_sink(incidents: DataFrame, messages_path: str, timeline_path: str, snapshots_path: str,
-                    revisions_path: str) -> Sink:
-    """Stores messages once, classifies the new ones, and logs edits and deletes."""
+                    revisions_path: str, rejects_path: str) -> Sink:
+    """Stores messages once, classifies the new ones, and logs edits and deletes.
+
+    Unreadable payloads go aside. An edit whose message was never stored has
+    nothing to revise and adds no revision.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        _keep_batch(chat_rejects(batch), rejects_path, batch_id)
         messages, edits, deletes = split_chat(chat_events(batch))
         owned = with_incident(messages.withColumn("channel_id", F.col("channel")), incidents)
         kept = triage_messages(owned).where(F.col("reason") == "stored").select(
@@ -106,8 +137,17 @@ def transcript_sink(incidents: DataFrame, messages_path: str, timeline_path: str
         )
         append_new(kept, messages_path, ["channel_id", "ts"], ["received_at", "text"], "time")
         spark = batch.sparkSession
+        held = stored(spark, messages_path)
+        if held is None:
+            return
+        observed = edits.unionByName(deletes)
+        touched = observed.select("channel_id", "ts", F.to_date(chat_timestamp(F.col("ts"))).alias("day")).distinct()
         log = stored(spark, revisions_path)
-        fresh = append_revisions(edits.unionByName(deletes), spark.read.parquet(messages_path), log)
+        known = held.join(F.broadcast(touched.select("day").distinct()), "day", "left_semi").join(  # days of the edits
+            touched.select("channel_id", "ts"), ["channel_id", "ts"], "left_semi"
+        )
+        past = None if log is None else log.join(touched.select("channel_id", "ts"), ["channel_id", "ts"], "left_semi")
+        fresh = append_revisions(observed, known, past)
         append_new(fresh, revisions_path, ["channel_id", "ts", "revision"], ["observed_at"], "observed_at")
 
     return write
