@@ -109,16 +109,78 @@ def _(v):
     return joined.groupBy(key.alias("public_key")).agg(F.count("*").alias("n"))
 
 
-@query("correlate_alerts")
+# Errors forty times as dense, so that incidents meet.
+_SPED = "TIMESTAMP '2024-01-01'"
+
+
+def _busy_alerts(v):
+    start = F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
+    return v.alerts().withColumn(
+        "starts_at", F.timestamp_micros(start + F.floor((F.unix_micros("starts_at") - start) / 40).cast("bigint"))
+    )
+
+
+def _correlated_sql(window_s: int, threshold: float) -> str:
+    """The rule one alert at a time: a recursion that carries the open incidents as a list."""
+    return f"""
+    WITH RECURSIVE near AS (SELECT service a, depends_on b FROM v_edges UNION SELECT depends_on, service FROM v_edges),
+    hop AS (SELECT a, b, min(h) AS h FROM (SELECT a, a AS b, 0 AS h FROM near UNION ALL SELECT a, b, 1 FROM near
+             UNION ALL SELECT x.a, y.b, 2 FROM near x JOIN near y ON x.b = y.a) GROUP BY a, b),
+    reach AS (SELECT a, map(list(b), list(h)) AS hops FROM hop GROUP BY a),
+    walk(service, depth) AS (SELECT a, 0 FROM near UNION
+        SELECT e.depends_on, depth + 1 FROM walk JOIN v_edges e ON e.service = walk.service),
+    busy AS (SELECT id, service, fingerprint, fingerprint || strftime(starts_at, '%Y%m%d') AS key,
+                    make_timestamp(epoch_us({_SPED}) + (epoch_us(starts_at) - epoch_us({_SPED})) // 40) AS starts_at,
+                    ['alertname=ErrorRate', 'service=' || service, 'severity=critical',
+                     'namespace=ns-' || (CAST(substr(service, 5) AS INTEGER) % 3)] AS labels FROM v_alerts),
+    queue AS (SELECT row_number() OVER (ORDER BY starts_at, id) AS n, *, epoch_us(starts_at) / 1e6 AS tm, 4 AS rank FROM busy),
+    step(n, live, incident_id, kind, score) AS (
+        SELECT 0::BIGINT, []::STRUCT(id BIGINT, born BIGINT, lo DOUBLE, hi DOUBLE, rank INTEGER, services VARCHAR[],
+               labels VARCHAR[], keys VARCHAR[])[], NULL::BIGINT, NULL::VARCHAR, NULL::DOUBLE
+        UNION ALL
+        SELECT n, list_append(list_filter(live, lambda i: i.id <> coalesce(got, -1)),
+                 CASE WHEN got IS NULL THEN {{'id': id, 'born': n, 'lo': tm, 'hi': tm, 'rank': rank, 'services': [service],
+                                             'labels': labels, 'keys': [key]}}
+                 ELSE list_transform(list_filter(live, lambda i: i.id = got), lambda i: {{'id': i.id, 'born': i.born,
+                      'lo': least(i.lo, tm), 'hi': greatest(i.hi, tm), 'rank': greatest(i.rank, rank),
+                      'services': list_distinct(list_append(i.services, service)),
+                      'labels': list_concat(i.labels, list_filter(labels, lambda l: NOT list_contains(
+                          list_transform(i.labels, lambda m: split_part(m, '=', 1)), split_part(l, '=', 1)))),
+                      'keys': list_distinct(list_append(i.keys, key))}})[1] END),
+               coalesce(got, id), CASE WHEN got IS NULL THEN 'new' WHEN held THEN 'attached' ELSE 'merged' END,
+               CASE WHEN NOT held THEN score END
+          FROM (SELECT n, live, id, service, key, labels, rank, tm, len(holder) > 0 AS held, -scored[1].cost AS score,
+                       CASE WHEN len(holder) > 0 THEN holder[1].id ELSE scored[1].id END AS got
+                  FROM (SELECT q.*, list_filter(live, lambda i: list_contains(i.keys, q.key)) AS holder,
+                          list_sort(list_filter(list_transform(list_filter(live, lambda i: i.rank >= q.rank), lambda i: {{
+                            'cost': -round(CASE WHEN greatest(i.lo - q.tm, q.tm - i.hi, 0) <= {window_s}
+                                               THEN 0.4 * (1 - greatest(i.lo - q.tm, q.tm - i.hi, 0) / {window_s}) ELSE 0 END
+                                + coalesce(0.4 * (1 - list_min(list_transform(i.services, lambda s: hops[s])) / 3.0), 0)
+                                + 0.2 * len(list_intersect(i.labels, q.labels))
+                                  / len(list_distinct(list_concat(i.labels, q.labels))), 9),
+                            'born': i.born, 'id': i.id}}), lambda x: -x.cost >= {threshold})) AS scored
+                      FROM (SELECT q.*, reach.hops, list_filter(step.live, lambda i: q.tm - i.hi <= 86400) AS live
+                              FROM step JOIN queue q ON q.n = step.n + 1 LEFT JOIN reach ON reach.a = q.service) q))),
+    decided AS (SELECT q.id AS alert_id, incident_id, kind, score, service, fingerprint, starts_at
+                  FROM step JOIN queue q USING (n))"""
+
+
+@query("correlate_alerts", _correlated_sql(300, 0.62) + """
+    SELECT alert_id, incident_id, kind, round(score, 4) AS score FROM decided""")
 def correlated(v):
-    return correlation.correlate(v.alerts(), v.edges()).withColumn(
-        "reasons", F.array_join("reasons", "; ")
+    return correlation.correlate(_busy_alerts(v), v.edges()).select(
+        "alert_id", "incident_id", "kind", F.round("score", 4).alias("score")
     )
 
 
-@query("root_signals")
+@query("root_signals", _correlated_sql(300, 0.62) + """,
+    deep AS (SELECT service, max(depth) AS depth FROM walk GROUP BY service),
+    ranked AS (SELECT d.*, row_number() OVER (PARTITION BY incident_id
+                      ORDER BY coalesce(depth, 0) DESC, starts_at, alert_id) AS k
+                 FROM decided d LEFT JOIN deep USING (service))
+    SELECT incident_id, alert_id, 'ErrorRate' AS alertname, service, fingerprint, starts_at FROM ranked WHERE k = 1""")
 def _(v):
-    alerts, edges = v.alerts(), v.edges()
+    alerts, edges = _busy_alerts(v), v.edges()
     return correlation.root_signals(correlation.correlate(alerts, edges), alerts, edges)
 
 
@@ -144,9 +206,15 @@ def _(v):
     return correlation.island_sizes(v.alerts(), v.edges())
 
 
-@query("correlation_sweep")
+def _swept(window_s: int) -> str:
+    return f"""({_correlated_sql(window_s, 0.62)}
+        SELECT {window_s} AS window_s, 0.62::DOUBLE AS threshold, count(*) AS alerts,
+               count(*) FILTER (WHERE kind = 'new') AS incidents, count(*) FILTER (WHERE kind = 'merged') AS merges FROM decided)"""
+
+
+@query("correlation_sweep", f"SELECT * FROM {_swept(60)} UNION ALL SELECT * FROM {_swept(900)}")
 def _(v):
-    return correlation.sweep(v.alerts(), v.edges(), [(300, 0.62), (900, 0.62)])
+    return correlation.sweep(_busy_alerts(v), v.edges(), [(60, 0.62), (900, 0.62)])
 
 
 @query("severity_assessment", """
