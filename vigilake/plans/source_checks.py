@@ -26,7 +26,7 @@ def _json(**fields):
                          WHEN nameless THEN 'alert has no alertname label'
                          WHEN timeless THEN 'alert has no parseable startsAt' END AS reject FROM e),
     v AS (SELECT *, NOT (torn OR bare) AS read, CASE event_type WHEN 'error' THEN 'sev1' WHEN 'click' THEN 'sev4' ELSE 'sev3' END AS sev FROM r)
-    SELECT event_id, reject, CASE WHEN user_id % 2 = 0 THEN 'resolved' ELSE 'firing' END AS status,
+    SELECT event_id, reject, CASE WHEN NOT torn AND user_id % 2 = 0 THEN 'resolved' ELSE 'firing' END AS status,
            CASE WHEN read THEN 'svc-' || user_id END AS service, CASE WHEN read THEN sev ELSE 'sev3' END AS severity,
            CASE WHEN NOT read THEN 2 ELSE CASE sev WHEN 'sev1' THEN 4 WHEN 'sev4' THEN 1 ELSE 2 END END AS severity_rank,
            CASE WHEN read AND NOT timeless THEN date_trunc('second', ts) END AS starts_at,
@@ -46,7 +46,7 @@ def _(v):
     status = F.when(F.col("user_id") % 2 == 0, "resolved").otherwise("firing")
     group = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("group-"), F.col("user_id").cast("string")))
     full = _json(status=status, groupKey=group, alerts=F.array(entry))
-    text = F.when(F.col("event_id") % 13 == 0, F.substring(full, 1, 40)).when(
+    text = F.when(F.col("event_id") % 13 == 0, F.substring(full, 1, 12)).when(
         F.col("event_id") % 17 == 0, _json(status=status)).otherwise(full)
     read = webhooks.alert_entries(e.select("event_id", text.alias("value")), ("event_id",))
     return read.select(
