@@ -83,7 +83,7 @@ def error_ratios(grown: DataFrame, by: Sequence[str], failed: Column, step_s: in
     )
 
 
-def held_for(series: DataFrame, by: Sequence[str], flag: str, minutes: int, name: str):
+def held_for(series: DataFrame, by: Sequence[str], flag: str, minutes: int | Column, name: str):
     """Adds `name`: the flag has been true at every step for at least `minutes`; NULL is false."""
     order = Window.partitionBy(*by).orderBy("at")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -136,21 +136,30 @@ SCALAR_ALERTS = (
 
 
 def scalar_alerts(series: DataFrame, by: Sequence[str] = (), rules=SCALAR_ALERTS) -> DataFrame:
-    """Threshold alerts over (name, at, value, *by); an unmeasured value never fires."""
+    """Threshold alerts over (name, at, value, *by); an unmeasured value never fires.
+
+    The series is read once: a row meets all rules of its name, and one window per
+    (alert, series) looks how long each has held.
+    """
     value = F.col("value")
+    usable = value.isNotNull() & ~F.isnan(value)
     tests = {">": lambda v, t: v > t, "<": lambda v, t: v < t, ">=": lambda v, t: v >= t,
              "==": lambda v, t: v == t}
-    out = None
+    of_name: dict[str, list[Column]] = {}
     for alert, name, comparison, threshold, minutes in rules:
-        usable = value.isNotNull() & ~F.isnan(value)
-        one = series.where(F.col("name") == name).withColumn(
-            "_hit", usable & tests[comparison](value, F.lit(threshold))
-        )
-        fired = held_for(one, list(by) or ["name"], "_hit", minutes, "firing").select(
-            F.lit(alert).alias("alert"), *by, "at", "value", "firing"
-        )
-        out = fired if out is None else out.unionByName(fired)
-    return out
+        of_name.setdefault(name, []).append(F.struct(
+            F.lit(alert).alias("alert"), F.lit(minutes).alias("minutes"),
+            (usable & tests[comparison](value, F.lit(threshold))).alias("hit"),
+        ))
+    own = F.when(F.lit(False), F.array(*next(iter(of_name.values()))))
+    for name, own_rules in of_name.items():
+        own = own.when(F.col("name") == name, F.array(*own_rules))
+    tested = series.where(F.col("name").isin(*of_name)).select(*by, "at", "value", F.explode(own).alias("_rule")).select(
+        *by, "at", "value", "_rule.*"
+    )
+    return held_for(tested, ["alert", *by], "hit", F.col("minutes"), "firing").select(
+        "alert", *by, "at", "value", "firing"
+    )
 
 
 def histogram_counts(

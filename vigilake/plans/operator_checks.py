@@ -415,10 +415,10 @@ def _(v):
 
 
 @query("orphan_channels", """
-    SELECT DISTINCT channel_id FROM v_messages
-     WHERE channel_id NOT IN (SELECT chat_channel_id FROM v_incidents WHERE state <> 'closed')""")
+    SELECT DISTINCT 'C' || (event_id * 7) AS channel_id FROM events
+     WHERE 'C' || (event_id * 7) NOT IN (SELECT chat_channel_id FROM v_incidents WHERE state <> 'closed')""")
 def _(v):
-    channels = v.messages().select("channel_id").distinct()
+    channels = v.events().select(F.concat(F.lit("C"), (F.col("event_id") * 7).cast("string")).alias("channel_id"))
     return sweeps.orphan_channels(channels, v.incidents().where(F.col("state") != "closed"))
 
 
@@ -536,9 +536,17 @@ def _(v):
     return rollups.page_load_daily(v.pages())
 
 
-@query("rollup_llm_latency_daily")
+@query("rollup_llm_latency_daily", """
+    SELECT DISTINCT model, true AS within_bound FROM v_documents""")
 def _(v):
-    return rollups.latency_quantile(rollups.llm_latency_daily(v.llm_calls()), ["model"], 0.95)
+    """The sketch's value lies within two hundredths of the asked rank, over all calls."""
+    calls = v.llm_calls()
+    found = rollups.latency_quantile(rollups.llm_latency_daily(calls), ["model"], 0.95)
+    ranks = calls.select("model", F.col("latency_ms").alias("own")).join(found, "model").groupBy("model").agg(
+        F.avg((F.col("own") < F.col("latency_ms")).cast("int")).alias("below"),
+        F.avg((F.col("own") <= F.col("latency_ms")).cast("int")).alias("up_to"),
+    )
+    return ranks.select("model", ((F.col("below") <= 0.97) & (F.col("up_to") >= 0.93)).alias("within_bound"))
 
 
 @query("rollup_refresh_range", """

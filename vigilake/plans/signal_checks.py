@@ -72,14 +72,28 @@ def _(v):
 
 
 @query("scalar_alerts", """
-    WITH d AS (SELECT date_trunc('hour', ts) AS t, avg(value) / 20 AS v FROM events GROUP BY 1),
-    n AS (SELECT *, sum(CASE WHEN v > 0.5 THEN 0 ELSE 1 END) OVER (ORDER BY t) AS run FROM d)
-    SELECT 'everything_is_a_skeleton' AS alert, t AS at, round(v, 6) AS value,
-           v > 0.5 AND epoch(t - min(CASE WHEN v > 0.5 THEN t END) OVER (PARTITION BY run)) >= 1200 AS firing FROM n""")
+    WITH rules(alert, name, sign, edge, held) AS (VALUES
+        ('ingest_latency', 0, '>', 0.25, 10), ('citation_coverage', 1, '<', 1.0, 1), ('validation_rejections', 2, '>', 0.05, 15),
+        ('everything_is_a_skeleton', 3, '>', 0.5, 20), ('degradation_elevated', 4, '>=', 2.0, 5), ('degradation_degraded', 4, '==', 1.0, 30),
+        ('budget_tripping', 5, '>', 3.0, 5), ('cost_per_incident', 6, '>', 0.5, 60), ('transcript_completeness', 7, '<', 0.9999, 15),
+        ('history_off_reconciler', 8, '>', 0.0, 1), ('service_down', 9, '==', 0.0, 1), ('stream_backlog', 10, '>', 1000.0, 10)),
+    d AS (SELECT date_trunc('hour', ts) AS t, user_id % 11 AS name,
+                 CASE user_id % 11 WHEN 4 THEN floor(avg(value) / 10) WHEN 10 THEN avg(value) * 100 WHEN 9 THEN floor(avg(value) / 20)
+                      WHEN 5 THEN avg(value) / 4 ELSE avg(value) / 20 END AS v
+            FROM events GROUP BY 1, 2, user_id % 11),
+    f AS (SELECT *, CASE sign WHEN '>' THEN v > edge WHEN '<' THEN v < edge WHEN '>=' THEN v >= edge ELSE v = edge END AS hit
+            FROM d JOIN rules USING (name)),
+    n AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY alert ORDER BY t) AS run FROM f)
+    SELECT alert, t AS at, round(v, 6) AS value,
+           hit AND epoch(t - min(CASE WHEN hit THEN t END) OVER (PARTITION BY alert, run)) >= held * 60 AS firing FROM n""")
 def _(v):
-    hourly = v.events().groupBy(F.date_trunc("hour", "ts").alias("at")).agg(
-        (F.avg("value") / 20).alias("value")
-    ).withColumn("name", F.lit("skeleton_ratio_1h"))
+    names = list(dict.fromkeys(name for _, name, *_ in metrics.SCALAR_ALERTS))
+    mean = F.avg("value")
+    number = F.col("number")
+    hourly = v.events().groupBy(F.date_trunc("hour", "ts").alias("at"), (F.col("user_id") % 11).alias("number")).agg(
+        F.when(number == 4, F.floor(mean / 10).cast("double")).when(number == 10, mean * 100)
+        .when(number == 9, F.floor(mean / 20).cast("double")).when(number == 5, mean / 4).otherwise(mean / 20).alias("value")
+    ).withColumn("name", F.element_at(F.array(*[F.lit(n) for n in names]), (number + 1).cast("int")))
     return rounded(metrics.scalar_alerts(hourly))
 
 
@@ -177,9 +191,26 @@ def _classified(v):
     return intent.classify(v.messages())
 
 
-@query("timeline")
+# What a chat would say about an event of each type; the fifth type says nothing.
+SAID = {"click": "looking at the dashboard", "view": "restarting db", "error": "rolled back", "purchase": "all green"}
+
+
+@query("timeline", """
+    WITH s(event_type, text, intent, sure) AS (VALUES ('click', 'looking at the dashboard', 'investigation', 0.7),
+        ('view', 'restarting db', 'remediation_start', 0.95), ('error', 'rolled back', 'remediation_end', 0.9),
+        ('purchase', 'all green', 'recovery_signal', 0.9))
+    SELECT date_trunc('second', ts) AS time, user_id AS incident_id, intent, sure::DOUBLE AS confidence, text AS description,
+           'U' || user_id AS author_user_id, CAST(floor(epoch(ts)) AS BIGINT)::VARCHAR AS source_message_ts
+      FROM events JOIN s USING (event_type)""")
 def _(v):
-    return intent.timeline(_classified(v))
+    text = F.lit("hm hm hm")
+    for kind, said in SAID.items():
+        text = F.when(F.col("event_type") == kind, said).otherwise(text)
+    messages = v.events().select(
+        F.col("user_id").alias("incident_id"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user_id"),
+        F.unix_seconds("ts").cast("string").alias("ts"), text.alias("text"),
+    )
+    return intent.timeline(intent.classify(messages))
 
 
 @query("redacted_documents")
