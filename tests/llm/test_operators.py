@@ -1,6 +1,7 @@
 """Filters, scores, scans, mixing and neighbours against brute force, and their border cases."""
 
 import base64
+import hashlib
 import json
 import math
 import random
@@ -109,6 +110,20 @@ def plain_spans(text):
     return [(k, a, b) for a, _, k, b in sorted(out)]
 
 
+def test_secret_query_matches_the_patterns(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    rows = entry.queries()["op10_secret_scan"](spark, SMALL).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        base = plain_spans(texts[r["doc_id"]] or "")
+        listed = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert [r[f"n_{kind}"] for kind in ("assign", "access", "hex")] == [
+            sum(k == kind for k, _, _ in base) for kind in ("assign", "access", "hex")]
+        assert r["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert set(listed) <= set(r["spans"].split(",") if r["spans"] else [])
+    assert any(r["n_assign"] for r in rows)
+
+
 def der(tag, body):
     size = len(body)
     return bytes([tag]) + (bytes([size]) if size < 128 else b"\x82" + size.to_bytes(2, "big")) + body

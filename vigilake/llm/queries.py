@@ -137,33 +137,7 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op10_secret_scan", r"""
-    WITH base AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-    pieces AS (
-        SELECT doc_id, 1 AS rank, 'assign' AS kind, text,
-               regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+') AS found
-          FROM base WHERE text SIMILAR TO '(?s).*[:=].*'
-        UNION ALL SELECT doc_id, 2, 'access', text, regexp_extract_all(text, 'AKIA[A-Z0-9]+') FROM base
-        UNION ALL SELECT doc_id, 3, 'hex', text, regexp_extract_all(text, '[0-9a-f]{16,}') FROM base),
-    walked AS (
-        SELECT doc_id, rank, kind, list_reduce(list_prepend({'at': 0, 'rest': text, 'hit': '', 'spans': []::STRUCT(s BIGINT, e BIGINT, hit VARCHAR)[]},
-                 list_transform(found, lambda f: {'at': 0, 'rest': '', 'hit': f, 'spans': []::STRUCT(s BIGINT, e BIGINT, hit VARCHAR)[]})),
-                 lambda a, f: {'at': a['at'] + strpos(a['rest'], f['hit']) - 1 + length(f['hit']),
-                               'rest': substr(a['rest'], strpos(a['rest'], f['hit']) + length(f['hit'])), 'hit': '',
-                               'spans': list_append(a['spans'], {'s': a['at'] + strpos(a['rest'], f['hit']) - 1,
-                                   'e': a['at'] + strpos(a['rest'], f['hit']) - 1 + length(f['hit']), 'hit': f['hit']})}) AS w
-          FROM pieces WHERE len(found) > 0),
-    spans AS (SELECT doc_id, rank, kind, unnest(w['spans']) AS s FROM walked),
-    good AS (SELECT doc_id, rank, kind, s['s'] AS a, s['e'] AS b FROM spans
-              WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(s['hit'],
-                    '^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 12
-                  WHEN 'access' THEN length(s['hit']) >= 18 ELSE true END),
-    digest AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
-                      count(*) FILTER (kind = 'hex') AS n_hex,
-                      string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS listed FROM good GROUP BY doc_id)
-    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-           sha256(coalesce(listed, '')) AS base_sha256
-      FROM documents LEFT JOIN digest USING (doc_id)""")
+@query("op10_secret_scan")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, folder, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
