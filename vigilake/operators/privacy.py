@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 from vigilake.constants import PII_RULES, SECRET_KEYS, SECRET_MASK
 from vigilake.functions.skew import with_running
 from vigilake.functions.text import is_card_number, is_private_ip
+from vigilake.session import cut_lineage
 
 SPAN = (
     StructType().add("start", IntegerType()).add("end", IntegerType()).add("class", StringType())
@@ -117,7 +118,8 @@ def redact(texts: DataFrame, keys: list[str], group: str, order: list[str]):
     `keys` identify a text, `group` is the incident whose tokens it shares, and
     `order` its place in the incident, leading with a number or timestamp.
     """
-    spans = pii_spans(texts, sorted({*keys, group}), [c for c in order if c not in (*keys, group)])
+    # written once: the scan of the texts feeds both the numbering and the splicing
+    spans = cut_lineage(pii_spans(texts, sorted({*keys, group}), [c for c in order if c not in (*keys, group)]))
     mapping = token_map(spans, group, order)
     marked = spans.join(mapping.select(group, "value", "token"), [group, "value"])
     per_text = marked.groupBy(*keys).agg(
