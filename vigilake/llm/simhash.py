@@ -236,7 +236,7 @@ def _forest(distance: int):
     return run
 
 
-def links(nodes: DataFrame, distance: int = 2, bucket_rows: int = 2048) -> DataFrame:
+def links(nodes: DataFrame, distance: int = 2, bucket_rows: int = 256) -> DataFrame:
     """`a, b`: links that connect all distinct fingerprints `fp` within `distance`."""
     keyed = lambda masks: F.explode(F.array(*[
         F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key"))
