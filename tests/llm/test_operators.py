@@ -50,6 +50,7 @@ def test_language_border_cases(spark):
     out = {r["id"]: r for r in language.predict(docs.drop("lang_pred"), filters, F.col("text")).collect()}
     assert [out[i]["lang_pred"] for i in (90, 91, 92)] == ["und"] * 3
     assert out[None]["lang_pred"] == "en" and 0 <= out[None]["lang_score"] <= 1
+    assert language.predict(docs.limit(0).drop("lang_pred"), filters, F.col("text")).count() == 0
     nothing = language.fit(docs, "id", "text", "lang", allowed=F.lit(False), n_slots=1 << 12)
     assert nothing.decide("any text") == ("und", 0.0)
 
@@ -90,6 +91,8 @@ def test_toxicity_learns_planted_words(spark):
     one = labels.where("toxic = 0")
     flat = toxicity.score_toxicity(docs, one, half, third).select("score").distinct().collect()
     assert len(flat) == 1 and 0 < flat[0][0] < 0.1
+    assert toxicity.score_toxicity(docs.limit(0), labels, half, third).count() == 0
+    assert toxicity.score_toxicity(docs, labels.limit(0), half, third).count() == docs.count()
 
 
 def test_obfuscated_words_are_read():
