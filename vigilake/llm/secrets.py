@@ -5,6 +5,8 @@ Beyond them, base64 and hex candidates are decoded and reported only if they par
 a signed token needs a JSON header naming an algorithm and a JSON payload, a key
 needs the nested lengths of its encoding to add up to the decoded bytes exactly.
 
+Escaped line ends count as line ends. Encrypted keys need their algorithm or headers.
+
 Defined cases. A null text is an empty one and has no spans. A repeated row is
 scanned like any other. Offsets count code points, the end is exclusive. Candidates
 that cannot be decoded or whose lengths do not add up are not reported.
@@ -35,9 +37,16 @@ KINDS = ("assign", "access", "hex", "jwt", "pem", "key")
 
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
 ARMOUR = re.compile(
-    r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----"
+    r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----\s*+((?:[A-Za-z0-9-]++:[^\n\r]*+\s++)*+)([A-Za-z0-9+/=_\s]*+)-----END \1-----"
 )
 ENCODED = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
+URL_SAFE = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{40,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}(?=\s)")
+NEXT_LINE = re.compile(r"[^\S\n]*\n\s*([A-Za-z0-9+/_-]+={0,2})")
+ESCAPED = re.compile(r"\\+[nrt]")
+CIPHER = re.compile(r"DEK-Info:\s*[A-Z0-9-]+,((?:[0-9A-Fa-f]{16}){1,2})\s")
+# password-based encryption: PKCS #5 and PKCS #12
+ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 HEX_PAIRS = re.compile(r"(?:[0-9a-f]{2})+|(?:[0-9A-F]{2})+")
 SSH_MAGIC = b"openssh-key-v1\0"
 SSH_KIND = re.compile(rb"(ssh-|ecdsa-sha2-|sk-)[a-z0-9@.-]+")
@@ -123,20 +132,71 @@ def ssh_key(data: bytes) -> bool:
     return len(names) >= 2 and SSH_KIND.fullmatch(names[0]) is not None
 
 
+def encrypted_key(data: bytes) -> bool:
+    """A sequence of a password-based encryption's algorithm and a byte string."""
+    outer = der_fields(data, 0, len(data))
+    if not outer or len(outer) != 1 or outer[0][0] != 0x30:
+        return False
+    inner = der_fields(data, outer[0][1], outer[0][2])
+    if not inner or [t for t, _, _ in inner] != [0x30, 0x04] or inner[1][1] == inner[1][2]:
+        return False
+    algorithm = der_fields(data, inner[0][1], inner[0][2])
+    if not algorithm or [t for t, _, _ in algorithm] != [0x06, 0x30]:
+        return False
+    (_, a, b), (_, start, end) = algorithm
+    return data[a:b].startswith(ENCRYPTION) and der_fields(data, start, end) is not None
+
+
+def is_key(data: bytes | None) -> bool:
+    return bool(data) and (der_key(data) or encrypted_key(data) or ssh_key(data))
+
+
+def encrypted_body(headers: str, data: bytes | None) -> bool:
+    """Whole blocks of the cipher that the armour's headers name, by its initial vector."""
+    named = CIPHER.search(headers) if "ENCRYPTED" in headers else None
+    return bool(named and data) and len(data) % (len(named[1]) // 2) == 0
+
+
+def _wrapped(text: str) -> Iterator[tuple[str, int, int]]:
+    """Keys over several lines of one width, of which the last may be shorter."""
+    done = 0
+    for m in WRAPPED.finditer(text):
+        if m.start() < done:
+            continue
+        stops = [m.end()]
+        while line := NEXT_LINE.match(text, stops[-1]):
+            if len(line[1]) > len(m[0]):
+                break
+            stops.append(line.end())
+            if len(line[1]) < len(m[0]):
+                break
+        done = stops[-1]
+        for stop in stops[1:][:-3:-1]:  # the line after a full last one may be another text
+            if is_key(_unbase64(text[m.start():stop])):
+                yield "key", m.start(), stop
+                break
+
+
 def _confirmed(text: str) -> Iterator[tuple[str, int, int]]:
     if "eyJ" in text:
         for m in TOKEN.finditer(text):
             if signed_token(m[0]):
                 yield "jwt", m.start(), m.end()
-    if "PRIVATE KEY-----" in text:
-        for m in ARMOUR.finditer(text):
-            data = _unbase64(m[2])
-            if data and (der_key(data) or ssh_key(data)):
+    # escaped line ends become blank ones of the same length
+    plain = ESCAPED.sub(lambda m: "\n" * len(m[0]), text) if "\\" in text else text
+    if "PRIVATE KEY-----" in plain:
+        for m in ARMOUR.finditer(plain):
+            data = _unbase64(m[3])
+            if is_key(data) or encrypted_body(m[2], data):
                 yield "pem", m.start(), m.end()
-    for m in ENCODED.finditer(text):
-        data = bytes.fromhex(m[0]) if HEX_PAIRS.fullmatch(m[0]) else _unbase64(m[0])
-        if data and (der_key(data) or ssh_key(data)):
-            yield "key", m.start(), m.end()
+    for source in (text, plain) if plain is not text else (text,):
+        for m in ENCODED.finditer(source):
+            if is_key(bytes.fromhex(m[0]) if HEX_PAIRS.fullmatch(m[0]) else _unbase64(m[0])):
+                yield "key", m.start(), m.end()
+        for m in URL_SAFE.finditer(source):
+            if is_key(_unbase64(m[0])):
+                yield "key", m.start(), m.end()
+    yield from _wrapped(plain)
 
 
 def find_spans(text: str) -> list[tuple[str, int, int]]:
