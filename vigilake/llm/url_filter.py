@@ -2,9 +2,9 @@
 
 Per host, paths form a tree of segments. Going down from the root, a segment stays
 itself only if enough of its parent's pages have it; others become wildcards of their
-shape (runs of digits and long hexadecimal become `#`, the rest `*`). Sibling branches
-whose labelled share of blocked pages, and whose usual next segment, do not differ
-beyond a Hoeffding bound are merged. A merged template is rejected if its purity,
+shape (runs of digits and long hexadecimal become `#`, the rest `*`). Sibling leaves of
+one last-token shape whose labelled share of blocked pages does not differ beyond a
+Hoeffding bound are merged; inner branches, and leaves without labels, are not. A merged template is rejected if its purity,
 `(blocked + s * prior) / (labelled + s)`, reaches the threshold; pages that a rule
 decides are the labelled ones. Pages without a rule get their template's verdict.
 
