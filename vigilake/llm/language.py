@@ -100,8 +100,8 @@ def fit(
     """Filters of the languages of rows where `allowed` holds.
 
     Rows are taken by hash at a rate that gives `docs_per_lang` per language. An
-    n-gram belongs to a language if `min_docs` of its sampled documents hold it, and
-    at `min_ratio` or more of the rate of the language that uses it most. The driver
+    n-gram belongs to a language if `min_docs` of its sampled documents hold it (a tenth
+    of them where that is less, at least one), and at `min_ratio` or more of the rate of the language that uses it most. The driver
     gets the masks of the table, `n_slots` words for 64 languages.
     """
     letters = letter_table()
@@ -131,13 +131,15 @@ def fit(
         return Filters([], np.zeros((n_slots, 1), dtype=np.uint64), letters)
     number = F.create_map(*[F.lit(x) for pair in enumerate(languages) for x in reversed(pair)])
     size = F.create_map(*[F.lit(x) for lang in languages for x in (lang, sizes[lang])])
+    needed = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(min_docs, -(-sizes[lang] // 10)))])
     users = (
         sample.select("lang", F.explode("grams").alias("gram"))
         .groupBy("gram", "lang").agg(F.count("*").alias("n"))
-        .select("gram", "n", number[F.col("lang")].alias("place"), (F.col("n") / size[F.col("lang")]).alias("rate"))
-        .groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("place", "n", "rate")).alias("users"))
+        .select("gram", "n", number[F.col("lang")].alias("place"), (F.col("n") / size[F.col("lang")]).alias("rate"),
+                needed[F.col("lang")].alias("least"))
+        .groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("place", "n", "rate", "least")).alias("users"))
         .select("gram", "top", F.explode("users").alias("u"))
-        .where((F.col("u.n") >= min_docs) & (F.col("u.rate") >= F.col("top") * min_ratio))
+        .where((F.col("u.n") >= F.col("u.least")) & (F.col("u.rate") >= F.col("top") * min_ratio))
         .select("gram", "u.place")
     )
 
