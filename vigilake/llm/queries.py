@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.llm import (
+    bisectors,
     decontaminate,
     language,
     line_dedup,
@@ -18,6 +19,7 @@ from vigilake.llm import (
     substrings,
     toxicity,
     url_filter,
+    whitening,
 )
 from vigilake.llm.common import held_out, table
 
@@ -149,3 +151,41 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", *[number(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
     )
+
+
+@query("op12_embedding_whitening")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def _clustering_sql(k: int, rounds: int) -> str:
+    """Rounds of assignment and floored means, one statement each."""
+    nearest = """
+        SELECT vec_id, v, unnest(arg_min({{c: c, d: d}}, (d, c))) FROM (
+            SELECT vec_id, v, c, list_sum(list_transform(range(1, 65), lambda i: (v[i] - w[i]) * (v[i] - w[i])))::BIGINT AS d
+              FROM kept, c{r}) GROUP BY vec_id, v"""
+    steps = ["""kept AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+         WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"""c0 AS (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR)) - 1 AS c, v AS w
+                     FROM kept QUALIFY c < {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED ({nearest.format(r=r)})")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (
+                SELECT c0.c, coalesce(m.w, o.w) AS w FROM c0 JOIN c{r} o ON o.c = c0.c LEFT JOIN (
+                    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS w FROM (
+                        SELECT c, i, sum(x) AS s, count(*) AS n
+                          FROM (SELECT c, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY c, i) GROUP BY c) m
+                  ON m.c = c0.c)""")
+    return f"""WITH {", ".join(steps)}
+        SELECT vec_id, a.c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia,
+               sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+          FROM a{rounds} a JOIN c{rounds} f ON f.c = a.c"""
+
+
+@query("op13_centroid_clusters", _clustering_sql(8, 10))
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return bisectors.cluster_vectors(table(spark, folder, "embeddings")).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
