@@ -15,6 +15,7 @@ from vigilake.llm import (
     mixing,
     neighbours,
     secrets,
+    set_join,
     simhash,
     substrings,
     toxicity,
@@ -153,6 +154,27 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op11_jaccard_join", r"""
+    WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+    starts AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM words WHERE len(w) > 0),
+    tokens AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 2], ' ')) AS t FROM starts),
+    sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id),
+    met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM tokens a JOIN tokens b USING (t)
+              JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+             WHERE a.doc_id < b.doc_id AND 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n) GROUP BY 1, 2),
+    links AS MATERIALIZED (SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+                            WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+    ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach(a, b) AS (SELECT doc_id, doc_id FROM words UNION SELECT r.a, w.b FROM reach r JOIN ways w ON w.a = r.b)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM words LEFT JOIN sizes USING (doc_id)
+      JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)""")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return set_join.join_sets(table(spark, folder, "documents")).select(
+        "doc_id", F.col("size").cast("long").alias("n_shingles"), "component_id"
+    )
+
+
 @query("op12_embedding_whitening")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
