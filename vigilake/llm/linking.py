@@ -176,8 +176,8 @@ def link_groups(
     chains = near.join(tiles, "key").select(
         "key", own.alias("lo"), own.alias("hi"), zero.alias("block"), "node", F.col("node").alias("comp"), "size")
     links = stored(confirmed(paired(chains, "chain"), sets, percent))
+    roots = stored(components(links))
     for mode in ("best", "all"):
-        roots = stored(components(links))
         rows = stored(
             sized.select("key", "node", "size").join(roots, "node", "left")
             .select("key", "node", F.coalesce("root", "node").alias("comp"), "size")
@@ -186,5 +186,11 @@ def link_groups(
             rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
             .where("c0 != c1").select("key", "n")
         )
-        links = stored(links.unionByName(confirmed(paired(_dealt(rows, mixed, percent, block_rows), mode), sets, percent)))
-    return components(links)
+        pairs = paired(_dealt(rows, mixed, percent, block_rows), mode)
+        if pairs.isEmpty():
+            break  # no pair whose bound allows a link, so the next round has none either
+        new = stored(confirmed(pairs, sets, percent))
+        if not new.isEmpty():
+            links = stored(links.unionByName(new))
+            roots = stored(components(links))
+    return roots
