@@ -145,3 +145,27 @@ def nearest_rank(
         .groupBy(*keys)
         .agg(F.min("_v").cast("double").alias(name))
     )
+
+
+def blocks_between(rows: DataFrame, at: Sequence[str], member: str, group: str, block_rows: int) -> DataFrame:
+    """`at`, `lo`, `hi`, `member`: members of different groups under `at` meet in some (lo, hi).
+
+    Members are put into blocks of about `block_rows`: a group beyond that has blocks of its
+    own, small ones share some. Every pair of blocks is one unit of work, except pairs of one
+    and the same group's, so a large group costs its rows, not its pairs.
+    """
+    per = rows.groupBy(*at, group).agg(F.count("*").alias("_own"))
+    small = F.when(F.col("_own") <= block_rows, F.col("_own"))
+    pooled = per.groupBy(*at).agg(F.sum(small).alias("_pooled"), F.count("*").alias("_groups")).where("_groups > 1")
+    whole = per.where(F.col("_own") > block_rows)
+    cut = lambda n: F.pmod(F.xxhash64(member, F.lit(3)), F.ceil(F.col(n) / block_rows))
+    block = F.when(F.col("_own").isNotNull(), F.xxhash64(F.col(group), cut("_own"))).otherwise(
+        F.xxhash64(F.lit("pooled"), cut("_pooled")))
+    placed = rows.join(pooled, list(at)).join(whole, [*at, group], "left").withColumn("block", block)
+    blocks = placed.groupBy(*at, "block").agg(F.min(group).alias("_g0"), F.max(group).alias("_g1"))
+    other = blocks.select(*at, F.col("block").alias("_other"), F.col("_g0").alias("_o0"), F.col("_g1").alias("_o1"))
+    pure = (F.col("_g0") == F.col("_g1")) & (F.col("_o0") == F.col("_o1")) & (F.col("_g0") == F.col("_o0"))
+    pairs = blocks.join(other, list(at)).where((F.col("block") <= F.col("_other")) & ~pure).select(
+        *at, F.col("block").alias("lo"), F.col("_other").alias("hi"))
+    wanted = pairs.withColumn("block", F.explode(F.array_distinct(F.array("lo", "hi"))))
+    return placed.select(*at, "block", member).join(wanted, [*at, "block"]).select(*at, "lo", "hi", member)

@@ -60,6 +60,11 @@ VIEWS = {
                CAST((d.doc_id % 10) / 10.0 AS DECIMAL(4,3)) AS human_edit_ratio,
                TIMESTAMP '2024-01-01 00:00:00' + to_hours(d.doc_id) AS created_at, text AS body
           FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
+    "v_vectors": """
+        SELECT vec_id * 3 + k AS id, list_transform(list_zip(embedding, list_reverse(embedding)),
+                                                   lambda z: z[1]::DOUBLE + share::DOUBLE * z[2]::DOUBLE) AS v
+          FROM embeddings, (VALUES (0, 0.0), (1, 0.3), (2, 0.5)) t(k, share)
+        UNION ALL SELECT 10000000 + vec_id, embedding::DOUBLE[] FROM embeddings WHERE vec_id % 10 = 0""",
     "v_messages": """
         SELECT conv_id * 10000 + turn AS id, conv_id AS incident_id, 'C' || conv_id AS channel_id,
                CAST(1700000000 + conv_id * 3600 + turn * 60 AS VARCHAR) AS ts, role AS user_id, text,

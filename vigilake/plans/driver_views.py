@@ -141,6 +141,16 @@ class Views:
             F.timestamp_seconds(F.lit(1_704_067_200) + F.col("vec_id") * 60).alias("detected_at"),
         )
 
+    def vector_versions(self) -> DataFrame:
+        """Every vector with two that lie near it, and a copy of each tenth."""
+        shifted = lambda share: F.zip_with(
+            F.col("embedding").cast("array<double>"), F.reverse("embedding").cast("array<double>"), lambda x, y: x + share * y)
+        rows = self.table("embeddings").select(
+            "vec_id", F.posexplode(F.array(*[shifted(F.lit(s)) for s in (0.0, 0.3, 0.5)])).alias("k", "embedding"))
+        near = rows.select((F.col("vec_id") * 3 + F.col("k")).alias("id"), "embedding")
+        copies = rows.where("vec_id % 10 = 0 and k = 0").select((F.lit(10_000_000) + F.col("vec_id")).alias("id"), "embedding")
+        return near.unionByName(copies)
+
     def messages(self) -> DataFrame:
         """Chat transcript: one channel per conversation."""
         epoch = F.lit(1_700_000_000) + F.col("conv_id") * 3600 + F.col("turn") * 60

@@ -12,6 +12,7 @@ from vigilake.operators import (
     graph,
     rollups,
     severity,
+    similarity_index,
     spend,
     store,
     sweeps,
@@ -578,3 +579,21 @@ def _(v):
     return v.table("lineitem").groupBy(F.col("l_returnflag").alias("model")).agg(
         F.round(F.sum(cost), 4).alias("cost_usd")
     )
+
+
+@query("similar_incidents", """
+    WITH s AS (SELECT p.id AS probe_id, i.id, list_cosine_similarity(p.v, i.v) AS c
+                 FROM v_vectors p JOIN v_vectors i ON p.id <> i.id WHERE p.id % 20 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY round(c, 9) DESC, id) AS rank FROM s WHERE c > 0.85)
+    SELECT probe_id, CAST(rank AS INTEGER) AS rank, id, round(c, 6) AS similarity FROM r WHERE rank <= 5""")
+def _(v):
+    return rounded(similarity_index.similar_incidents(v.vector_versions(), F.col("id") % 20 == 0))
+
+
+@query("similar_groups", """
+    WITH RECURSIVE near AS MATERIALIZED (
+        SELECT a.id AS a, b.id AS b FROM v_vectors a JOIN v_vectors b ON list_cosine_similarity(a.v, b.v) >= 0.85),
+    reach(a, b) AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b)
+    SELECT a AS id, min(b) AS group_id FROM reach GROUP BY a""")
+def _(v):
+    return similarity_index.similar_groups(v.vector_versions(), recall=0.999)
