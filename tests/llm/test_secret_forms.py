@@ -2,6 +2,9 @@
 
 import base64
 import textwrap
+import time
+
+import pytest
 
 from test_operators import der, rsa_like_key
 from vigilake.llm import secrets
@@ -40,3 +43,25 @@ def test_encrypted_keys():
     whole, cut = (base64.b64encode(b"\x9c" * n).decode() for n in (96, 95))
     assert [k for k, _ in found(armoured("RSA PRIVATE KEY", head + whole))] == ["pem"]
     assert not found(armoured("RSA PRIVATE KEY", head + cut))
+
+
+LINE = base64.b64encode(bytes(range(48))).decode()
+
+
+@pytest.mark.parametrize("unit", [
+    "\\", "eyJ", "eyJabcdefgh.", LINE + "\n", LINE + "=\n ", "a:-----BEGIN PRIVATE KEY-----\n", "-----BEGIN A ", "\\n", "password ",
+    "secret=\"", "0a", "AKIA", LINE[:39] + "\\n", "DEK-Info: A",
+])
+def test_a_megabyte_is_read_in_linear_time(unit):
+    text = unit * (1_000_000 // len(unit))
+    before = time.process_time()
+    secrets.find_spans(text)
+    assert time.process_time() - before < 2
+
+
+def test_signed_tokens_after_other_text():
+    part = lambda text: base64.urlsafe_b64encode(text.encode()).decode().rstrip("=")
+    token = f"{part('{\"alg\": \"HS256\"}')}.{part('{\"sub\": \"1\"}')}.{part('signature')}"
+    for before in ("", "Bearer ", "token=", '"', "x." , "\\n"):
+        spans = [text for text in [(before + token)[a:b] for k, a, b in secrets.find_spans(before + token) if k == "jwt"]]
+        assert spans == [token], before

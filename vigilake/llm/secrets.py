@@ -8,7 +8,7 @@ needs the nested lengths of its encoding to add up to the decoded bytes exactly.
 Escaped line ends count as line ends. Encrypted keys need their algorithm or headers.
 
 Defined cases. A null text is an empty one and has no spans. A repeated row is
-scanned like any other. Offsets count code points, the end is exclusive. Candidates
+scanned like any other. A signed token starts where no token character precedes it. Offsets count code points, the end is exclusive. Candidates
 that cannot be decoded or whose lengths do not add up are not reported.
 """
 
@@ -35,15 +35,17 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LENGTH = 12
 KINDS = ("assign", "access", "hex", "jwt", "pem", "key")
 
-TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
+# no pattern may start again inside a run it has read: a scan is linear in the text
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]*+")
 ARMOUR = re.compile(
-    r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----\s*+((?:[A-Za-z0-9-]++:[^\n\r]*+\s++)*+)([A-Za-z0-9+/=_\s]*+)-----END \1-----"
+    r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----\s*+((?:[A-Za-z0-9-]++:(?:(?!-----)[^\n\r])*+\s++)*+)([A-Za-z0-9+/=_\s]*+)-----END \1-----"
 )
-ENCODED = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
-URL_SAFE = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{40,}={0,2}")
-WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}(?=\s)")
+ENCODED = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}+={0,2}")
+URL_SAFE = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{40,}+={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+(?=\s)")
+LONG_RUN = re.compile(r"[A-Za-z0-9+/_-]{40}")
 NEXT_LINE = re.compile(r"[^\S\n]*\n\s*([A-Za-z0-9+/_-]+={0,2})")
-ESCAPED = re.compile(r"\\+[nrt]")
+ESCAPED = re.compile(r"(?<!\\)\\++[nrt]")
 CIPHER = re.compile(r"DEK-Info:\s*[A-Z0-9-]+,((?:[0-9A-Fa-f]{16}){1,2})\s")
 # password-based encryption: PKCS #5 and PKCS #12
 ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
@@ -178,18 +180,20 @@ def _wrapped(text: str) -> Iterator[tuple[str, int, int]]:
 
 
 def _confirmed(text: str) -> Iterator[tuple[str, int, int]]:
+    # escaped line ends become blank ones of the same length
+    plain = ESCAPED.sub(lambda m: "\n" * len(m[0]), text) if "\\" in text else text
     if "eyJ" in text:
-        for m in TOKEN.finditer(text):
+        for m in TOKEN.finditer(plain):
             if signed_token(m[0]):
                 yield "jwt", m.start(), m.end()
-    # escaped line ends become blank ones of the same length
-    plain = ESCAPED.sub(lambda m: "\n" * len(m[0]), text) if "\\" in text else text
     if "PRIVATE KEY-----" in plain:
         for m in ARMOUR.finditer(plain):
             data = _unbase64(m[3])
             if is_key(data) or encrypted_body(m[2], data):
                 yield "pem", m.start(), m.end()
-    for source in (text, plain) if plain is not text else (text,):
+    if not LONG_RUN.search(text):
+        return  # neither form of a key has a line so long
+    for source in (text, plain) if plain != text else (text,):
         for m in ENCODED.finditer(source):
             if is_key(bytes.fromhex(m[0]) if HEX_PAIRS.fullmatch(m[0]) else _unbase64(m[0])):
                 yield "key", m.start(), m.end()
