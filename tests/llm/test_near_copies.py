@@ -3,8 +3,9 @@
 import random
 
 import corpus_pipeline
+from conftest import SMALL
 from test_dedup import docs
-from vigilake.llm import near_copies
+from vigilake.llm import linking, near_copies
 
 
 def plain_shingles(text, width=5):
@@ -55,7 +56,7 @@ def test_components_match_exact_similarity(spark):
     texts = copies()
     want = plain_components(texts)
     assert len(set(want)) < len(texts)
-    for block_rows in (1024, 16):
+    for block_rows in (2048, 16):
         found = near_copies.near_copies(docs(spark, list(enumerate(texts))), block_rows=block_rows)
         got = {r["doc_id"]: r["component_id"] for r in found.collect()}
         assert [got[i] for i in range(len(texts))] == want
@@ -80,3 +81,38 @@ def test_pipeline_stage_with_repeated_ids(spark):
     rows = [(1, copy), (2, copy), (2, "another text of the second id that resembles nothing"), (2, copy), (3, "c"), (3, "c"), (None, copy)]
     kept = corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), "").collect()
     assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(1, copy), rows[2], (3, "c"), (None, copy)], key=str)
+
+
+def test_look_alike_groups_are_not_paired(spark, monkeypatch):
+    """Two groups of near copies at a similarity of 0.72 of each other: candidates grow with the rows."""
+    asked = []
+    real = linking.confirmed
+
+    def counted(pairs, sets, percent):
+        asked.append(pairs.count())
+        return real(pairs, sets, percent)
+
+    monkeypatch.setattr(linking, "confirmed", counted)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(400)]
+    other = base[:335] + [f"v{i}" for i in range(65)]
+    texts = []
+    for words in (base, other):
+        for k in range(60):
+            copy = list(words)
+            copy[rng.randrange(400)] = f"x{k}"
+            texts.append(" ".join(copy))
+    assert 0.68 < len(plain_shingles(" ".join(base)) & plain_shingles(" ".join(other))) / len(
+        plain_shingles(" ".join(base)) | plain_shingles(" ".join(other))) < 0.76
+    found = near_copies.near_copies(docs(spark, list(enumerate(texts)))).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: 0 if i < 60 else 60 for i in range(120)}
+    assert sum(asked) <= 12 * len(texts)
+
+
+def test_recall_on_the_table(spark):
+    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    ids = sorted(rows)
+    want = plain_components([rows[i] for i in ids])
+    found = near_copies.near_copies(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()
+    got = {r["doc_id"]: r["component_id"] for r in found}
+    assert [got[i] for i in ids] == [ids[c] for c in want] and len(set(want)) < len(ids)

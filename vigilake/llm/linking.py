@@ -155,9 +155,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def link_groups(
     members: DataFrame, points: DataFrame, sets: DataFrame, percent: int, dtype: str, score: Score, search: Search,
-    chain_keys: int = 6, block_rows: int = 2048,
+    chain_keys: int = 6, block_rows: int = 2048, known: DataFrame | None = None,
 ) -> DataFrame:
-    """`node, root` of all nodes with a link: the smallest node of its component."""
+    """`node, root` of all nodes with a link: the smallest node of its component. `known` are links found before."""
 
     def paired(rows: DataFrame, mode: str) -> DataFrame:
         described = rows.join(points.select("node", "sig"), "node").withColumn("turn", F.xxhash64("node", "key"))
@@ -175,7 +175,8 @@ def link_groups(
     own = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / block_rows))
     chains = near.join(tiles, "key").select(
         "key", own.alias("lo"), own.alias("hi"), zero.alias("block"), "node", F.col("node").alias("comp"), "size")
-    links = stored(confirmed(paired(chains, "chain"), sets, percent))
+    first = confirmed(paired(chains, "chain"), sets, percent)
+    links = stored(first if known is None else first.unionByName(known))
     roots = stored(components(links))
     for mode in ("best", "all"):
         rows = stored(

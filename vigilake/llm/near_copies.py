@@ -1,208 +1,106 @@
-"""Near copies by exact similarity of word shingles: candidates by MinHash, links confirmed.
+"""Near copies by exact similarity of word shingles: SimHash first, MinHash for what it cannot reach.
 
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles is
-`least` or more; a component of links is a group of near copies.
-
-Candidates. Each set has a signature of `HASHES` minima. `BANDS` bands of `BAND_ROWS`
-of them are bucket keys; texts at a similarity of 0.8 share no band with a chance of
-3e-6. Inside a bucket, pairs are confirmed if their signatures agree often enough; at
-0.8 the agreement is below `LEAST_AGREE` with a chance of about 1e-4. Every link kept
-is confirmed by the exact similarity of the whole shingle sets.
-
-Large buckets. Each member is first compared with the next one, in an order of its own
-in each of `CHAIN_BANDS` bands; then all pairs of a bucket whose components still
-differ are. Members of one component are not compared again. Buckets of more than
-`block_rows` members are compared in pairs of blocks, dealt over the cluster.
-
-Defined cases. Texts with the same shingles are one node from the start, as are all
-null and wordless ones. Fewer words than a shingle make one shingle. Case of A-Z is
-folded. Null ids get a component but never name one, unless no member has an id (null).
+`percent` or more; a component of links is a group of near copies.
+
+First pass. The sets' SimHash fingerprints are linked by `simhash.links`, the probing of
+masked fingerprints, and every link is confirmed on the whole sets. This joins exact and
+almost exact copies. At a similarity of 0.8 about ten of 64 bits differ, which no masks
+can probe, hence the second pass.
+
+Second pass. `BANDS` bands of `BAND_ROWS` minima of the set are keys; texts at a
+similarity of 0.8 share no band with a chance of 3e-6. Nodes that share a key go through
+the rounds of `linking`: only those of different components meet, the bound on group
+counts (exact, it never drops a link) sorts out most, the whole sets decide.
+
+Defined cases. Texts with the same shingles are one node from the start, as are all null
+and wordless ones. Fewer words than a shingle make one shingle. Case of A-Z is folded.
+Null ids get a component but never name one, unless no member has an id (null).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigilake.llm import simhash
 from vigilake.llm.common import stored
-from vigilake.llm.simhash import SEED, components
+from vigilake.llm.linking import confirmed, link_groups
+from vigilake.llm.set_join import (
+    COUNT,
+    named_groups,
+    point,
+    score,
+    set_nodes,
+    shared_members,
+    sketches,
+    token_sets,
+    tree_join,
+)
 
-HASHES = 256
 BANDS = 24
 BAND_ROWS = 4
-CHAIN_BANDS = 6
-LEAST_AGREE = 0.70
-_RNG = np.random.default_rng(SEED)
-_FLIP = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
-_FACTOR = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
-
-
-def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of all shingles of `width` words."""
-    words = (text or "").encode("utf-8").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    span = min(width, len(words)) - 1
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array(
-        [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - span].tolist(), ends[span:].tolist())],
-        dtype=np.uint64,
-    ))
-
-
-def minima(grams: np.ndarray) -> np.ndarray:
-    """The least value of each of `HASHES` hash functions over a set that is not empty."""
-    low = np.full(HASHES, np.iinfo(np.uint32).max, dtype=np.uint32)
-    mixed = (grams ^ (grams >> np.uint64(32))).astype(np.uint32)
-    for at in range(0, len(mixed), 256):
-        np.minimum(low, ((mixed[at:at + 256, None] ^ _FLIP) * _FACTOR).min(axis=0), out=low)
+GROUPS = 256
+DISTANCE = 2
+_RNG = np.random.default_rng(simhash.SEED)
+_FLIP = _RNG.integers(0, 1 << 32, BANDS * BAND_ROWS, dtype=np.uint32)
+_FACTOR = _RNG.integers(0, 1 << 32, BANDS * BAND_ROWS, dtype=np.uint32) | np.uint32(1)
+
+
+def minima(tokens: np.ndarray) -> np.ndarray:
+    """The least value of each hash function over a set that is not empty."""
+    low = np.full(len(_FLIP), np.iinfo(np.uint32).max, dtype=np.uint32)
+    mixed = (tokens ^ (tokens >> np.uint64(32))).astype(np.uint32)
+    for at in range(0, len(mixed), 512):
+        np.minimum(low, ((mixed[at:at + 512, None] ^ _FLIP) * _FACTOR).min(axis=0), out=low)
     return low
 
 
-def _sketch(text: str | None, width: int) -> tuple[int, int, list[int], bytes]:
-    grams = shingle_set(text, width)
-    node = int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes(), SEED)).astype(np.int64))
-    if not len(grams):
-        return node, 0, [], b""
-    low = minima(grams)
-    parts = low[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
-    bands = [xxhash.xxh64_intdigest(p.tobytes(), k) for k, p in enumerate(parts)]
-    mixed = low * np.uint32(0x9E3779B1)
-    return node, len(grams), np.array(bands, dtype=np.uint64).view(np.int64).tolist(), (mixed >> np.uint32(24)).astype(np.uint8).tobytes()
-
-
-def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """`doc_id, text, node, size, bands, sig`: one row per document."""
-
-    @F.pandas_udf("node long, size int, bands array<long>, sig binary")
-    def sketched(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            yield pd.DataFrame([_sketch(t, width) for t in batch], columns=["node", "size", "bands", "sig"])
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), sketched(F.col(text_col)).alias("s")).select(
-        "doc_id", "text", "s.*"
-    )
-
-
-def _agreeing(chain: bool, least: float):
-    """Pairs of nodes of one sorted bucket, in different components, whose signatures agree."""
-
-    def compared(rows: pd.DataFrame) -> pd.DataFrame:
-        bucket = rows.groupby(["band", "key", "lo", "hi"], sort=False).ngroup().to_numpy()
-        node, comp, size, block = (rows[c].to_numpy(np.int64) for c in ("node", "comp", "size", "block"))
-        apart = (rows["lo"] != rows["hi"]).to_numpy()
-        sig = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint8).reshape(-1, HASHES)
-        _, counts = np.unique(bucket, return_counts=True)
-        left = np.concatenate([np.arange(n, 0, -1) for n in counts])
-        out = []
-        for shift in range(1, 2 if chain else int(counts.max(initial=1))):
-            here = np.flatnonzero(left > shift)
-            there = here + shift
-            near = np.minimum(size[here], size[there]) >= least * np.maximum(size[here], size[there])
-            near &= (comp[here] != comp[there]) & (~apart[here] | (block[here] != block[there]))
-            here, there = here[near], there[near]
-            for at in range(0, len(here), 4096):
-                a, b = here[at:at + 4096], there[at:at + 4096]
-                fits = (sig[a] == sig[b]).sum(axis=1) >= LEAST_AGREE * HASHES
-                out.append(np.stack((node[a[fits]], node[b[fits]])))
-        pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
-        return pd.DataFrame({"a": pairs.min(axis=0), "b": pairs.max(axis=0)}).drop_duplicates()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: list[pd.DataFrame] = []
-        names = ["band", "key", "lo", "hi"]
-        for batch in batches:
-            if not len(batch):
-                continue
-            last = batch.iloc[-1]
-            ends = np.logical_and.reduce([batch[c].to_numpy() == last[c] for c in names])
-            if waiting and (not ends.all() or any(waiting[-1].iloc[-1][c] != last[c] for c in names)):
-                waiting.append(batch[~ends])
-                yield compared(pd.concat(waiting, ignore_index=True))
-                waiting = []
-            elif not waiting and not ends.all():
-                yield compared(batch[~ends].reset_index(drop=True))
-            waiting.append(batch[ends])
-        if waiting:
-            yield compared(pd.concat(waiting, ignore_index=True))
-
-    return run
-
-
-def _candidates(members: DataFrame, chain: bool, least: float, block_rows: int) -> DataFrame:
-    """`a, b` from rows `band, key, node, comp, size, sig`; buckets of one component give none."""
-    mixed = stored(
-        members.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-        .where("c0 != c1").select("band", "key", "n")
-    )
-    rows = members.join(mixed, ["band", "key"])
-    blocks = F.lit(1) if chain else F.ceil(F.col("n") / block_rows).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    ).select(
-        "band", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block",
-        "node", "comp", "size", "sig", F.xxhash64("node", "band").alias("turn"),
-    )
-    return (
-        rows.repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi", "turn")
-        .mapInPandas(_agreeing(chain, least), "a long, b long").distinct()
-    )
-
-
-def confirmed(pairs: DataFrame, sketched: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs whose whole shingle sets are similar enough."""
-
-    @F.pandas_udf("array<long>")
-    def grams(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, width).view(np.int64) for t in texts])
-
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # one text of each node: all of them have the same shingles
-    texts = sketched.join(asked, "node").groupBy("node").agg(F.min("text").alias("text"))
-    sets = stored(texts.select("node", grams("text").alias("grams")))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b"
-    )
-    shared = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - shared
-    return both.where(shared >= F.lit(least) * union - F.lit(1e-9)).select("a", "b")
+def majority(tokens: np.ndarray) -> int:
+    """SimHash of a set: the bits that are one in over half of its hashes."""
+    ones = np.unpackbits(tokens.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(tokens), bitorder="little").view(np.int64)[0])
+
+
+def _describe(tokens: np.ndarray) -> tuple[bytes, np.ndarray, int]:
+    if not len(tokens):
+        return b"", np.zeros(0, dtype=np.int64), 0
+    parts = minima(tokens).reshape(BANDS, BAND_ROWS)
+    keys = np.array([xxhash.xxh64_intdigest(p.tobytes(), k) for k, p in enumerate(parts)], dtype=np.uint64)
+    return point(tokens, GROUPS), keys.view(np.int64), majority(tokens)
+
+
+def _alike(nodes: DataFrame) -> DataFrame:
+    """`a, b`: sets with fingerprints that are equal or linked, through one set of each fingerprint."""
+    first = stored(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = nodes.join(first, "fp").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = simhash.links(first.select("fp"), DISTANCE)
+    of = lambda name: first.select(F.col("fp").alias(name), F.col("first").alias(f"n_{name}"))
+    linked = near.join(of("a"), "a").join(of("b"), "b").select(
+        F.least("n_a", "n_b").alias("a"), F.greatest("n_a", "n_b").alias("b"))
+    return equal.unionByName(linked)
 
 
 def near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8,
-    block_rows: int = 1024,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80,
+    block_rows: int = 2048,
 ) -> DataFrame:
     """`doc_id, row_key, root, component_id`: the smallest id reachable over links, one row per document.
 
     `row_key` is the hash of the text; `root` names the component even where ids repeat.
     """
-    sketched = stored(sketches(docs, id_col, text_col, width))
-    nodes = stored(sketched.groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig"),
-    ))
-    placed = nodes.select("node", "size", "sig", F.posexplode("bands").alias("band", "key"))
-    shared = placed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    members = stored(placed.join(shared, ["band", "key"]))
-    first = _candidates(
-        members.where(F.col("band") < CHAIN_BANDS).withColumn("comp", F.col("node")), True, least, block_rows
-    )
-    links = stored(confirmed(stored(first), sketched, width, least))
-    roots = stored(components(links))
-    labelled = members.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    rest = stored(_candidates(labelled, False, least, block_rows))
-    more = confirmed(rest, sketched, width, least)
-    roots = components(links.unionByName(more))
-    groups = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    named = groups.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    member = stored(groups.join(named, "root").select("node", "root", "component_id"))
-    rows = sketched.select("doc_id", F.xxhash64("text").alias("row_key"), "node")
-    return rows.join(member, "node").select("doc_id", "row_key", "root", "component_id")
+    sketched = stored(sketches(docs, id_col, text_col, width, _describe, "sig binary, keys array<long>, fp long"))
+    nodes = stored(set_nodes(sketched, least_size=0))
+    described = sketched.withColumnRenamed("row", "node").where("size > 0").join(nodes.select("node"), "node", "left_semi")
+    alike = stored(_alike(described.select("node", "fp")))
+    members = stored(shared_members(described))
+    wanted = members.select("node").unionByName(alike.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    points = stored(described.join(wanted, "node", "left_semi").drop("keys", "k0", "k1", "fp"))
+    sets = stored(token_sets(docs, points.select("node", "doc_id", "t0", "t1"), id_col, text_col, width))
+    known = stored(confirmed(alike, sets, percent))
+    roots = link_groups(
+        members, points, sets, percent, COUNT, score(percent), tree_join(percent), block_rows=block_rows, known=known)
+    member = named_groups(nodes, roots)
+    return sketched.join(member, ["k0", "k1"]).select("doc_id", F.col("t0").alias("row_key"), "root", "component_id")

@@ -26,7 +26,7 @@ Null ids get a component but never name one, unless no member has an id (null).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -98,9 +98,9 @@ def segment_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
-def point(tokens: np.ndarray) -> bytes:
-    """Counts of the tokens in `GROUPS` groups."""
-    return np.bincount((tokens & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(COUNT).tobytes()
+def point(tokens: np.ndarray, groups: int = GROUPS) -> bytes:
+    """Counts of the tokens in `groups` groups, a power of two."""
+    return np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(COUNT).tobytes()
 
 
 def _fits(overlap: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -170,19 +170,20 @@ def tree_join(percent: int, leaf_rows: int = LEAF_ROWS):
     return search
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """`row, doc_id, t0, t1, k0, k1, size, sig, keys`: one row per document, without its text."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, describe: Callable, schema: str) -> DataFrame:
+    """`row, doc_id, t0, t1, k0, k1, size` and what `describe` makes of a token set: one row per document, without its text."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    @F.pandas_udf("k0 long, k1 long, size int, sig binary, keys array<long>")
+    @F.pandas_udf(f"k0 long, k1 long, size int, {schema}")
     def sketched(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         def one(text):
             tokens = token_set(text, width)
             raw = tokens.tobytes()
-            names = np.array([xxhash.xxh64_intdigest(raw, 1), xxhash.xxh64_intdigest(raw, 2)], dtype=np.uint64).view(np.int64)
-            return int(names[0]), int(names[1]), len(tokens), point(tokens), segment_keys(tokens, percent).view(np.int64)
+            name = np.array([xxhash.xxh64_intdigest(raw, 1), xxhash.xxh64_intdigest(raw, 2)], dtype=np.uint64).view(np.int64)
+            return int(name[0]), int(name[1]), len(tokens), *describe(tokens)
 
         for batch in texts:
-            yield pd.DataFrame([one(t) for t in batch], columns=["k0", "k1", "size", "sig", "keys"])
+            yield pd.DataFrame([one(t) for t in batch], columns=["k0", "k1", "size", *names])
 
     first, second = text_key(F.col(text_col))
     return docs.select(
@@ -204,9 +205,9 @@ def token_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, w
     return texts.join(wanted, same).dropDuplicates(["node"]).select("node", grams("text").alias("grams"))
 
 
-def set_nodes(sketched: DataFrame) -> DataFrame:
+def set_nodes(sketched: DataFrame, least_size: int = 1) -> DataFrame:
     """`k0, k1, node, first_id`: one row per different set, named by one of its rows."""
-    return sketched.where("size > 0").groupBy("k0", "k1").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"))
+    return sketched.where(F.col("size") >= least_size).groupBy("k0", "k1").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"))
 
 
 def named_groups(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -227,7 +228,8 @@ def join_sets(
     block_rows: int = 2048,
 ) -> DataFrame:
     """`doc_id, row_key, size, component_id`: one row per document; `row_key` is its text's hash."""
-    sketched = stored(sketches(docs, id_col, text_col, width, percent))
+    describe = lambda tokens: (point(tokens), segment_keys(tokens, percent).view(np.int64))
+    sketched = stored(sketches(docs, id_col, text_col, width, describe, "sig binary, keys array<long>"))
     nodes = stored(set_nodes(sketched))
     described = sketched.withColumnRenamed("row", "node").join(nodes.select("node"), "node", "left_semi")
     members = stored(shared_members(described))
@@ -235,6 +237,7 @@ def join_sets(
     sets = stored(token_sets(docs, points.select("node", "doc_id", "t0", "t1"), id_col, text_col, width))
     roots = link_groups(members, points, sets, percent, COUNT, score(percent), tree_join(percent), block_rows=block_rows)
     member = named_groups(nodes, roots)
-    linked = sketched.where("size > 0").join(member, ["k0", "k1"]).select("doc_id", F.col("t0").alias("row_key"), "size", "component_id")
+    rows = sketched.where("size > 0").join(member, ["k0", "k1"])
+    linked = rows.select("doc_id", F.col("t0").alias("row_key"), "size", "component_id")
     alone = sketched.where("size = 0").select("doc_id", F.col("t0").alias("row_key"), "size", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
