@@ -4,12 +4,20 @@ import datetime as dt
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from test_correlation import ALERT_DDL, EDGES, T0, alert, edges_df
-from vigilake.operators.correlation import correlate
-from vigilake.operators.rollups import incident_daily, llm_cost_daily, page_load_daily
+from vigilake.operators.correlation import Loop, correlate
+from vigilake.operators import metrics
+from vigilake.operators.rollups import (
+    incident_daily,
+    latency_quantile,
+    llm_cost_daily,
+    llm_latency_daily,
+    page_load_daily,
+)
 from vigilake.streaming import correlate as streaming_correlation
 from vigilake.streaming import ingest, rollups
 
@@ -161,12 +169,145 @@ def test_once_keeps_one_copy(spark, tmp_path):
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["k1", "k2"]
 
 
-def test_burn_window_stream(spark, tmp_path):
-    rows = [(T0 + dt.timedelta(seconds=10 * i), 1.0, i % 4 == 0) for i in range(60)]
-    rows.append((T0 + dt.timedelta(hours=2), 1.0, False))
-    ddl = "time TIMESTAMP, increase DOUBLE, bad BOOLEAN"
-    spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(ddl).parquet(str(tmp_path / "in"))
-    drain(rollups.burn_window_stream(source, F.col("bad"), 300, 60), tmp_path / "out", tmp_path / "ck")
-    full = spark.read.parquet(str(tmp_path / "out")).where(F.col("at") == F.lit(T0 + dt.timedelta(minutes=6)))
-    assert abs(full.first().ratio - 8 / 30) < 0.05
+def test_burn_alerts_of_a_stream_equal_the_batch(spark, tmp_path):
+    """All four ratios and both alerts from one pass over panes, in several micro-batches."""
+    rng = random.Random(4)
+    rows, at = [], T0
+    for i in range(900):
+        at += dt.timedelta(seconds=rng.choice([1, 7, 20, 30, 90]))
+        bad = 300 < i < 600 and rng.random() < 0.5 or rng.random() < 0.01
+        rows.append((at, rng.choice(["a", "b"]), float(rng.randint(0, 4)), bad))
+    ddl = "time TIMESTAMP, slo STRING, increase DOUBLE, bad BOOLEAN"
+    for part in range(6):
+        spark.createDataFrame(rows[part * 150:part * 150 + 150], ddl).coalesce(1).write.parquet(str(tmp_path / f"in/{part}"))
+    flush = [(at + dt.timedelta(days=1), slo, 1.0, False) for slo in "ab"]
+    spark.createDataFrame(flush, ddl).coalesce(1).write.parquet(str(tmp_path / "in/9"))
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).option(
+        "recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    found = rollups.burn_alert_stream(stream, ["slo"], F.col("bad"), objective=0.01)
+    drain(found, tmp_path / "out", tmp_path / "ck")
+    batch = metrics.burn_alerts(
+        metrics.error_ratios(spark.createDataFrame(rows, ddl), ["slo"], F.col("bad")), ["slo"], objective=0.01)
+    names = ["slo", "at", "fast_burn_firing", "slow_burn_firing"]
+    ratios = ["ratio_5m", "ratio_30m", "ratio_1h", "ratio_6h"]
+    by_step = lambda df: {tuple(r[n] for n in names[:2]): r for r in df.collect()}
+    got, want = by_step(spark.read.parquet(str(tmp_path / "out"))), by_step(batch)
+    assert set(got) == set(want) and len(want) > 300
+    for key, row in want.items():
+        assert [got[key][n] for n in names] == [row[n] for n in names]
+        assert [got[key][n] for n in ratios] == pytest.approx([row[n] for n in ratios], rel=1e-9)
+    assert any(r.fast_burn_firing for r in want.values()) and any(r.slow_burn_firing for r in want.values())
+
+
+def test_latency_sketches_of_a_stream_merge(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(T0 + dt.timedelta(minutes=7 * i), rng.choice("xy"), "m", rng.randrange(100_000)) for i in range(2_000)]
+    ddl = "time TIMESTAMP, role STRING, model STRING, latency_ms INT"
+    for part in range(4):
+        spark.createDataFrame(rows[part::4], ddl).coalesce(1).write.parquet(str(tmp_path / f"in/{part}"))
+    last = rows[-1][0] + dt.timedelta(days=4)
+    spark.createDataFrame([(last, "x", "m", 0)], ddl).coalesce(1).write.parquet(str(tmp_path / "in/9"))
+    for shards in (1, 5):
+        stream = spark.readStream.schema(ddl).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        found = rollups.llm_latency_daily_stream(stream, shards=shards)
+        drain(found, tmp_path / f"out{shards}", tmp_path / f"ck{shards}")
+        kept = spark.read.parquet(str(tmp_path / f"out{shards}"))
+        daily = llm_latency_daily(spark.createDataFrame(rows, ddl))
+        count = lambda df: {(r.day, r.role): r.n for r in df.groupBy("day", "role").agg(F.sum("calls").alias("n")).collect()}
+        assert count(kept) == count(daily)
+        for q in (0.5, 0.95):
+            merged = {r.role: r.latency_ms for r in latency_quantile(kept, ["role"], q).collect()}
+            for role in "xy":
+                values = sorted(r[3] for r in rows if r[1] == role)
+                rank = sum(v <= merged[role] for v in values) / len(values)
+                assert abs(rank - q) < 0.03
+
+
+class Entries:
+    """A map or value state in memory that counts the entries it reads."""
+
+    def __init__(self):
+        self.kept, self.reads = {}, 0
+
+    def containsKey(self, key):
+        return key in self.kept
+
+    def getValue(self, key):
+        self.reads += 1
+        return self.kept[key]
+
+    def updateValue(self, key, value):
+        self.kept[key] = value
+
+    def removeKey(self, key):
+        self.kept.pop(key, None)
+
+    def iterator(self):
+        for item in list(self.kept.items()):
+            self.reads += 1
+            yield item
+
+    def exists(self):
+        return bool(self.kept)
+
+    def get(self):
+        return self.kept[()]
+
+    def update(self, value):
+        self.kept[()] = value
+
+    def clear(self):
+        self.kept.clear()
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def getMapState(self, name, *schemas):
+        return self.states.setdefault(name, Entries())
+
+    getValueState = getMapState
+
+    def registerTimer(self, at_ms):
+        self.timers.append(at_ms)
+
+
+class Expired:
+    def __init__(self, at_ms):
+        self.at_ms = at_ms
+
+    def getExpiryTimeInMs(self):
+        return self.at_ms
+
+
+def alert_rows(keys, minute, arrived, first=0):
+    at = pd.Timestamp(T0) + pd.Timedelta(minutes=minute)
+    return pd.DataFrame({
+        "first_id": [first + n for n in range(len(keys))], "dedup_key": keys, "service": [f"s-{k}" for k in keys],
+        "near": [[] for _ in keys], "severity_rank": 3, "labels": [{"alertname": k} for k in keys], "first_at": at,
+        "last_at": at, "taken_at": at, "closing": False, "arrived_at": pd.Timestamp(arrived, unit="s")})
+
+
+def test_state_read_grows_with_the_batch_and_leaves_by_timer():
+    loop = Loop(900, 0.62, 3600, False)
+    handle, processor = Handle(), streaming_correlation.OpenIncidents(loop, 3600)
+    processor.init(handle)
+    take = lambda rows: pd.concat(list(processor.handleInputRows(("c",), iter([rows]), None)))
+    keys = [f"k{n}" for n in range(500)]
+    opened = take(alert_rows(keys, 0, 1000))
+    assert set(opened["kind"]) == {"new"} and len(handle.states["incidents"].kept) == 500
+    for state in handle.states.values():
+        state.reads = 0
+    again = take(alert_rows(["k3", "k7", "k3"], 30, 2000, 1000))
+    assert list(again["kind"]) == ["attached"] * 3 and list(again["incident_id"]) == [3, 7, 3]
+    assert handle.states["incidents"].reads + handle.states["holders"].reads <= 6
+    # the first timer finds the component busy: only what nothing can join any more goes
+    assert handle.timers == [(1000 + 3600) * 1000]
+    take(alert_rows(["k7"], 65, 3000, 2000))
+    list(processor.handleExpiredTimer(("c",), None, Expired(handle.timers[-1])))
+    assert sorted(k for k, in handle.states["incidents"].kept) == [3, 7]
+    assert sorted(k for k, in handle.states["holders"].kept) == ["k3", "k7"]
+    assert take(alert_rows(["k1"], 66, 3010, 3000))["kind"].tolist() == ["new"]
+    list(processor.handleExpiredTimer(("c",), None, Expired((3010 + 3600) * 1000)))
+    assert not any(state.kept for state in handle.states.values())

@@ -83,20 +83,45 @@ def error_ratios(grown: DataFrame, by: Sequence[str], failed: Column, step_s: in
     )
 
 
-def held_for(series: DataFrame, by: Sequence[str], flag: str, minutes: int | Column, name: str):
-    """Adds `name`: the flag has been true at every step for at least `minutes`; NULL is false."""
-    order = Window.partitionBy(*by).orderBy("at")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    on = F.coalesce(F.col(flag), F.lit(False))
-    last_off = F.last(F.when(~on, F.col("_n")), True).over(so_far)
-    numbered = series.withColumn("_n", F.row_number().over(order)).withColumn("_off", last_off)
-    run = Window.partitionBy(*by, "_off").orderBy("at").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+def held_for(
+    series: DataFrame, by: Sequence[str], flag: str, minutes: int | Column, name: str, cell_s: int = DAY,
+):
+    """Adds `name`: the flag has been true at every step for at least `minutes`; NULL is false.
+
+    A series is cut into cells of time. Inside a cell runs are found as usual; a run that
+    comes in from earlier cells is known from one summary row per cell (does a run reach its
+    end, since when, is it on throughout), which combine in any grouping. So a busy series is
+    many units of work, and what is ordered per series is its cells.
+    """
+    here = [*by, "_cell"]
+    order = ["at", "_on"]
+    so_far = Window.partitionBy(*here).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = Window.partitionBy(*here, "_offs").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    celled = (
+        series.withColumns({"_cell": time_cell(F.col("at"), cell_s), "_on": F.coalesce(F.col(flag), F.lit(False))})
+        .withColumn("_offs", F.count_if(~F.col("_on")).over(so_far))
+        .withColumn("_since", F.min(F.when(F.col("_on"), F.col("at"))).over(run))
+    )
+    ends = celled.groupBy(*here).agg(
+        F.bool_and("_on").alias("_all"), F.max_by(F.when(F.col("_on"), F.col("_since")), F.struct(*order)).alias("_tail")
+    )
+    cells = Window.partitionBy(*by).orderBy("_cell")
+    through = cells.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a stretch: a cell with a break and the unbroken ones after it
+    stretch = Window.partitionBy(*by, "_stretch").orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = (
+        ends.withColumn("_stretch", F.count_if(~F.col("_all")).over(through))
+        .withColumn("_end", F.min("_tail").over(stretch))
+        .withColumn("_carry", F.lag("_end").over(cells))
+        .where(F.col("_carry").isNotNull())
+        .select(*[F.col(c).alias(f"_k{n}") for n, c in enumerate(here)], "_carry")
     )
-    since = F.min(F.when(on, F.col("at"))).over(run)
-    return numbered.withColumn(
-        name, on & (seconds_between(since, F.col("at")) >= minutes * 60)
-    ).drop("_n", "_off")
+    same = F.lit(True)
+    for n, c in enumerate(here):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{n}"))
+    since = F.when(F.col("_offs") == 0, F.coalesce("_carry", "_since")).otherwise(F.col("_since"))
+    held = F.col("_on") & (seconds_between(since, F.col("at")) >= minutes * 60)
+    return celled.join(carried, same, "left").withColumn(name, held).select(*series.columns, name)
 
 
 def burn_alerts(ratios: DataFrame, by: Sequence[str], objective: float = 0.001) -> DataFrame:
