@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilake.constants import DEPLOY_LOOKBACK_H, DEPLOY_TRAILING_MIN, DEPLOYS_PER_INCIDENT
-from vigilake.functions.skew import time_cell
+from vigilake.functions.intervals import cover, levels, meet
 from vigilake.functions.times import interval
 
-HOUR = 3600
-
 
 def evidence_window(incidents: DataFrame) -> DataFrame:
     """Adds `from_at` and `to_at`: six hours back to 30 minutes after resolution."""
@@ -31,41 +29,32 @@ def deploys_near(
     """The newest deploys inside each incident's evidence window.
 
     `incidents` has id, service (NULL matches every service), detected_at and
-    resolved_at. The window is cut into hours so the join has equal keys even
-    when one service owns most rows. An hour lying wholly inside the window can
-    contribute no more than its own newest `newest` deploys, so only the two
-    border hours meet unreduced deploys.
+    resolved_at. Windows are covered by cells of several sizes and the join has equal
+    keys; a cell contributes no more than its own newest `newest` deploys, an exact
+    instant neither, so no window meets unreduced deploys.
     """
     windows = evidence_window(incidents.select("id", "service", "detected_at", "resolved_at"))
-    first, last = time_cell(F.col("from_at"), HOUR), time_cell(F.col("to_at"), HOUR)
-    hours = windows.withColumn("hour", F.explode(F.sequence(first, last))).withColumn(
-        "border", (F.col("hour") == first) | (F.col("hour") == last)
-    )
-    shipped = deploys.withColumn("hour", time_cell(F.col("deployed_at"), HOUR))
-    owned = hours.where(F.col("service").isNotNull())
-    unowned = hours.where(F.col("service").isNull()).drop("service")
-    found = _inside(owned, shipped, ["service", "hour"], newest).unionByName(
-        _inside(unowned, shipped, ["hour"], newest)
-    )
+    cells = cover(
+        windows.select("id", "service", "from_at", "to_at"), F.unix_micros("from_at"), F.unix_micros("to_at")
+    ).drop("from_at", "to_at")
+    shipped = deploys.where(F.col("deployed_at").isNotNull()).withColumn("_us", F.unix_micros("deployed_at"))
+    owned = meet(
+        cells.where(F.col("service").isNotNull()), levels(shipped, "_us", _newest(newest, ["service"])), "_us", ["service"])
+    unowned = meet(
+        cells.where(F.col("service").isNull()).drop("service"), levels(shipped, "_us", _newest(newest, [])), "_us")
+    found = owned.unionByName(unowned).withColumnRenamed("id", "incident_id").select("incident_id", *deploys.columns)
     by_age = Window.partitionBy("incident_id").orderBy(F.desc("deployed_at"), "sha")
     return found.withColumn("rank", F.row_number().over(by_age)).where(F.col("rank") <= newest)
 
 
-def _inside(hours: DataFrame, shipped: DataFrame, keys: list[str], newest: int) -> DataFrame:
-    by_age = Window.partitionBy(*keys).orderBy(F.desc("deployed_at"), "sha")
-    leading = shipped.withColumn("_rank", F.row_number().over(by_age)).where(
-        F.col("_rank") <= newest
-    ).drop("_rank")
-    kept = ["id", *keys]
-    whole = hours.where(~F.col("border")).select(*kept).join(leading, keys)
-    partial = (
-        hours.where("border").select(*kept, "from_at", "to_at").join(shipped, keys)
-        .where(F.col("deployed_at").between(F.col("from_at"), F.col("to_at")))
-        .drop("from_at", "to_at")
-    )
-    return whole.unionByName(partial).withColumnRenamed("id", "incident_id").drop("hour").select(
-        "incident_id", *[c for c in shipped.columns if c != "hour"]
-    )
+def _newest(count: int, by: list[str]):
+    """Keeps the newest deploys per service and cell."""
+
+    def reduce(rows: DataFrame, keys: list[str]) -> DataFrame:
+        order = Window.partitionBy(*by, *keys).orderBy(F.desc("_us"), "sha")
+        return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= count).drop("_rank")
+
+    return reduce
 
 
 def last_deploy_before(incidents: DataFrame, deploys: DataFrame) -> DataFrame:

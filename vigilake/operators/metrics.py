@@ -7,12 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilake.functions.intervals import cover, levels, meet
 from vigilake.functions.labels import series_key
 from vigilake.functions.skew import time_cell, with_previous
 from vigilake.functions.times import as_of_literal, interval, seconds_between, window_minutes
 
 DAY = 86_400
-HOUR = 3600
 INFINITE = float("inf")
 
 
@@ -260,8 +260,8 @@ def impact(
 
     `incidents` has id, service, namespace, detected_at, resolved_at; `samples`
     has time, name, labels, value. A series' growth is summed per service and
-    hour first; an incident reads whole hours from those sums and only its two
-    border hours from the samples. A recorded query failure (incident_id,
+    cell of several sizes; an incident's window is covered by such cells and
+    reads their sums only. A recorded query failure (incident_id,
     reason) makes the whole report unavailable.
     """
     span = incidents.select(
@@ -281,20 +281,13 @@ def impact(
         .otherwise("bucket").alias("measure"),
         F.when(F.col("labels")["le"] == "+Inf", INFINITE)
         .otherwise(F.col("labels")["le"].cast("double")).alias("le"),
-        time_cell(F.col("time"), HOUR).alias("hour"),
+        F.unix_micros("time").alias("_us"),
     )
-    first, last = time_cell(F.col("start_at"), HOUR), time_cell(F.col("end_at"), HOUR)
-    hours = span.withColumn("hour", F.explode(F.sequence(first, last))).withColumn(
-        "border", (F.col("hour") == first) | (F.col("hour") == last)
-    )
-    keys = ["service", "hour"]
-    summed = grown.groupBy(*keys, "measure", "le").agg(F.sum("increase").alias("increase"))
-    whole = hours.where(~F.col("border")).select("incident_id", *keys).join(summed, keys)
-    partial = hours.where("border").select("incident_id", *keys, "start_at", "end_at").join(
-        grown, keys
-    ).where((F.col("time") > F.col("start_at")) & (F.col("time") <= F.col("end_at")))
-    pieces = ["incident_id", "measure", "le", "increase"]
-    growth = whole.select(*pieces).unionByName(partial.select(*pieces)).groupBy(*pieces[:3]).agg(
+    summed = levels(grown, "_us", lambda rows, keys: rows.groupBy(
+        "service", "measure", "le", *keys).agg(F.sum("increase").alias("increase")))
+    cells = cover(span.select("incident_id", "service", "start_at", "end_at"),
+                  F.unix_micros("start_at") + 1, F.unix_micros("end_at")).drop("start_at", "end_at")
+    growth = meet(cells, summed, "_us", ["service"]).groupBy("incident_id", "measure", "le").agg(
         F.sum("increase").alias("increase")
     )
     counts = growth.where(F.col("measure") != "bucket").groupBy("incident_id").agg(
