@@ -2,6 +2,9 @@
 
 import datetime as dt
 import random
+import re
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -172,3 +175,54 @@ def test_runbook_patterns_in_both_spellings(spark):
     assert got == {1: 1, 2: 2}
     problems = {r.id: r.problem for r in runbooks.pattern_problems(books).collect()}
     assert problems == {3: "alert_pattern is not valid regex", 4: "service_filter is not valid regex"}
+
+
+@pytest.mark.parametrize("pattern,words", [
+    ("Disk.*Full", ["disk"]), ("(?:lag|queue) depth", [" depth"]), ("a|bcd", []), ("(cpu|memory)", ["cpu", "memory"]),
+    ("x*", []), ("(abc)?", []), ("(abc)+d", ["abc"]), ("[abc]def", ["def"]), ("(unclosed", []), ("état", ["tat"]), ("ab", []),
+    ("(?i:KAFKA)[0-9]", ["kafka"]), ("(?=lookahead)", []), ("^pay-(api|web)$", ["pay-"]),
+])
+def test_required_words(pattern, words):
+    assert runbooks.required_words(pattern) == words
+
+
+def test_patterns_meet_only_where_they_may_match(spark):
+    rng = random.Random(7)
+    parts = ["Disk", "Full", "K", "s", "lag", "Queue", "ı", "é", "-", "x1"]
+    names = ["".join(rng.choices(parts, k=rng.randint(1, 5))) for _ in range(60)] + ["Kafka", "Diſk"]
+    patterns = ["disk", "(full|queue)", ".", "lag+", "^k", "q.eue.*lag", "(", "ka(f)ka", "x[0-9]", "é-", "dıs", "full(?!K)", "(?:lag){2}"]
+    ddl = "id INT, position INT, alert_pattern STRING, severity_filter STRING, service_filter STRING"
+    books = spark.createDataFrame(
+        [(i, -i, p, rng.choice([None, "sev1"]), rng.choice([None, "a|b"])) for i, p in enumerate(patterns)], ddl)
+    rows = [(i, n, None, rng.choice(["sev1", "sev2", None]), rng.choice(["ab", "c", None])) for i, n in enumerate(names)]
+    seen = spark.createDataFrame(rows, "id INT, root_signal STRING, alertname STRING, severity STRING, service STRING")
+    got = {r.id: (r.runbook_id, r.score) for r in runbooks.match_runbooks(seen, books).collect()}
+    want = {}
+    for i, name, _, severity, service in rows:
+        options = []
+        for b in books.collect():
+            try:
+                hit = re.search(b.alert_pattern, name, re.I)
+            except re.error:
+                continue
+            fits = b.severity_filter in (None, severity) and (
+                b.service_filter is None or service is not None and re.search(b.service_filter, service, re.I))
+            if hit and fits:
+                options.append((-(1 + (b.severity_filter is not None) + 2 * (b.service_filter is not None)), b.position, b.id))
+        if options:
+            want[i] = (min(options)[2], -min(options)[0])
+    assert got == want and len(set(b for b, _ in want.values())) > 4
+
+
+def test_steps_by_automaton_and_by_words(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["restart", "start", "art", "db-primary", "rollout", "undo", "scale", "replicas", "--now", "pods"]
+    steps = [(n % 3, n, f"s{n}", "```\n" + " ".join(rng.sample(words, rng.randint(1, 6))) + "\n```") for n in range(12)]
+    steps.append((1, 99, "none", "no command"))
+    books = spark.createDataFrame(steps, "runbook_id INT, position INT, step_id STRING, body STRING")
+    said = [(i, rng.choice([0, 1, 2, 7, None]), rng.choice([None, "x " + "".join(rng.choices([*words, " "], k=5)).upper()])) for i in range(120)]
+    messages = spark.createDataFrame(said, "id INT, runbook_id INT, text STRING")
+    found = lambda: {r.id: (r.step_id, r.hits) for r in runbooks.detect_steps(messages, books).collect()}
+    by_automaton = found()
+    monkeypatch.setattr(runbooks, "AUTOMATON_WORDS", 0)
+    assert found() == by_automaton and len(by_automaton) > 20
