@@ -84,6 +84,41 @@ def test_alerts_are_stored_once_and_rejects_kept(spark, tmp_path):
     assert {r.alertname: r.seen_count for r in seen} == {"Down": 3, "Slow": 1} and seen[0].last_seen_at
 
 
+def test_a_second_stream_keeps_what_the_first_one_saw(spark, tmp_path):
+    """A fresh checkpoint numbers its batches from 0 again; rejects and sightings add up, replays do not."""
+    sink = ingest.alert_sink(*[str(tmp_path / n) for n in ("alerts", "bad", "resolved", "seen")])
+    broken = envelope("Down", 0)
+    broken["alerts"][0]["startsAt"] = "soon"
+    for n in range(2):
+        write_lines(tmp_path / f"in{n}/a.json", [envelope("Down", 0), broken])
+        ingest.run_once(ingest.payload_stream(spark, str(tmp_path / f"in{n}")), sink, str(tmp_path / f"ck{n}"))
+    seen = lambda: ingest.with_sightings(
+        spark.read.parquet(str(tmp_path / "alerts")), spark.read.parquet(str(tmp_path / "seen"))).first().seen_count
+    assert seen() == 2 and spark.read.parquet(str(tmp_path / "bad")).count() == 2
+    # the last batch again, as after a crash before its commit
+    (tmp_path / "ck1/commits/0").unlink()
+    (tmp_path / "ck1/commits/.0.crc").unlink(missing_ok=True)
+    ingest.run_once(ingest.payload_stream(spark, str(tmp_path / "in1")), sink, str(tmp_path / "ck1"))
+    assert seen() == 2 and spark.read.parquet(str(tmp_path / "bad")).count() == 2
+
+
+def test_revisions_are_stored_by_the_message_day(spark, tmp_path):
+    incidents = spark.createDataFrame([(7, "C1")], "id BIGINT, chat_channel_id STRING")
+    sink = ingest.transcript_sink(incidents, *[str(tmp_path / n) for n in ("m", "t", "s", "r", "bad")])
+    said = [{"type": "message", "channel": "C1", "ts": f"{1700000000 + 86400 * d}.000001", "user": "U1", "text": "rolled back",
+             "event_time": "2023-11-20T22:13:20Z"} for d in range(3)]
+    edits = [{"subtype": "message_changed", "channel": "C1", "event_time": f"2023-12-0{n + 1}T00:00:00Z",
+              "message": {"ts": said[n % 2]["ts"], "text": f"edit {n}"}} for n in range(4)]
+    frame = lambda rows: spark.createDataFrame([(json.dumps(r),) for r in rows], "value STRING")
+    sink(frame(said), 0)
+    for n in range(4):
+        sink(frame(edits[n:n + 1]), n + 1)
+    sink(frame(edits[3:]), 5)
+    log = spark.read.parquet(str(tmp_path / "r"))
+    assert sorted((str(r.day), r.revision) for r in log.collect()) == [
+        ("2023-11-14", 1), ("2023-11-14", 2), ("2023-11-15", 1), ("2023-11-15", 2)]
+
+
 def test_transcript_survives_redelivery_and_logs_edits(spark, tmp_path):
     said = ["looking at the dashboard", "rolled back", "ok", "restarting db", "all green"]
     events = [

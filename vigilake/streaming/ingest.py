@@ -58,25 +58,34 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def append_new(rows: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], time: str) -> None:
-    """Appends the earliest row of each key the table lacks.
+def of_days(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of a day-partitioned table on the days `rows` fall in.
 
-    Only the days the rows fall in are compared, found as one small aggregate.
+    The first and the last day are read from the rows and prune the table's folders;
+    the days between are compared by a join.
     """
+    first, last = rows.agg(F.min("day"), F.max("day")).first()
+    if first is None:
+        return table.where(F.lit(False))
+    return table.where(F.col("day").between(F.lit(first), F.lit(last))).join(rows.select("day").distinct(), "day", "left_semi")
+
+
+def append_new(rows: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], time: str) -> None:
+    """Appends the earliest row of each key the table lacks; only the rows' own days are compared."""
     dated = rows.withColumn("day", F.to_date(time))
     table = stored(rows.sparkSession, path)
-    if table is not None:
-        days = dated.select("day").distinct()
-        held = table.join(F.broadcast(days), "day", "left_semi")  # one row per day of the batch
-        fresh = insert_new(dated, held, keys, order)
-    else:
-        fresh = insert_new(dated, dated.where(F.lit(False)), keys, order)
-    fresh.write.mode("append").partitionBy("day").parquet(path)
+    held = dated.where(F.lit(False)) if table is None else of_days(table, dated)
+    insert_new(dated, held, keys, order).write.mode("append").partitionBy("day").parquet(path)
 
 
 def _keep_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    """One folder per micro-batch, so that its replay replaces what it wrote."""
-    rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    """One folder per query and micro-batch, so that a replay replaces what it wrote and nothing else.
+
+    A query keeps its id as long as it has its checkpoint; another query, or the same one
+    after its checkpoint was lost, numbers its batches anew under an id of its own.
+    """
+    query = rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
+    rows.write.mode("overwrite").parquet(f"{path}/query={query}/batch={batch_id}")
 
 
 def alert_sink(alerts_path: str, rejects_path: str, resolved_path: str, sightings_path: str) -> Sink:
@@ -140,15 +149,16 @@ def transcript_sink(incidents: DataFrame, messages_path: str, timeline_path: str
         held = stored(spark, messages_path)
         if held is None:
             return
+        by_day = lambda rows: rows.withColumn("time", chat_timestamp(F.col("ts"))).withColumn("day", F.to_date("time"))
         observed = edits.unionByName(deletes)
-        touched = observed.select("channel_id", "ts", F.to_date(chat_timestamp(F.col("ts"))).alias("day")).distinct()
+        touched = by_day(observed).select("channel_id", "ts", "day").distinct()
+        keys = touched.select("channel_id", "ts")
         log = stored(spark, revisions_path)
-        known = held.join(F.broadcast(touched.select("day").distinct()), "day", "left_semi").join(  # days of the edits
-            touched.select("channel_id", "ts"), ["channel_id", "ts"], "left_semi"
-        )
-        past = None if log is None else log.join(touched.select("channel_id", "ts"), ["channel_id", "ts"], "left_semi")
-        fresh = append_revisions(observed, known, past)
-        append_new(fresh, revisions_path, ["channel_id", "ts", "revision"], ["observed_at"], "observed_at")
+        known = of_days(held, touched).join(keys, ["channel_id", "ts"], "left_semi")
+        past = None if log is None else of_days(log, touched).join(keys, ["channel_id", "ts"], "left_semi")
+        # the log is cut by the day of the message, as the messages are
+        fresh = by_day(append_revisions(observed, known, past)).drop("day")
+        append_new(fresh, revisions_path, ["channel_id", "ts", "revision"], ["observed_at"], "time")
 
     return write
 
