@@ -5,7 +5,8 @@ Input: `members` (`key, pos, node`, nodes that may be linked share a key), `poin
 (`node, grams`, the whole sets). Two nodes are linked if
 `100 * |intersection| >= percent * |union|`; links are always confirmed on whole sets.
 
-Rounds. (1) Inside a few tiles each node meets its neighbour only. (2) In every tile that
+Rounds. (1) In a few tiles each node meets the one of middle size, so that
+groups of copies become stars, which take few steps to join. (2) In every tile that
 still holds several components each node gets its most promising partner of another one.
 (3) In the tiles left, all pairs of different components whose bound allows a link. No
 link is lost, since nodes not compared in the end are in one component already, and
@@ -74,10 +75,10 @@ def _compare(mode: str, percent: int, dtype: str, score: Score, search: Search):
                 good = value >= 0
                 found.append((a[good], b[good], value[good]))
 
-        if mode == "chain":
-            # a tile of any size: neighbours only
-            here = np.flatnonzero(np.diff(tile, append=-1) == 0)
-            keep(here, here + 1)
+        if mode == "star":
+            # rows come in order of size: each meets the one in the middle
+            middle, here = np.repeat(starts + counts // 2, counts), np.arange(len(tile))
+            keep(here[here != middle], middle[here != middle])
         else:
             for i, j in _neighbours(starts, counts, SMALL_TILE):
                 keep(i, j)
@@ -155,7 +156,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def link_groups(
     members: DataFrame, points: DataFrame, sets: DataFrame, percent: int, dtype: str, score: Score, search: Search,
-    chain_keys: int = 6, block_rows: int = 2048, known: DataFrame | None = None,
+    star_keys: int = 6, block_rows: int = 2048, known: DataFrame | None = None,
 ) -> DataFrame:
     """`node, root` of all nodes with a link: the smallest node of its component. `known` are links found before."""
 
@@ -169,13 +170,13 @@ def link_groups(
         return stored(found.distinct())
 
     sized = members.join(points.select("node", "size"), "node")
-    near = sized.where(F.col("pos") < chain_keys)
+    near = sized.where(F.col("pos") < star_keys)
     tiles = near.groupBy("key").agg(F.count("*").alias("n"))
     zero = F.lit(0).cast("long")
     own = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / block_rows))
-    chains = near.join(tiles, "key").select(
+    stars = near.join(tiles, "key").select(
         "key", own.alias("lo"), own.alias("hi"), zero.alias("block"), "node", F.col("node").alias("comp"), "size")
-    first = confirmed(paired(chains, "chain"), sets, percent)
+    first = confirmed(paired(stars, "star"), sets, percent)
     links = stored(first if known is None else first.unionByName(known))
     roots = stored(components(links))
     for mode in ("best", "all"):
