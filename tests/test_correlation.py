@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from vigilake.operators import correlation
+from vigilake.operators import correlation, graph
 from vigilake.operators.graph import components, depths, hops_between
 
 T0 = dt.datetime(2024, 5, 1)
@@ -209,6 +209,58 @@ def test_depth_in_cycles_counts_the_reentering_edge(spark):
     assert depth == {n: walk(n, frozenset()) for n in "abcde"}
 
 
+def plain_depths(rows):
+    up = {n: [s for s, t in rows if t == n] for edge in rows for n in edge}
+
+    def walk(node, seen):
+        if node in seen or not up[node]:
+            return 0
+        return 1 + max(walk(s, seen | {node}) for s in up[node])
+
+    return {n: walk(n, frozenset()) for n in up}
+
+
+def test_depths_of_tangled_graphs(spark):
+    rng = random.Random(2)
+    for size, count in ((6, 9), (8, 16), (9, 14)):
+        names = [f"n{i}" for i in range(size)]
+        rows = sorted({(rng.choice(names), rng.choice(names)) for _ in range(count)})
+        got = {r.service: r.depth for r in depths(edges_df(spark, rows)).collect()}
+        assert got == plain_depths(rows), rows
+
+
+def test_strong_components(spark):
+    rows = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "c"), ("e", "f"), ("x", "a"), ("y", "y")]
+    got = {r.service: r.scc for r in graph.strong_components(edges_df(spark, rows)).collect()}
+    assert got == {"a": "b", "b": "b", "c": "e", "d": "e", "e": "e", "f": "f", "x": "x", "y": "y"}
+
+
+def test_dense_and_long_cycles(spark):
+    names = [f"n{i:02}" for i in range(20)]
+    dense = [(a, b) for a in names for b in names if a != b]
+    rows = [*dense, ("top", "n00"), ("n03", "below")]
+    got = {r.service: r.depth for r in depths(edges_df(spark, rows)).collect()}
+    assert got == {**{n: got[n] for n in names}, "top": 0, "below": 21}
+    assert all(got[n] == 20 for n in names)
+    ring = [(f"r{i}", f"r{(i + 1) % 200}") for i in range(200)]
+    near = [[(i - 1) % 200] for i in range(200)]
+    assert graph.longest_by_search(near, [None] * 200) == [200] * 200 and len(ring) == 200
+    rng = random.Random(8)
+    for _ in range(40):
+        m = rng.randint(1, 7)
+        near = [sorted(rng.sample(range(m), rng.randint(0, m))) for _ in range(m)]
+        exits = [rng.choice([None, None, 0, 3]) for _ in range(m)]
+        assert graph.longest_by_subsets(near, exits) == graph.longest_by_search(near, exits)
+
+
+def test_a_cycle_beyond_search_is_an_error():
+    rng = random.Random(1)
+    m = 60
+    near = [sorted({(i + 1) % m, *rng.sample(range(m // 2), 2)}) if i < m // 2 else [(i + 1) % m] for i in range(m)]
+    with pytest.raises(ValueError, match="too entangled"):
+        graph._longest_from(m - 1, near, [None] * m, m + 1)
+
+
 def test_hops(spark):
     pairs = spark.createDataFrame(
         [("web", "web"), ("web", "api"), ("web", "db"), ("web", "jobs"), ("web", "mail"),

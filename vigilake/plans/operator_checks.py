@@ -39,6 +39,44 @@ def _(v):
     return graph.service_edges(v.services().join(pairs, "id"))
 
 
+# Chains of services whose ends meet: three cycles of four, one of them reached from outside.
+LOOPED_SQL = """
+    links AS (SELECT service, depends_on FROM v_edges UNION
+              SELECT 'svc-' || (user_id % 12), 'svc-' || (user_id % 12 - 9) FROM events
+               WHERE event_type = 'error' AND user_id % 12 BETWEEN 9 AND 11 UNION
+              SELECT 'svc-' || (user_id % 12), 'svc-' || (user_id % 12 + 4) FROM events
+               WHERE event_type = 'error' AND user_id % 12 IN (1, 4))"""
+
+
+def _looped(v):
+    number = F.col("user_id") % 12
+    name = lambda n: F.concat(F.lit("svc-"), n.cast("string"))
+    seen = v.events().where(F.col("event_type") == "error").select(number.alias("n")).distinct()
+    pair = lambda kept, step: seen.where(kept).select(name(F.col("n")).alias("service"), name(F.col("n") + step).alias("depends_on"))
+    return v.edges().unionByName(pair(F.col("n") >= 9, -9)).unionByName(pair(F.col("n").isin(1, 4), 4))
+
+
+@query("graph_depth_of_cycles", f"""
+    WITH RECURSIVE {LOOPED_SQL},
+    n AS (SELECT service FROM links UNION SELECT depends_on FROM links),
+    walk(service, spot, seen, depth) AS (
+        SELECT service, service, [service], 0 FROM n UNION ALL
+        SELECT w.service, l.service, list_append(seen, l.service), depth + 1 FROM walk w JOIN links l ON l.depends_on = w.spot
+         WHERE depth < len(seen) AND len(list_distinct(seen)) = len(seen))
+    SELECT service, max(depth) AS depth FROM walk GROUP BY service""")
+def _(v):
+    return graph.depths(_looped(v))
+
+
+@query("strong_components", f"""
+    WITH RECURSIVE {LOOPED_SQL},
+    n AS (SELECT service FROM links UNION SELECT depends_on FROM links),
+    reach(a, b) AS (SELECT service, service FROM n UNION SELECT a, depends_on FROM reach JOIN links ON service = b)
+    SELECT x.a AS service, max(x.b) AS scc FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a""")
+def _(v):
+    return graph.strong_components(_looped(v))
+
+
 @query("graph_depth", """
     WITH RECURSIVE n AS (SELECT service FROM v_edges UNION SELECT depends_on FROM v_edges),
     walk(service, depth) AS (SELECT service, 0 FROM n UNION
