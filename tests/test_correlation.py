@@ -268,3 +268,20 @@ def test_hops(spark):
     got = {(r.a, r.b): r.hops for r in hops_between(pairs, edges_df(spark)).collect()}
     assert got == {("web", "web"): 0, ("web", "api"): 1, ("web", "db"): 2, ("web", "jobs"): None,
                    ("web", "mail"): None, ("zz", "zz"): None}
+
+
+def test_a_sweep_equals_one_run_per_setting(spark):
+    rng = random.Random(11)
+    rows = [alert(i, rng.randrange(40_000), rng.choice(["web", "api", "db", "mail", None]), rank=rng.choice([3, 4]),
+                  name=rng.choice("ABC")) for i in range(160)]
+    alerts, edges = spark.createDataFrame(rows, ALERT_DDL), edges_df(spark)
+    settings = [(60, 0.62), (300, 0.62), (900, 0.7), (3600, 0.62), (900, 0.9), (900, 0.5)]
+    ends = spark.createDataFrame([(rows[3][1], T0 + dt.timedelta(seconds=20_000))], "dedup_key STRING, closed_at TIMESTAMP")
+    for options in ({}, {"closures": ends}, {"order": "id"}):
+        got = {(r.window_s, r.threshold): (r.alerts, r.incidents, r.merges)
+               for r in correlation.sweep(alerts, edges, settings, **options).collect()}
+        assert set(got) == set(settings)
+        for window_s, threshold in (settings[0], settings[2], settings[5]):
+            kinds = [r.kind for r in correlation.correlate(
+                alerts, edges, window_s=window_s, threshold=threshold, **options).select("kind").collect()]
+            assert got[window_s, threshold] == (160, kinds.count("new"), kinds.count("merged"))

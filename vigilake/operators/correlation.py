@@ -22,11 +22,12 @@ alerts on (key, hour), which spreads a hot key over its hours.
 from __future__ import annotations
 
 import warnings
+from collections import Counter
 from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilake.constants import (
@@ -66,6 +67,16 @@ def correlate(
     `tenant` names a column whose values never share an incident. An incident is
     named by its first alert.
     """
+    rows = _with_component(_scoped(alerts, closures, order, tenant), edges, declared, threshold)
+    if closures is None and order is None and close_after_s >= HOUR:
+        return _correlate_reduced(rows, edges, declared, window_s, threshold, close_after_s)
+    steps = _with_slack(_plain_steps(rows), window_s, threshold, close_after_s, order)
+    decisions = _decide(steps, edges, declared, window_s, threshold, close_after_s, order is None)
+    return _with_epoch(decisions, rows.where(~F.col("closing")).select("alert_id", "tenant"))
+
+
+def _scoped(alerts, closures, order, tenant):
+    """Alerts and closing events as rows of one shape."""
     scope = F.col(tenant).cast("string") if tenant else F.lit("")
     rows = alerts.select(
         F.col("id").alias("alert_id"), scope.alias("tenant"), "dedup_key", "service",
@@ -74,30 +85,28 @@ def correlate(
         "starts_at", (F.col(order) if order else F.col("starts_at")).alias("taken_at"),
         F.lit(False).alias("closing"),
     )
-    if closures is not None:
-        ends = closures.select(
-            "dedup_key", F.col("closed_at").alias("starts_at"), *([tenant] if tenant else [])
-        )
-        rows = rows.unionByName(
-            ends.withColumns({"taken_at": F.col("starts_at"), "closing": F.lit(True),
-                              "tenant": scope}).select(
-                "tenant", "dedup_key", "starts_at", "taken_at", "closing"),
-            allowMissingColumns=True,
-        )
-    rows = _with_component(rows, edges, declared, threshold)
-    if closures is None and order is None and close_after_s >= HOUR:
-        return _correlate_reduced(rows, edges, declared, window_s, threshold, close_after_s)
-    steps = rows.select(
+    if closures is None:
+        return rows
+    ends = closures.select("dedup_key", F.col("closed_at").alias("starts_at"), *([tenant] if tenant else []))
+    return rows.unionByName(
+        ends.withColumns({"taken_at": F.col("starts_at"), "closing": F.lit(True), "tenant": scope}).select(
+            "tenant", "dedup_key", "starts_at", "taken_at", "closing"),
+        allowMissingColumns=True,
+    )
+
+
+def _plain_steps(rows):
+    return rows.select(
         "tenant", "component", "dedup_key", "service", "severity_rank", "labels",
         F.col("alert_id").alias("first_id"), F.col("starts_at").alias("first_at"),
         F.col("starts_at").alias("last_at"), "taken_at", "closing",
     )
+
+
+def _with_slack(steps, window_s, threshold, close_after_s, order):
     if order is None:
-        steps = _with_island(cut_lineage(steps), window_s, threshold, close_after_s)
-    else:
-        steps = steps.withColumn("island", F.concat_ws("|", "tenant", "component"))
-    decisions = _decide(steps, edges, declared, window_s, threshold, close_after_s, order is None)
-    return _with_epoch(decisions, rows.where(~F.col("closing")).select("alert_id", "tenant"))
+        return _with_island(cut_lineage(steps), window_s, threshold, close_after_s)
+    return steps.withColumn("island", F.concat_ws("|", "tenant", "component"))
 
 
 def _with_component(rows, edges, declared, threshold):
@@ -127,7 +136,8 @@ def _with_component(rows, edges, declared, threshold):
     return direct.unionByName(keyed)
 
 
-def _correlate_reduced(rows, edges, declared, window_s, threshold, close_after_s):
+def _reduced(rows, close_after_s):
+    """(rows with their hour, run of each key and hour, steps left after repeats are reduced)."""
     hour = time_cell(F.col("starts_at"), HOUR)
     minute = time_cell(F.col("starts_at"), MINUTE)
     rows = rows.withColumns({"hour": hour, "minute": minute})
@@ -175,6 +185,12 @@ def _correlate_reduced(rows, edges, declared, window_s, threshold, close_after_s
             F.col("first.starts_at").alias("taken_at"), F.lit(False).alias("closing"),
         )
     )
+    return rows, runs, steps
+
+
+def _correlate_reduced(rows, edges, declared, window_s, threshold, close_after_s):
+    rows, runs, steps = _reduced(rows, close_after_s)
+    key = ["tenant", "dedup_key"]
     steps = _with_island(steps, window_s, threshold, close_after_s)
     decisions = _decide(steps, edges, declared, window_s, threshold, close_after_s, True)
     starts = runs.select("tenant", F.col("run").alias("alert_id")).distinct()
@@ -240,17 +256,20 @@ def _with_island(steps, window_s, threshold, close_after_s):
     return steps.join(islands, [*base, "minute"]).drop("minute")
 
 
-def _decide(steps, edges, declared, window_s, threshold, close_after_s, in_time_order):
-    """Runs the ordered loop over each island's rows and returns one decision per row."""
-    near = neighbours(edges, declared)
-    ready = (
-        steps.join(near, "service", "left")
+def _ordered(steps, edges, declared):
+    """Each island's rows together and in order, with the neighbours of their service."""
+    return (
+        steps.join(neighbours(edges, declared), "service", "left")
         .repartition("island")
         .sortWithinPartitions("island", "taken_at", "closing", "first_id")
         .drop("taken_at")
     )
+
+
+def _decide(steps, edges, declared, window_s, threshold, close_after_s, in_time_order):
+    """Runs the ordered loop over each island's rows and returns one decision per row."""
     loop = Loop(window_s, threshold, close_after_s, in_time_order)
-    return cut_lineage(ready.mapInPandas(loop.run, DECISION_DDL))
+    return cut_lineage(_ordered(steps, edges, declared).mapInPandas(loop.run, DECISION_DDL))
 
 
 def typed_rows(batch: pd.DataFrame):
@@ -452,17 +471,62 @@ def storm_flags(
 
 
 def sweep(
-    alerts: DataFrame, edges: DataFrame, settings: list[tuple[int, float]], **options
+    alerts: DataFrame, edges: DataFrame, settings: list[tuple[int, float]], *, close_after_s: int = CLOSE_AFTER_S,
+    closures: DataFrame | None = None, order: str | None = None, tenant: str | None = None,
+    declared: DataFrame | None = None,
 ) -> DataFrame:
-    """Incidents and merges under each (window_s, threshold), on the same alerts."""
+    """Incidents and merges under each (window_s, threshold), on the same alerts.
+
+    Components, reduction and islands are made once, the islands for the setting that
+    reaches farthest, and one pass over an island's rows runs the loops of all settings
+    side by side. Thresholds of 0.6 or less have one island per tenant and a pass of their own.
+    """
+    scoped = _scoped(alerts, closures, order, tenant)
+    count = scoped.where(~F.col("closing")).agg(F.count("*").alias("alerts"))
     totals = None
-    for window_s, threshold in settings:
-        one = correlate(alerts, edges, window_s=window_s, threshold=threshold, **options).agg(
-            F.count("*").alias("alerts"), F.count_if(F.col("kind") == "new").alias("incidents"),
-            F.count_if(F.col("kind") == "merged").alias("merges"),
-        ).select(F.lit(window_s).alias("window_s"), F.lit(threshold).alias("threshold"), "*")
+    for bounded in (True, False):
+        chosen = list(dict.fromkeys(s for s in settings if (s[1] > 0.6) == bounded))
+        if not chosen:
+            continue
+        reach = max(chosen, key=lambda s: s[0] * (1 - (s[1] - 0.6) / 0.4))
+        rows = _with_component(scoped, edges, declared, reach[1])
+        if closures is None and order is None and close_after_s >= HOUR:
+            steps = _with_island(_reduced(rows, close_after_s)[2], *reach, close_after_s)
+        else:
+            steps = _with_slack(_plain_steps(rows), *reach, close_after_s, order)
+        loops = [Loop(window_s, threshold, close_after_s, order is None) for window_s, threshold in chosen]
+        names = _named_settings(alerts.sparkSession, chosen)
+        found = _ordered(steps, edges, declared).mapInPandas(
+            lambda batches, loops=loops: run_beside(loops, batches), "setting int, incidents long, merges long"
+        ).groupBy("setting").agg(F.sum("incidents").alias("incidents"), F.sum("merges").alias("merges"))
+        one = names.join(found, "setting", "left").select(
+            "window_s", "threshold", F.coalesce("incidents", F.lit(0).cast("long")).alias("incidents"),
+            F.coalesce("merges", F.lit(0).cast("long")).alias("merges"))
         totals = one if totals is None else totals.unionByName(one)
-    return totals
+    return totals.withColumn("alerts", count.scalar()).select("window_s", "threshold", "alerts", "incidents", "merges")
+
+
+def _named_settings(spark: SparkSession, settings: list[tuple[int, float]]) -> DataFrame:
+    rows = [(n, int(w), float(t)) for n, (w, t) in enumerate(settings)]
+    return spark.createDataFrame(rows, "setting int, window_s int, threshold double")
+
+
+def run_beside(loops: list, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many incidents each loop opens and how often it merges, over the same rows."""
+    kinds = [Counter() for _ in loops]
+    island, states = None, []
+    for batch in batches:
+        for row in typed_rows(batch):
+            if row.island != island:
+                island, states = row.island, [({}, []) for _ in loops]
+            for loop, (holders, opened), seen in zip(loops, states, kinds):
+                if loop.in_time_order:
+                    loop.forget(holders, opened, row)
+                decision = loop.step(holders, opened, row)
+                if decision is not None:
+                    seen[decision[4]] += 1
+    yield pd.DataFrame({
+        "setting": range(len(loops)), "incidents": [k["new"] for k in kinds], "merges": [k["merged"] for k in kinds]})
 
 
 def island_sizes(
