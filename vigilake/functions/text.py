@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 from hashlib import blake2b
 
@@ -11,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType
 
 from vigilake.constants import EXEMPLAR_STOPWORDS, EXEMPLARS, PRIVATE_IP_PATTERN
 
@@ -37,6 +38,38 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     )
 
 
+def ratio_at_least(left: Column, right: Column, least: float) -> Column:
+    """Whether `sequence_ratio` reaches `least`, at the cost of the ratio only where it may.
+
+    Matching blocks cannot hold more characters than the shorter text (compared in the
+    plan), nor more of any character than both texts do (compared on counts); only what
+    passes both bounds is compared in full.
+    """
+    a, b = F.length(F.lower(strip(left))), F.length(F.lower(strip(right)))
+    may = F.coalesce(2 * F.least(a, b) >= F.lit(least) * (a + b) - 1e-9, F.lit(False))
+    return may & F.coalesce(_reaches(left, right, F.lit(least)), F.lit(False))
+
+
+@F.pandas_udf(BooleanType())
+def _reaches(left: pd.Series, right: pd.Series, least: pd.Series) -> pd.Series:
+    counts: dict[str, Counter] = {}
+
+    def one(a: str | None, b: str | None, limit: float) -> bool | None:
+        if a is None or b is None:
+            return None
+        a, b = a.strip().lower(), b.strip().lower()
+        for text in (a, b):
+            if text not in counts:
+                counts[text] = Counter(text)
+        total = len(a) + len(b)
+        shared = sum((counts[a] & counts[b]).values())
+        if total and 2.0 * shared / total < limit:
+            return False
+        return SequenceMatcher(None, a, b).ratio() >= limit
+
+    return pd.Series([one(*row) for row in zip(left, right, least)], dtype=object)
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def number_spellings(values: pd.Series) -> pd.Series:
     """The ways a computed figure may be written in a document."""

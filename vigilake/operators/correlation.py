@@ -68,8 +68,8 @@ def correlate(
     named by its first alert.
     """
     rows = _with_component(_scoped(alerts, closures, order, tenant), edges, declared, threshold)
-    if closures is None and order is None and close_after_s >= HOUR:
-        return _correlate_reduced(rows, edges, declared, window_s, threshold, close_after_s)
+    if order is None and close_after_s >= HOUR:
+        return _correlate_reduced(rows, edges, declared, window_s, threshold, close_after_s, closures is not None)
     steps = _with_slack(_plain_steps(rows), window_s, threshold, close_after_s, order)
     decisions = _decide(steps, edges, declared, window_s, threshold, close_after_s, order is None)
     return _with_epoch(decisions, rows.where(~F.col("closing")).select("alert_id", "tenant"))
@@ -136,33 +136,50 @@ def _with_component(rows, edges, declared, threshold):
     return direct.unionByName(keyed)
 
 
-def _reduced(rows, close_after_s):
-    """(rows with their hour, run of each key and hour, steps left after repeats are reduced)."""
+def _reduced(rows, close_after_s, closed=False):
+    """(rows with their hour, run of each key and hour, steps left after repeats are reduced).
+
+    With closing events in the rows, any of them may have ended the incident a key is in:
+    time is cut at the component's closings, and the first repeat of a key after each of
+    them is kept as a possible decision.
+    """
     hour = time_cell(F.col("starts_at"), HOUR)
     minute = time_cell(F.col("starts_at"), MINUTE)
     rows = rows.withColumns({"hour": hour, "minute": minute})
+    if closed:
+        rows = cut_lineage(with_running(
+            rows, ["tenant", "component"], hour, ["starts_at", "closing", "alert_id"], F.col("closing").cast("int"), "closings",
+            before=True))
+    else:
+        rows = rows.withColumn("closings", F.lit(0))
+    ends = rows.where("closing")
+    rows = rows.where(~F.col("closing"))
     key = ["tenant", "dedup_key"]
     here = F.struct("starts_at", "alert_id")
-    hours = rows.groupBy(*key, "hour").agg(
+    span = [*key, "hour", "closings"]
+    hours = rows.groupBy(*span).agg(
         F.min(here).alias("first"), F.max("starts_at").alias("last")
     )
-    by_hour = Window.partitionBy(*key).orderBy("hour")
+    by_hour = Window.partitionBy(*key).orderBy("hour", "closings")
     silence = F.unix_micros("first.starts_at") - F.unix_micros(F.lag("last").over(by_hour))
-    opens = F.coalesce(silence > close_after_s * 1_000_000, F.lit(True))
+    parted = F.col("closings") != F.lag("closings").over(by_hour)
+    opens = F.coalesce((silence > close_after_s * 1_000_000) | parted, F.lit(True))
     runs = (
         hours.withColumn("opens", opens)
         .withColumn("run", F.last(F.when(F.col("opens"), F.col("first.alert_id")), True).over(by_hour))
-        .select(*key, "hour", "run")
+        .select(*span, "run")
     )
-    marked = rows.join(runs, [*key, "hour"]).withColumn(
+    marked = rows.join(runs, span).withColumn(
         "may_open", (F.col("alert_id") == F.col("run")).cast("int")
     )
+    if closed:
+        marked = marked.unionByName(ends.withColumn("may_open", F.lit(1)), allowMissingColumns=True)
     cell = ["tenant", "component", "minute"]
     in_cell = (
-        Window.partitionBy(*cell).orderBy("starts_at", "alert_id")
+        Window.partitionBy(*cell).orderBy("starts_at", "closing", "alert_id")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    kind = ["dedup_key", "service", "severity_rank", "labels"]
+    kind = ["dedup_key", "service", "severity_rank", "labels", "closing"]
     by_minute = cut_lineage(
         marked.withColumn("turn", F.sum("may_open").over(in_cell))
         .groupBy(*cell, "turn", *kind)
@@ -182,15 +199,14 @@ def _reduced(rows, close_after_s):
         .select(
             "tenant", "component", *kind, F.col("first.alert_id").alias("first_id"),
             F.col("first.starts_at").alias("first_at"), "last_at",
-            F.col("first.starts_at").alias("taken_at"), F.lit(False).alias("closing"),
+            F.col("first.starts_at").alias("taken_at"),
         )
     )
     return rows, runs, steps
 
 
-def _correlate_reduced(rows, edges, declared, window_s, threshold, close_after_s):
-    rows, runs, steps = _reduced(rows, close_after_s)
-    key = ["tenant", "dedup_key"]
+def _correlate_reduced(rows, edges, declared, window_s, threshold, close_after_s, closed):
+    rows, runs, steps = _reduced(rows, close_after_s, closed)
     steps = _with_island(steps, window_s, threshold, close_after_s)
     decisions = _decide(steps, edges, declared, window_s, threshold, close_after_s, True)
     starts = runs.select("tenant", F.col("run").alias("alert_id")).distinct()
@@ -200,7 +216,7 @@ def _correlate_reduced(rows, edges, declared, window_s, threshold, close_after_s
     )
     placed = runs.join(led, "run")
     own = F.col("alert_id") == F.col("run")
-    return rows.join(placed, [*key, "hour"]).select(
+    return rows.join(placed, ["tenant", "dedup_key", "hour", "closings"]).select(
         "alert_id", "tenant", "dedup_key", "incident_id", "epoch",
         F.when(own, F.col("decided.kind")).otherwise("attached").alias("kind"),
         F.when(own, F.col("decided.score")).alias("score"),
@@ -490,8 +506,8 @@ def sweep(
             continue
         reach = max(chosen, key=lambda s: s[0] * (1 - (s[1] - 0.6) / 0.4))
         rows = _with_component(scoped, edges, declared, reach[1])
-        if closures is None and order is None and close_after_s >= HOUR:
-            steps = _with_island(_reduced(rows, close_after_s)[2], *reach, close_after_s)
+        if order is None and close_after_s >= HOUR:
+            steps = _with_island(_reduced(rows, close_after_s, closures is not None)[2], *reach, close_after_s)
         else:
             steps = _with_slack(_plain_steps(rows), *reach, close_after_s, order)
         loops = [Loop(window_s, threshold, close_after_s, order is None) for window_s, threshold in chosen]

@@ -11,7 +11,7 @@ from vigilake.constants import (
     TIMELINE_BUCKET_S,
 )
 from vigilake.functions.skew import nearest_rank
-from vigilake.functions.text import sequence_ratio
+from vigilake.functions.text import ratio_at_least
 
 
 def timeline_f1(predicted: DataFrame, labelled: DataFrame, ids: DataFrame,
@@ -39,15 +39,15 @@ def action_item_recall(drafted: DataFrame, labelled: DataFrame, ids: DataFrame,
                        threshold: float = ACTION_MATCH_THRESHOLD) -> DataFrame:
     """Share of labelled action items some drafted item resembles; no labels count as full.
 
-    Both inputs have id and description; items only meet inside one recording.
+    Both inputs have id and description; items only meet inside one recording, and are
+    compared in full only where their lengths and characters allow the threshold.
     """
     truth = labelled.select("id", F.col("description").alias("wanted"), F.col("position"))
-    tries = truth.join(drafted.select("id", "description"), "id").withColumn(
-        "ratio", sequence_ratio("wanted", "description")
-    )
-    best = tries.groupBy("id", "position").agg(F.max("ratio").alias("best"))
-    per = truth.join(best, ["id", "position"], "left").groupBy("id").agg(
-        (F.count_if(F.coalesce("best", F.lit(0.0)) >= threshold) / F.count("*")).alias("recall")
+    close = truth.join(drafted.select("id", "description"), "id").where(
+        ratio_at_least(F.col("wanted"), F.col("description"), threshold))
+    found = close.select("id", "position").distinct().withColumn("found", F.lit(True))
+    per = truth.join(found, ["id", "position"], "left").groupBy("id").agg(
+        (F.count("found") / F.count("*")).alias("recall")
     )
     return ids.select("id").join(per, "id", "left").select(
         "id", F.coalesce("recall", F.lit(1.0)).alias("action_item_recall")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilake.functions.skew import time_cell, with_previous, with_running
+from vigilake.functions.skew import time_cell, with_running
 
 DAY = 86_400
 
@@ -93,17 +93,32 @@ def append_revisions(
         old = stored.select(*keys, "kind", "text", "observed_at", F.col("revision").alias("done"))
         rows = rows.unionByName(old)
     rows = rows.join(known, keys, "left_semi")
-    cell = time_cell(F.col("observed_at"), DAY)
-    seen = with_previous(rows, keys, cell, order, ["kind", "text"], "before")
-    same = (
-        F.col("before").isNotNull() & F.col("kind").eqNullSafe(F.col("before.kind"))
-        & F.col("text").eqNullSafe(F.col("before.text"))
+    # inside a cell of time rows are compared with the one before; what a cell's first row
+    # follows, and how many revisions precede the cell, is known from one summary per cell
+    here = Window.partitionBy(*keys, "_cell").orderBy(*order)
+    now = F.struct("kind", "text")
+    equal = lambda a, b: a["kind"].eqNullSafe(b["kind"]) & a["text"].eqNullSafe(b["text"])
+    celled = rows.withColumn("_cell", time_cell(F.col("observed_at"), DAY)).withColumns({
+        "_now": now, "_before": F.lag(now).over(here), "_first": F.row_number().over(here) == 1})
+    later = ~F.col("_first") & (F.col("done").isNotNull() | ~equal(F.col("_now"), F.col("_before")))
+    celled = celled.withColumn("_later", later)
+    by_time = F.struct(*order)
+    cells = Window.partitionBy(*keys).orderBy("_cell")
+    ahead = cells.rowsBetween(Window.unboundedPreceding, -1)
+    summary = celled.groupBy(*keys, "_cell").agg(
+        F.min_by(F.struct("kind", "text", "done"), by_time).alias("_head"), F.max_by("_now", by_time).alias("_tail"),
+        F.count_if("_later").alias("_rest"),
+    ).withColumn("_follows", F.lag("_tail").over(cells)).withColumn("_head_kept", (
+        F.col("_head.done").isNotNull() | F.col("_follows").isNull() | ~equal(F.col("_head"), F.col("_follows"))
+    ).cast("int")).select(
+        *keys, "_cell", "_head_kept", F.coalesce(F.sum(F.col("_rest") + F.col("_head_kept")).over(ahead), F.lit(0)).alias("_offset"))
+    so_far = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = celled.withColumn("_so_far", F.count_if("_later").over(so_far)).join(summary, [*keys, "_cell"])
+    kept = F.col("_later") | (F.col("_first") & (F.col("_head_kept") == 1))
+    return counted.where(kept & F.col("done").isNull()).select(
+        *keys, "kind", "text", "observed_at",
+        (F.col("_offset") + F.col("_head_kept") + F.col("_so_far")).cast("int").alias("revision"),
     )
-    kept = seen.where(F.col("done").isNotNull() | ~same).drop("before")
-    numbered = with_running(kept, keys, cell, order, F.lit(1), "revision")
-    return numbered.where(F.col("done").isNull()).withColumn(
-        "revision", F.col("revision").cast("int")
-    ).drop("done")
 
 
 def dedup_epochs(opened: DataFrame) -> DataFrame:

@@ -469,3 +469,16 @@ def _(v):
         F.col("quality").alias("human"), F.col("toxic").alias("judge"),
     )
     return rounded(evaluation.agreement(pairs))
+
+
+# Two labelled items a part: its name, drafted with a tail of a length of its own, and its number, never drafted.
+@query("action_item_recall", """
+    SELECT p_partkey AS id, CASE WHEN 2.0 * length(p_name) / (2 * length(p_name) + 1 + p_size) >= 0.6 THEN 0.5 ELSE 0.0 END
+           AS action_item_recall FROM part""")
+def _(v):
+    part = v.table("part").select(F.col("p_partkey").alias("id"), "p_name", "p_size")
+    labelled = part.select("id", F.lit(0).alias("position"), F.upper("p_name").alias("description")).unionByName(
+        part.select("id", F.lit(1).alias("position"), F.col("id").cast("string").alias("description")))
+    tail = F.expr("repeat('#', cast(p_size AS int))")
+    drafted = part.select("id", F.concat("p_name", F.lit(" "), tail).alias("description"))
+    return evaluation.action_item_recall(drafted, labelled, part)
