@@ -29,7 +29,7 @@ def alert(i, second, service, key=None, rank=4, name=None):
             T0 + dt.timedelta(seconds=second))
 
 
-def plain_loop(alerts, edges, window=300, threshold=0.62, close_after=86400):
+def plain_loop(alerts, edges, window=300, threshold=0.62, close_after=86400, closures=()):
     """Direct statement of the rule, one alert at a time over every open incident."""
     near = {}
     for a, b in edges:
@@ -42,8 +42,13 @@ def plain_loop(alerts, edges, window=300, threshold=0.62, close_after=86400):
         return 0 if a == b else 1 if b in near[a] else 2 if near[a] & near[b] else None
 
     incidents, holder, result = [], {}, {}
-    for i, key, service, rank, labels, at in sorted(alerts, key=lambda r: (r[5], r[0])):
-        dead = lambda inc: (at - inc["hi"]).total_seconds() > close_after
+    ends = [(None, key, None, None, None, at) for key, at in closures]
+    for i, key, service, rank, labels, at in sorted([*alerts, *ends], key=lambda r: (r[5], r[0] is None, r[0] or 0)):
+        if i is None:
+            if key in holder:
+                holder[key]["closed"] = True
+            continue
+        dead = lambda inc: "closed" in inc or (at - inc["hi"]).total_seconds() > close_after
         inc = holder.get(key)
         if inc is None or dead(inc):
             best, top = None, 0.0
@@ -155,6 +160,31 @@ def test_explicit_closure_opens_next_epoch(spark):
     assert got[2].incident_id == 1 and got[3].incident_id == 3 and got[4].kind == "new"
 
 
+def test_closures_equal_the_plain_loop(spark):
+    """Repeats are reduced between closings too; a closing may end the incident of another key."""
+    rng = random.Random(21)
+    rows = [alert(i, rng.choice([rng.randrange(30_000), 600 * rng.randrange(50)]), rng.choice(["web", "api", "db", "mail", None]),
+                  rank=rng.choice([3, 4]), name=rng.choice("AB")) for i in range(400)]
+    ends = [(rng.choice(rows)[1], T0 + dt.timedelta(seconds=rng.choice([rng.randrange(30_000), 600 * rng.randrange(50)])))
+            for _ in range(25)] + [("never seen", T0)]
+    closed = spark.createDataFrame(ends, "dedup_key STRING, closed_at TIMESTAMP")
+    got = run(spark, rows, closures=closed)
+    want = plain_loop(rows, EDGES, closures=ends)
+    assert {i: r.incident_id for i, r in got.items()} == want
+    assert len(set(want.values())) > len(set(plain_loop(rows, EDGES).values()))
+
+
+def test_a_hot_key_between_closings_is_few_steps(spark):
+    rows = [alert(i, i, "db") for i in range(3000)]
+    ends = [("db/Down", T0 + dt.timedelta(seconds=s)) for s in (1000, 2000)]
+    closed = spark.createDataFrame(ends, "dedup_key STRING, closed_at TIMESTAMP")
+    scoped = correlation._scoped(spark.createDataFrame(rows, ALERT_DDL), closed, None, None)
+    placed = correlation._with_component(scoped, edges_df(spark), None, 0.62)
+    assert correlation._reduced(placed, 86_400, True)[2].count() == 5  # three runs and two closings
+    got = run(spark, rows, closures=closed)
+    assert len(got) == 3000 and {r.incident_id for r in got.values()} == {0, 1001, 2001}
+
+
 def test_arrival_order_scores_by_absolute_distance(spark):
     rows = [(*alert(1, 200, "db"), 0), (*alert(2, 100, "api"), 1)]
     df = spark.createDataFrame(rows, ALERT_DDL + ", seen INT")
