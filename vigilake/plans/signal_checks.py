@@ -414,47 +414,61 @@ def _(v):
 
 
 def _scores(v):
-    docs = v.documents()
-    return docs.select(
+    """Every review document as a scored replay, each measure from a column of its own."""
+    size = F.col("generation_ms")
+    flag = lambda condition: F.when(condition, 1).otherwise(0)
+    return v.documents().select(
         F.col("model").alias("bucket"), F.col("human_edit_ratio").alias("timeline_f1"),
         F.coalesce("citation_coverage", F.lit(1.0)).alias("citation_precision"),
-        (F.lit(1) - F.col("human_edit_ratio")).alias("action_item_recall"), F.lit(1.0).alias("storm_compression"),
-        F.when(F.col("citation_coverage") < 1, 1).otherwise(0).alias("uncited_claims"),
-        F.lit(0).alias("fabricated_citations"), F.lit(0).alias("prompt_drift"), F.lit(0).alias("unexpected_skeleton"),
-        F.lit(0).alias("network_calls"), "cost_usd", "generation_ms", F.col("generation_layer").alias("layer"),
-        F.lit(None).cast("string").alias("error"),
+        (F.lit(1) - F.col("human_edit_ratio")).alias("action_item_recall"),
+        (F.lit(1.0) - size % 5 / 10.0).alias("storm_compression"),
+        flag(F.col("citation_coverage") < 1).alias("uncited_claims"), (size % 3).alias("fabricated_citations"),
+        flag(F.col("prompt_version") != "2.0").alias("prompt_drift"),
+        flag(F.col("generation_layer") == "skeleton").alias("unexpected_skeleton"),
+        flag(size % 7 == 0).alias("network_calls"), "cost_usd", "generation_ms", F.col("generation_layer").alias("layer"),
+        F.when(size % 11 == 0, "timeout").alias("error"),
     )
 
 
-@query("corpus_metrics_by_bucket", """
-    WITH r AS (SELECT model AS bucket, generation_ms, row_number() OVER (PARTITION BY model ORDER BY generation_ms) AS k,
-                      count(*) OVER (PARTITION BY model) AS n FROM v_documents),
-    p AS (SELECT bucket, CAST(max(generation_ms) AS DOUBLE) AS p95 FROM r
-           WHERE k = greatest(1, least(n, CAST(round_even(0.95::DOUBLE * n, 0) AS BIGINT))) GROUP BY bucket)
-    SELECT model AS bucket, count(*) AS n, round_even(avg(CAST(human_edit_ratio AS DOUBLE)), 4) AS timeline_f1,
+def _metrics_sql(bucket: str) -> str:
+    """All corpus metrics as one row per bucket."""
+    return f"""
+    d AS (SELECT *, {bucket} AS bucket, row_number() OVER (PARTITION BY {bucket} ORDER BY generation_ms) AS k,
+                 count(*) OVER (PARTITION BY {bucket}) AS size FROM v_documents),
+    m AS (SELECT bucket, count(*) AS n, round_even(avg(CAST(human_edit_ratio AS DOUBLE)), 4) AS timeline_f1,
+           round_even(avg(coalesce(CAST(citation_coverage AS DOUBLE), 1)), 4) AS citation_precision,
            round_even(avg(1 - CAST(human_edit_ratio AS DOUBLE)), 4) AS action_item_recall,
-           CAST(count(*) FILTER (WHERE citation_coverage < 1) AS DOUBLE) AS uncited_claims,
-           round_even(coalesce(avg(CAST(cost_usd AS DOUBLE)) FILTER (WHERE generation_layer <> 'skeleton'), 0), 4) AS cost_per_pir_usd,
-           max(p95) AS p95_generation_ms
-      FROM v_documents JOIN p ON p.bucket = model GROUP BY model""")
+           round_even(avg(1 - generation_ms % 5 / 10.0::DOUBLE), 4) AS storm_compression,
+           count(*) FILTER (citation_coverage < 1)::DOUBLE AS uncited_claims, sum(generation_ms % 3)::DOUBLE AS fabricated_citations,
+           count(*) FILTER (prompt_version <> '2.0')::DOUBLE AS prompt_drift,
+           count(*) FILTER (generation_layer = 'skeleton')::DOUBLE AS unexpected_skeleton,
+           count(*) FILTER (generation_ms % 7 = 0)::DOUBLE AS network_calls,
+           round_even(coalesce(avg(CAST(cost_usd AS DOUBLE)) FILTER (generation_layer <> 'skeleton'), 0), 4) AS cost_per_pir_usd,
+           count(*) FILTER (generation_ms % 11 = 0)::DOUBLE AS replay_errors,
+           max(generation_ms) FILTER (k = greatest(1, least(size, CAST(round_even(0.95::DOUBLE * size, 0) AS BIGINT))))::DOUBLE
+               AS p95_generation_ms FROM d GROUP BY bucket)"""
+
+
+@query("corpus_metrics_by_bucket", f"WITH {_metrics_sql('model')} SELECT * FROM m")
 def _(v):
-    return evaluation.corpus_metrics(_scores(v), "bucket").select(
-        "bucket", "n", "timeline_f1", "action_item_recall", "uncited_claims", "cost_per_pir_usd", "p95_generation_ms"
-    )
-
-
-@query("evaluation_gate", """
-    SELECT 'uncited_claims' AS metric, 'HARD' AS tier, CAST(count(*) FILTER (WHERE citation_coverage < 1) AS DOUBLE) AS value,
-           0.0::DOUBLE AS reference, count(*) FILTER (WHERE citation_coverage < 1) = 0 AS passed FROM v_documents
-    UNION ALL SELECT 'timeline_f1', 'SOFT', round_even(avg(CAST(human_edit_ratio AS DOUBLE)), 4), 0.4, 
-           round_even(avg(CAST(human_edit_ratio AS DOUBLE)), 4) >= 0.37 FROM v_documents
-    UNION ALL SELECT 'storm_compression', 'SOFT', 1.0, 0.95, true""")
+    return evaluation.corpus_metrics(_scores(v), "bucket")
+
+
+@query("evaluation_gate", f"""
+    WITH {_metrics_sql("'all'")},
+    rules(metric, tier, sign, fixed, slack) AS (VALUES
+        ('citation_precision', 'HARD', '=', 1.0, 0), ('uncited_claims', 'HARD', '=', 0.0, 0), ('fabricated_citations', 'HARD', '=', 0.0, 0),
+        ('prompt_drift', 'HARD', '=', 0.0, 0), ('network_calls', 'HARD', '=', 0.0, 0), ('unexpected_skeleton', 'HARD', '=', 0.0, 0),
+        ('replay_errors', 'HARD', '=', 0.0, 0), ('timeline_f1', 'SOFT', '>', 0.4, 0.03), ('action_item_recall', 'SOFT', '>', 0.4, 0.03),
+        ('storm_compression', 'SOFT', '>', 0.95, 0), ('cost_per_pir_usd', 'BUDGET', '<', 0.5, 0), ('p95_generation_ms', 'BUDGET', '<', 30000.0, 0)),
+    u AS (UNPIVOT (SELECT * EXCLUDE (bucket, n) FROM m) ON COLUMNS(*) INTO NAME metric VALUE value)
+    SELECT metric, tier, value, fixed::DOUBLE AS reference,
+           CASE sign WHEN '=' THEN value = fixed WHEN '>' THEN value >= fixed - slack ELSE value <= fixed END AS passed
+      FROM rules JOIN u USING (metric)""")
 def _(v):
     values = evaluation.metric_rows(evaluation.corpus_metrics(_scores(v)))
     baseline = values.select("metric", F.lit(0.4).alias("value"))
-    return evaluation.gate(values, baseline).where(
-        F.col("metric").isin("uncited_claims", "timeline_f1", "storm_compression")
-    ).drop("tolerance")
+    return evaluation.gate(values, baseline).drop("tolerance")
 
 
 @query("judge_agreement", """
