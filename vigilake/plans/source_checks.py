@@ -81,7 +81,7 @@ def _(v):
 
 
 @query("deploy_payloads", """
-    SELECT substr(md5(p_name), 1, 12) AS sha, p_brand AS service, CASE WHEN p_size % 2 = 0 THEN 'staging' ELSE 'production' END AS environment,
+    SELECT CASE WHEN p_partkey % 9 <> 0 THEN substr(md5(p_name), 1, 12) END AS sha, p_brand AS service, CASE WHEN p_size % 2 = 0 THEN 'staging' ELSE 'production' END AS environment,
            p_type AS repository, TIMESTAMP '2024-01-05' AS deployed_at,
            CASE WHEN p_partkey % 9 = 0 THEN 'sha and service are required'
                 WHEN p_type NOT IN (SELECT min(p_type) FROM part) THEN 'repository not in the allowlist' END AS reject, p_partkey
@@ -97,11 +97,8 @@ def _(v):
     received = F.lit("2024-01-05").cast("timestamp")
     read = webhooks.deploy_entries(parts.select(text.alias("value"), F.md5(F.col("p_name").cast("binary")).alias("whole")), received, allowed)
     key = F.get_json_object("raw", "$.actor").cast("bigint").alias("p_partkey")
-    named = read.select("service", "environment", "repository", "deployed_at", "reject", key, "sha")
-    again = parts.select("p_partkey", F.substring(F.md5(F.col("p_name").cast("binary")), 1, 12).alias("own"))
-    return named.join(again, "p_partkey").select(
-        F.coalesce("sha", "own").alias("sha"), "service", "environment", "repository", "deployed_at", "reject", "p_partkey"
-    )
+    return read.select(
+        F.nullif("sha", F.lit("")).alias("sha"), "service", "environment", "repository", "deployed_at", "reject", key)
 
 
 @query("chat_payloads", """
