@@ -42,6 +42,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each component of five-word similarity 0.8 stays: the one with the smallest id.
 
+    Components come from SimHash links of five-word shingles, completed by MinHash bands for the
+    links that SimHash cannot reach; all are confirmed on whole sets.
+
     Rows of one id but different texts are told apart by text: of one component the
     row with the smallest text hash stays, of different components each has its own.
     """
