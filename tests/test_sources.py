@@ -10,6 +10,7 @@ from vigilake.functions.labels import fingerprint, jaccard, public_key, severity
 from vigilake.functions.times import chat_timestamp, parse_timestamp, window_minutes
 from vigilake.operators.reports import jsonable
 from vigilake.sources import files, tables, webhooks
+from vigilake.sources.front_matter import read_front_matter
 
 
 def payloads(spark, *objects):
@@ -148,6 +149,32 @@ def test_front_matter_scalars(spark, tmp_path):
         assert book.severity_filter == want, line
 
 
+HEADS = [
+    "a: 1\nb: two words # note\nc: 'it''s'\nd: \"q\\t\\u00e9 # no\"\n",
+    "a: |\n  x\n    y\n\n  z\n\nb: |-\n  x\n\n\nc: |+\n  x\n\nd: >\n  one\n  two\n\n  three\n    deep\n  four\n",
+    "a:\n  - x\n  - 'y z'\nb:\n- x # n\n- 2\nc: [p, \"q, r\", 's']\nd:\n  - ~\n  - true\n",
+    "a: first\n  second\n\n  third\nb: \"one\n  two\"\nc:\nd: ~\ne: null\nf: yes\ng: 1.10\nh: 1.0.0\ni: -3\n",
+    "# only\n\na: x:y\nb: http://h/p#z\nc: a#b\n'k l': v\nd: >-\n  folded\n  text\ne: Disk.*|Node[A-Z]+\nf: ^pay-(api|web)$\n",
+]
+
+
+@pytest.mark.parametrize("head", HEADS)
+def test_front_matter_reads_like_yaml(head):
+    yaml = pytest.importorskip("yaml")
+    want = {str(k): None if v is None else str(v) for k, v in yaml.safe_load(head).items()}
+    assert read_front_matter(head) == want
+
+
+def test_front_matter_blocks_and_lists_in_files(spark, tmp_path):
+    text = RUNBOOK.replace('"DiskFull|NodePressure"', "|-\n  Disk\n  Full").replace("severity_filter: sev2", "severity_filter:\n  - sev1\n  - sev2")
+    (tmp_path / "a.md").write_text(text)
+    (tmp_path / "b.md").write_text("---\n- a\n- b\n---\n" + RUNBOOK.split("---", 2)[2])
+    books, _, problems = files.read_runbooks(spark, str(tmp_path / "*.md"))
+    book = books.first()
+    assert (book.alert_pattern, book.severity_filter) == ("Disk\nFull", "['sev1', 'sev2']")
+    assert [tuple(r) for r in problems.collect()] == [("b.md", "front matter is not a mapping")]
+
+
 def test_recording_checks(spark, tmp_path):
     header = {"format": 1, "incident": 5, "bucket": "real", "start": "2024-05-01T00:00:00Z"}
     lines = [header, {"t": 9, "kind": "b"}, {"t": 1, "kind": "a"}, {"kind": "ground_truth", "labels": {"x": 1}}]

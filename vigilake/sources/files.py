@@ -7,11 +7,12 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, MapType, StringType
 
 from vigilake.constants import FRONT_MATTER_PATTERN, STEP_MARKER_PATTERN
 from vigilake.functions.text import strip
 from vigilake.functions.times import parse_timestamp
+from vigilake.sources.front_matter import NotAMapping, read_front_matter
 
 RECORDING_FORMAT = 1
 DEFAULT_START = "2026-09-01 00:00:00"
@@ -76,12 +77,22 @@ def compiles(patterns: pd.Series) -> pd.Series:
     return patterns.map(usable)
 
 
+@F.pandas_udf(MapType(StringType(), StringType()))
+def _front_values(heads: pd.Series) -> pd.Series:
+    """Values of a file's head by key; null if it is no mapping."""
+
+    def values(head):
+        try:
+            return read_front_matter(head)
+        except NotAMapping:
+            return None
+
+    return heads.map(values)
+
+
 def _meta(name: str) -> Column:
-    # a quoted or bare scalar, and a comment after it
-    scalar = r"""("(?:[^"\\\n]|\\.)*"|'(?:[^'\n]|'')*'|(?:[^#"'\s][^\n]*?)?)"""
-    raw = F.regexp_extract("front", rf"(?m)^{name}:[ \t]*{scalar}[ \t]*(?:(?<=[ \t])#[^\n]*)?$", 1)
-    bare = F.regexp_replace(strip(raw), r"""^(["'])(.*)\1$""", "$2")
-    return F.when(~bare.isin("", "null", "None", "~"), bare)
+    text = strip(F.col("meta")[name])
+    return F.when(~text.isin("", "null", "None"), text)
 
 
 def read_runbooks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -94,8 +105,9 @@ def read_runbooks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     )
     parsed = files.withColumn("front", F.regexp_extract("text", FRONT_MATTER_PATTERN, 1)).withColumn(
         "body", F.regexp_replace("text", FRONT_MATTER_PATTERN, "")
-    ).select(
+    ).withColumn("meta", _front_values("front")).select(
         "file", "body", (F.regexp_count("text", F.lit(FRONT_MATTER_PATTERN)) > 0).alias("fronted"),
+        F.col("meta").isNotNull().alias("mapped"),
         *[_meta(n).alias(n) for n in ("name", "alert_pattern", "severity_filter", "service_filter")],
         F.coalesce(_meta("version"), F.lit("1.0.0")).alias("version"),
         F.regexp_extract_all("body", F.lit(STEP_MARKER_PATTERN), F.lit(1)).alias("step_ids"),
@@ -103,6 +115,7 @@ def read_runbooks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     ).withColumn("usable", compiles(F.coalesce("alert_pattern", F.lit("("))))
     problem = (
         F.when(~F.col("fronted"), "no YAML front matter")
+        .when(~F.col("mapped"), "front matter is not a mapping")
         .when(F.col("name").isNull(), "front matter has no name")
         .when(F.col("alert_pattern").isNull(), "front matter has no alert_pattern")
         .when(~F.col("usable"), "alert_pattern is not valid regex")
