@@ -139,3 +139,14 @@ def test_bounds_never_lose_a_pair():
     wanted = set(zip(i[good].tolist(), j[good].tolist()))
     assert wanted and wanted <= met < set(zip(i.tolist(), j.tolist()))
     assert len(met) < len(i) / 2
+
+
+def test_few_and_many_links_give_the_same_groups(spark, monkeypatch):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(n, n + 1) for n in range(1000, 1060)]
+    links = spark.createDataFrame([p for p in pairs if p[0] != p[1]], "a long, b long")
+    found = lambda: {r.node: r.root for r in linking.grouped(links).collect()}
+    few = found()
+    monkeypatch.setattr(linking, "FEW_LINKS", 0)
+    assert found() == few and len(set(few.values())) > 5
+    assert linking.grouped(links.limit(0)).count() == 0

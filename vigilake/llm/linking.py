@@ -30,6 +30,7 @@ from vigilake.llm.common import stored
 from vigilake.llm.simhash import components
 
 SMALL_TILE = 64
+FEW_LINKS = 200_000
 CHUNK = 4096
 # score of the pairs (i, j) of a tile's rows; below 0: cannot be linked
 Score = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -154,6 +155,34 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def grouped(links: DataFrame) -> DataFrame:
+    """`node, root`: the smallest node of each component, for nodes with a link.
+
+    Up to `FEW_LINKS` links, counted first, are joined in one task of a few megabytes; more
+    go through rounds over the cluster. The result is the same.
+    """
+    if links.count() > FEW_LINKS:
+        return components(links)
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs = pd.concat([pd.DataFrame({"a": [], "b": []}, dtype=np.int64), *batches])
+        node, ends = np.unique(pairs.to_numpy(np.int64), return_inverse=True)
+        a, b = ends.reshape(-1, 2).T
+        root = np.arange(len(node))
+        while True:
+            low = np.minimum(root[a], root[b])
+            moved = root.copy()
+            for side in (a, b, root[a], root[b]):
+                np.minimum.at(moved, side, low)
+            moved = moved[moved]
+            if (moved == root).all():
+                break
+            root = moved
+        yield pd.DataFrame({"node": node, "root": node[root]})
+
+    return links.select("a", "b").coalesce(1).mapInPandas(joined, "node long, root long")
+
+
 def link_groups(
     members: DataFrame, points: DataFrame, sets: DataFrame, percent: int, dtype: str, score: Score, search: Search,
     star_keys: int = 6, block_rows: int = 2048, known: DataFrame | None = None,
@@ -178,7 +207,7 @@ def link_groups(
         "key", own.alias("lo"), own.alias("hi"), zero.alias("block"), "node", F.col("node").alias("comp"), "size")
     first = confirmed(paired(stars, "star"), sets, percent)
     links = stored(first if known is None else first.unionByName(known))
-    roots = stored(components(links))
+    roots = stored(grouped(links))
     for mode in ("best", "all"):
         rows = stored(
             sized.select("key", "node", "size").join(roots, "node", "left")
@@ -194,5 +223,5 @@ def link_groups(
         new = stored(confirmed(pairs, sets, percent))
         if not new.isEmpty():
             links = stored(links.unionByName(new))
-            roots = stored(components(links))
+            roots = stored(grouped(links))
     return roots
