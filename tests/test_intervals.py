@@ -25,10 +25,9 @@ def test_sums_over_windows(spark, rows):
     points, windows = rows
     given = spark.createDataFrame([(k, t, 1.0 + n) for n, k, t in points], "k STRING, us BIGINT, v DOUBLE")
     asked = spark.createDataFrame(windows, "id INT, k STRING, first BIGINT, last BIGINT")
-    total = lambda part, keys: part.groupBy("k", *keys).agg(F.sum("v").alias("v"))
     found = intervals.meet(
         intervals.cover(asked.select("id", "k", "first", "last"), F.col("first"), F.col("last")).drop("first", "last"),
-        intervals.levels(given, "us", total), "us", ["k"]).groupBy("id").agg(F.sum("v").alias("v"))
+        intervals.sums_per_cell(given, "us", ["k"], "v"), "us", ["k"]).groupBy("id").agg(F.sum("v").alias("v"))
     got = {r.id: r.v for r in found.collect()}
     want = {}
     for i, k, a, b in windows:
@@ -61,7 +60,8 @@ def test_cover_is_exact_and_small(spark, rows):
         assert len(spans) <= 2 + 30 * 4 + (last - first) // (intervals.SIZES[-1] * 10**6) + 1
 
 
-def test_one_instant_is_one_row_to_a_window(spark):
+def test_one_instant_is_few_rows_to_a_window(spark):
     given = spark.range(5000).select(F.lit(0).cast("bigint").alias("us"), F.col("id").alias("n"))
-    kept = lambda part, keys: part.groupBy(*keys).agg(F.max("n").alias("n"))
-    assert intervals.levels(given, "us", kept).count() == 1 + len(intervals.SIZES)
+    kept = intervals.newest_per_cell(given, "us", [], [F.desc("n")], 2)
+    assert kept.count() == 2 * (1 + len(intervals.SIZES)) and {r.n for r in kept.collect()} == {4998, 4999}
+    assert intervals.sums_per_cell(given, "us", [], "n").count() == 1 + len(intervals.SIZES)

@@ -10,9 +10,9 @@ number of points with one time stamp is thus one reduced row to a window that ho
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BASE = 16
@@ -65,21 +65,39 @@ def cover(windows: DataFrame, first_us: Column, last_us: Column) -> DataFrame:
     return covered.select(*windows.columns, "first_us", "last_us", "_piece.level", "_piece.cell")
 
 
-def levels(points: DataFrame, time_us: str, reduce: Callable[[DataFrame, Sequence[str]], DataFrame]) -> DataFrame:
-    """Points with `level` and `cell`, reduced per cell of every size; instants keep `time_us`.
+def _second(time_us: str) -> Column:
+    return _down(F.col(time_us), SECOND)
 
-    `reduce(rows, keys)` gives rows with `keys` and must give the same when it is applied to
-    parts first. Each size is made from the reduced rows of the one below.
+
+def sums_per_cell(points: DataFrame, time_us: str, keys: Sequence[str], value: str) -> DataFrame:
+    """`keys`, `level`, `cell`, `time_us`, `value`: sums per cell of every size, added up before the shuffle."""
+    nowhen = F.lit(None).cast("bigint")
+    pieces = [F.struct(F.lit(INSTANTS).alias("level"), _second(time_us).alias("cell"), F.col(time_us).alias("at"))] + [
+        F.struct(F.lit(level).alias("level"), _down(_second(time_us), size).alias("cell"), nowhen.alias("at"))
+        for level, size in enumerate(SIZES)
+    ]
+    celled = points.select(*keys, value, F.explode(F.array(*pieces)).alias("_piece"))
+    return celled.groupBy(*keys, "_piece.level", "_piece.cell", F.col("_piece.at").alias(time_us)).agg(F.sum(value).alias(value))
+
+
+def newest_per_cell(points: DataFrame, time_us: str, keys: Sequence[str], order: Sequence[Column | str], count: int) -> DataFrame:
+    """The first `count` points, in `order`, of every instant and of every cell; adds `level` and `cell`.
+
+    Instants are cut first. All finer cells of one largest cell are in one place then, so
+    the ranks of all sizes take no further exchange.
     """
-    instants = reduce(points, [time_us])
-    second = _down(F.col(time_us), SECOND)
-    found = instants.withColumns({"level": F.lit(INSTANTS), "cell": second})
-    # all finer cells of one largest cell are in one place from here on
-    below = instants.withColumns({"_top": _down(second, SIZES[-1]), "cell": second})
-    for level in range(len(SIZES)):
-        below = reduce(below if level == 0 else below.withColumn("cell", _down(F.col("cell"), BASE)), ["_top", "cell"])
-        found = found.unionByName(below.drop("_top").withColumn("level", F.lit(level)), allowMissingColumns=True)
-    return found
+    first = Window.partitionBy(*keys, time_us).orderBy(*order)
+    rows = points.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= count).drop("_rank")
+    rows = rows.withColumn("_top", _down(_second(time_us), SIZES[-1]))
+    pieces = [F.struct(F.lit(INSTANTS).alias("level"), _second(time_us).alias("cell"))]
+    for level, size in enumerate(SIZES):
+        rows = rows.withColumn(f"_cell{level}", _down(_second(time_us), size))
+        place = Window.partitionBy(*keys, "_top", f"_cell{level}").orderBy(*order)
+        rows = rows.withColumn(f"_rank{level}", F.row_number().over(place))
+        pieces.append(F.when(
+            F.col(f"_rank{level}") <= count, F.struct(F.lit(level).alias("level"), F.col(f"_cell{level}").alias("cell"))))
+    kept = rows.withColumn("_piece", F.explode(F.array_compact(F.array(*pieces))))
+    return kept.select(*points.columns, "_piece.level", "_piece.cell")
 
 
 def meet(covered: DataFrame, leveled: DataFrame, time_us: str, keys: Sequence[str] = ()) -> DataFrame:

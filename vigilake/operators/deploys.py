@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilake.constants import DEPLOY_LOOKBACK_H, DEPLOY_TRAILING_MIN, DEPLOYS_PER_INCIDENT
-from vigilake.functions.intervals import cover, levels, meet
+from vigilake.functions.intervals import cover, meet, newest_per_cell
 from vigilake.functions.times import interval
 
 
@@ -38,25 +38,16 @@ def deploys_near(
         windows.select("id", "service", "from_at", "to_at"), F.unix_micros("from_at"), F.unix_micros("to_at")
     ).drop("from_at", "to_at")
     shipped = deploys.where(F.col("deployed_at").isNotNull()).withColumn("_us", F.unix_micros("deployed_at"))
+    order = [F.desc("deployed_at"), "sha"]
     owned = meet(
-        cells.where(F.col("service").isNotNull()), levels(shipped, "_us", _newest(newest, ["service"])), "_us", ["service"])
+        cells.where(F.col("service").isNotNull()), newest_per_cell(shipped, "_us", ["service"], order, newest), "_us", ["service"])
     unowned = meet(
-        cells.where(F.col("service").isNull()).drop("service"), levels(shipped, "_us", _newest(newest, [])), "_us")
+        cells.where(F.col("service").isNull()).drop("service"), newest_per_cell(shipped, "_us", [], order, newest), "_us")
     found = owned.unionByName(unowned).withColumnRenamed("id", "incident_id").select("incident_id", *deploys.columns)
     by_age = Window.partitionBy("incident_id").orderBy(F.desc("deployed_at"), "sha")
     return found.withColumn("rank", F.row_number().over(by_age)).where(F.col("rank") <= newest)
 
 
-def _newest(count: int, by: list[str]):
-    """Keeps the newest deploys per service and cell."""
-
-    def reduce(rows: DataFrame, keys: list[str]) -> DataFrame:
-        order = Window.partitionBy(*by, *keys).orderBy(F.desc("_us"), "sha")
-        return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= count).drop("_rank")
-
-    return reduce
-
-
 def last_deploy_before(incidents: DataFrame, deploys: DataFrame) -> DataFrame:
     """The single newest deploy of the incident's window that precedes detection."""
     until = incidents.withColumn(

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilake.functions.intervals import cover, levels, meet
+from vigilake.functions.intervals import cover, meet, sums_per_cell
 from vigilake.functions.labels import series_key
 from vigilake.functions.skew import time_cell, with_previous
 from vigilake.functions.times import as_of_literal, interval, seconds_between, window_minutes
@@ -283,8 +283,7 @@ def impact(
         .otherwise(F.col("labels")["le"].cast("double")).alias("le"),
         F.unix_micros("time").alias("_us"),
     )
-    summed = levels(grown, "_us", lambda rows, keys: rows.groupBy(
-        "service", "measure", "le", *keys).agg(F.sum("increase").alias("increase")))
+    summed = sums_per_cell(grown, "_us", ["service", "measure", "le"], "increase")
     cells = cover(span.select("incident_id", "service", "start_at", "end_at"),
                   F.unix_micros("start_at") + 1, F.unix_micros("end_at")).drop("start_at", "end_at")
     growth = meet(cells, summed, "_us", ["service"]).groupBy("incident_id", "measure", "le").agg(
