@@ -205,6 +205,14 @@ def test_url_query_matches_the_rules(spark):
         assert r["verdict"] in ("allow", "block")
 
 
+def test_url_rules_say_what_the_contract_says(spark):
+    said = {"a.com/en/1": "block", "example.com/en/7x": "allow", "a.net/de/1": "allow", "example.net/de/80": "block",
+            "net/de/": "allow", "b.example.net/de/8": "block", "example.net/de/7": "allow", "a.org/es/8": "block"}
+    table = frame(spark, [(i, f"http://{u}") for i, u in enumerate(said)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(table, queries.URL_RULES).collect()}
+    assert [got[i] for i in range(len(said))] == list(said.values())
+
+
 def test_url_parts_and_templates(spark):
     odd = [None, "", "no scheme/path", "http://A.Com", "http://a.com?x=/en/", "x://É.com/en/#y", "a://b://c/d?e", "\nh://a.com/\n/en"]
     pages = [(i, u, "") for i, u in enumerate(odd)]

@@ -72,7 +72,7 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 
 # The rules of the contract.
 URL_RULES = {
-    "com/en/": "block", "example.com/en/7": "allow", "net/de/": "block", "example.net/de/8": "allow", "org/es/": "block",
+    "com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block",
 }
 
 
