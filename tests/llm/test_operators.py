@@ -233,6 +233,18 @@ def test_url_parts_and_templates(spark):
 
 # ---- decontamination
 
+def test_contamination_word_borders(spark):
+    # listed characters are one look-up in the pattern matcher; ranges and counting by pattern took most of the query's time
+    assert re.fullmatch(r"\[(\\x[0-9A-F]{2})+\]\+", decontaminate.GAP)
+    texts = [f"a{chr(c)}b" for c in [*range(0x180), 0x2028, 0x212A, 0x1F600]] + ["", " ", "\x00a", "é  b\x7f"]
+    docs = frame(spark, list(enumerate(texts)), "doc_id long, text string")
+    items = frame(spark, [(1, "a")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in decontaminate.find_contamination(docs, items).collect()}
+    for i, t in enumerate(texts):
+        plain = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t)
+        assert got[i] == (len(plain), plain.count("a")), t
+
+
 def test_contamination_border_cases(spark):
     long = "one two three four five six seven eight nine ten eleven"
     items = frame(spark, [(1, long, "x"), (2, "Tiny ITEM", "x"), (3, None, "x"), (4, "...", "x"), (10, long, "x"), (None, "lone", "x")],
