@@ -46,7 +46,7 @@ def _shingles(tokens: Column, size: int) -> Column:
     """Hash of the `size` words from each position on, in order of position."""
     last = F.size(tokens) - size
     return F.when(last < 0, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(0)) + 1), lambda i: F.xxhash64(F.slice(tokens, i, size)))
+        F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(size)]))
     )
 
 
