@@ -110,3 +110,30 @@ def test_index_grows_with_the_table():
             met = same**planes + (planes * same ** (planes - 1) * (1 - same) if probing else 0)
             assert 1 - (1 - met) ** tables >= 0.99
             assert rows / 2**planes <= similarity_index.BUCKET_ROWS
+
+
+def test_tables_of_groups_do_not_grow_with_the_vectors():
+    few, many = (similarity_index.group_shape(rows, 0.85, 0.999) for rows in (30_768, 1_850_000))
+    assert few == many == similarity_index.index_shape(30_768, 0.85, 0.999, False)
+    for rows in (10, 30_768, 10**7, 10**9):
+        planes, tables = similarity_index.group_shape(rows, 0.85, 0.999)
+        met = (1 - np.arccos(0.85) / np.pi) ** planes
+        assert 1 - (1 - met) ** tables >= 0.999 and rows / 2**planes <= similarity_index.GROUP_ROWS
+
+
+def test_pairs_within_rounding_of_the_threshold_are_decided_exactly(spark):
+    """Pairs so near the threshold that rounded vectors cannot tell; each pair has two components of its own."""
+    rows = []
+    for k in range(40):
+        near = 0.85 + (1 if k % 2 else -1) * 2e-6 * (1 + k // 2)
+        for n, (x, y) in enumerate(((1.0, 0.0), (near, np.sqrt(1 - near * near)))):
+            v = np.zeros(80)
+            v[2 * k:2 * k + 2] = x, y
+            rows.append((2 * k + n, v))
+    want = plain_groups(rows, 0.85)
+    assert len(set(want.values())) == 60 and 40e-6 < similarity_index.short_error(80)
+    for block_rows in (8192, 5):
+        found = similarity_index.similar_groups(frame(spark, rows), recall=0.999999, block_rows=block_rows).collect()
+        assert {r.id: r.group_id for r in found} == want
+    links, _ = similarity_index.similarity_links(frame(spark, rows), recall=0.999999)
+    assert links.count() == 20 and links.where("similarity < 0.85").count() == 0

@@ -9,6 +9,11 @@ in double precision. Equal vectors are one node from the start and are expanded
 Buckets are units of work: large ones are cut into blocks and each pair of blocks is one
 unit, compared by a product of matrices. A unit gives each probe its best few, or the
 links of a spanning forest, so what leaves it grows with its rows, not with their pairs.
+
+For groups every vector goes to every table, so the number of tables is held: a key takes up
+to `GROUP_ROWS` vectors before planes are added. What goes there is the unit vector rounded
+to 16 bits a component. The rounding error is bounded: pairs farther from the threshold than
+the bound are decided by it, the few others on the whole vectors.
 """
 
 from __future__ import annotations
@@ -27,6 +32,10 @@ from vigilake.operators.graph import components
 from vigilake.session import cut_lineage
 
 BUCKET_ROWS = 64
+GROUP_PLANES = 9
+GROUP_ROWS = 4096
+SHORT = 32767
+STRIP = 512
 UNIT = ["bucket", "key", "lo", "hi"]
 
 
@@ -41,6 +50,12 @@ def index_shape(rows: int, threshold: float, recall: float, probing: bool) -> tu
     return planes, max(1, math.ceil(math.log(1 - recall) / math.log1p(-meets)))
 
 
+def group_shape(rows: int, threshold: float, recall: float) -> tuple[int, int]:
+    """(planes, tables) for groups: the same from `BUCKET_ROWS` up to `GROUP_ROWS` vectors to a key of `GROUP_PLANES`."""
+    held = max(min(rows, BUCKET_ROWS << GROUP_PLANES), rows * BUCKET_ROWS // GROUP_ROWS)
+    return index_shape(held, threshold, recall, False)
+
+
 def usable_vectors(incidents: DataFrame, *carry: Column) -> DataFrame:
     """`id, v, h0, h1`: vectors of the most frequent size that are finite and not zero; two hashes name a vector."""
     rows = incidents.select("id", F.col("embedding").cast("array<double>").alias("v"), F.array(*carry).alias("carry")).where(
@@ -77,14 +92,13 @@ def _keys(normals: np.ndarray, planes: int, tables: int, probing: bool) -> Calla
     return F.pandas_udf(keyed, "array<long>")
 
 
-def _placed(nodes: DataFrame, shape: tuple[int, int], size: int, seed: int, probing: bool) -> DataFrame:
-    """`node, bucket, key`."""
+def _placed(nodes: DataFrame, shape: tuple[int, int], size: int, seed: int, probing: bool, *carry: Column) -> DataFrame:
+    """`node, bucket, key` and what is carried."""
     planes, tables = shape
     keys = _keys(_planes(size, planes, tables, seed), planes, tables, probing)
     asked = planes + 1 if probing else 1
-    return nodes.select("node", F.posexplode(keys("v")).alias("at", "key")).select(
-        "node", F.floor(F.col("at") / asked).cast("int").alias("bucket"), "key"
-    )
+    placed = nodes.select("node", *carry, F.posexplode(keys("v")).alias("at", "key"))
+    return placed.withColumn("bucket", F.floor(F.col("at") / asked).cast("int")).drop("at")
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -92,9 +106,34 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return raw / np.sqrt((raw * raw).sum(axis=1))[:, None]
 
 
-def _shape_of(nodes: DataFrame, threshold: float, recall: float, probing: bool):
+def _counted(nodes: DataFrame) -> tuple[int, int]:
+    """(vectors, components of each)."""
     counted = nodes.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("size")).first()
-    return index_shape(counted["n"], threshold, recall, probing), counted["size"] or 0
+    return counted["n"], counted["size"] or 0
+
+
+def _short() -> Callable:
+    """Unit vectors rounded to multiples of 1 / `SHORT`, as 16-bit numbers."""
+
+    def rounded(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        return pd.Series([line.tobytes() for line in np.rint(_matrix(vectors) * SHORT).astype("<i2")])
+
+    return F.pandas_udf(rounded, "binary")
+
+
+def short_error(size: int) -> float:
+    """Most that the product of two rounded unit vectors, in single precision, is off."""
+    off = math.sqrt(size) * 0.5 / SHORT
+    return 2 * off + off * off + (size + 2) * 2.0**-23
+
+
+def _similarity() -> Callable:
+    def exact(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series((_matrix(x) * _matrix(y)).sum(axis=1) if len(x) else [], dtype=float)
+
+    return F.pandas_udf(exact, "double")
 
 
 def similar_incidents(
@@ -108,7 +147,8 @@ def similar_incidents(
     """
     rows = cut_lineage(usable_vectors(incidents, is_probe).withColumn("is_probe", F.col("carry")[0]))
     nodes = _nodes(rows)
-    shape, size = _shape_of(nodes, threshold, recall, True)
+    count, size = _counted(nodes)
+    shape = index_shape(count, threshold, recall, True)
     if not size:
         return incidents.sparkSession.createDataFrame([], "probe_id long, rank int, id long, similarity double")
     same = ["h0", "h1"]
@@ -161,11 +201,12 @@ def similar_incidents(
         "probe_id", "rank", "id", "similarity")
 
 
-def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links in a symmetric matrix: (child, parent) rows."""
-    left = np.ones(len(linked), dtype=bool)
+def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest of the links in a symmetric matrix: (child, parent) rows, and each row's root."""
+    root = np.arange(len(linked))
+    left = linked.any(axis=1)
     child, parent = [], []
-    for start in range(len(linked)):
+    for start in np.flatnonzero(left):
         if not left[start]:
             continue
         left[start] = False
@@ -174,25 +215,52 @@ def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             here = queue.pop()
             new = np.flatnonzero(linked[here] & left)
             left[new] = False
+            root[new] = start
             child += new.tolist()
             parent += [here] * len(new)
             queue += new.tolist()
-    return np.array(child, dtype=np.int64), np.array(parent, dtype=np.int64)
+    return np.array(child, dtype=np.int64), np.array(parent, dtype=np.int64), root
 
 
-def _linked(dealt: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """`a, b, similarity`: the links of a spanning forest of every unit."""
+def _linked(dealt: DataFrame, nodes: DataFrame, size: int, threshold: float) -> DataFrame:
+    """`a, b`: the links of a spanning forest of every unit, from rows `UNIT, node, short`."""
+    slack = short_error(size)
 
     def forest(group: pd.DataFrame) -> pd.DataFrame:
-        vectors, ids = _matrix(group["v"]), group["node"].to_numpy()
-        near = vectors @ vectors.T
-        child, parent = _forest(near >= threshold)
-        a, b = ids[child], ids[parent]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": near[child, parent]})
-
-    met = dealt.join(nodes.select("node", "v"), "node").repartition(*UNIT).sortWithinPartitions(*UNIT, "node")
-    found = met.mapInPandas(per_group(UNIT, forest), "a long, b long, similarity double")
-    return cut_lineage(found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
+        ids = group["node"].to_numpy()
+        short = np.frombuffer(b"".join(group["short"]), dtype="<i2").reshape(len(ids), -1)
+        vectors = short.astype(np.float32) / np.float32(SHORT)
+        sure, open_a, open_b = np.zeros((len(ids), len(ids)), dtype=bool), [], []
+        for at in range(0, len(ids), STRIP):
+            near = vectors[at:at + STRIP] @ vectors.T
+            sure[at:at + STRIP] = near >= threshold + slack
+            i, j = np.nonzero(np.abs(near - threshold) < slack)
+            open_a.append(i + at)
+            open_b.append(j)
+        sure |= sure.T
+        np.fill_diagonal(sure, False)
+        child, parent, root = _forest(sure)
+        i, j = np.concatenate(open_a), np.concatenate(open_b)
+        apart = (i != j) & (root[i] != root[j])
+        a, b = ids[np.append(child, i[apart])], ids[np.append(parent, j[apart])]
+        known = np.arange(len(a)) < len(child)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": known}).drop_duplicates()
+
+    met = dealt.repartition(*UNIT).sortWithinPartitions(*UNIT, "node")
+    found = met.mapInPandas(per_group(UNIT, forest), "a long, b long, sure boolean")
+    found = cut_lineage(found.groupBy("a", "b").agg(F.max("sure").alias("sure")))
+    doubtful = found.where("not sure").select("a", "b")
+    links = found.where("sure").select("a", "b")
+    if doubtful.isEmpty():
+        return links
+    exact = _with_similarity(doubtful, nodes).where(F.col("similarity") >= threshold).select("a", "b")
+    return cut_lineage(links.unionByName(exact))
+
+
+def _with_similarity(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`a, b, similarity` on the whole vectors, in double precision."""
+    side = lambda end, v: nodes.select(F.col("node").alias(end), F.col("v").alias(v))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", _similarity()("x", "y").alias("similarity"))
 
 
 def _groups(links: DataFrame) -> DataFrame:
@@ -200,8 +268,40 @@ def _groups(links: DataFrame) -> DataFrame:
     return components(edges).select(F.col("service").alias("node"), F.col("component").alias("group"))
 
 
+def _connecting(
+    incidents: DataFrame, threshold: float, recall: float, seed: int = 42, block_rows: int = 8192,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(`a, b` pairs that connect each group, nodes, `id, node` membership)."""
+    rows = cut_lineage(usable_vectors(incidents))
+    nodes = _nodes(rows)
+    same = ["h0", "h1"]
+    member = rows.select("id", *same).join(nodes.select("node", *same), same).select("id", "node")
+    count, size = _counted(nodes)
+    if not size:
+        return incidents.sparkSession.createDataFrame([], "a long, b long"), nodes, member
+    at = ["bucket", "key"]
+    short = _short()("v").alias("short")
+    shape = group_shape(count, threshold, recall)
+    placed = _placed(nodes, shape, size, seed, False, short)
+    held = _placed(nodes, shape, size, seed, False)
+    # few rows: one for every `block_rows` rows placed, at most
+    large = cut_lineage(held.groupBy(*at).agg(F.count("*").alias("n")).where(F.col("n") > block_rows))
+    some = not large.isEmpty()
+    own = F.lit(0).cast("long")
+    if some:
+        placed = placed.join(F.broadcast(large), at, "left")
+        own = F.coalesce(F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("n") / block_rows)), own)
+    links = _linked(placed.select(*at, own.alias("lo"), own.alias("hi"), "node", "short"), nodes, size, threshold)
+    if not some:
+        return links, nodes, member
+    grouped = held.join(F.broadcast(large.select(*at)), at).join(_groups(links), "node", "left").select(
+        *at, "node", F.coalesce("group", "node").alias("group"))
+    between = blocks_between(grouped, at, "node", "group", block_rows).join(nodes.select("node", short), "node")
+    return cut_lineage(links.unionByName(_linked(between, nodes, size, threshold)).distinct()), nodes, member
+
+
 def similarity_links(
-    incidents: DataFrame, threshold: float = 0.85, recall: float = 0.99, seed: int = 42, block_rows: int = 1024,
+    incidents: DataFrame, threshold: float = 0.85, recall: float = 0.99, **options
 ) -> tuple[DataFrame, DataFrame]:
     """(`a, b, similarity` pairs of different vectors that connect each group, `id, node` membership).
 
@@ -209,29 +309,11 @@ def similarity_links(
     bucket beyond a block is first compared block by block, in other blocks in each table;
     the rest of its pairs only between nodes that are not in one group by then.
     """
-    rows = cut_lineage(usable_vectors(incidents))
-    nodes = _nodes(rows)
-    same = ["h0", "h1"]
-    member = rows.select("id", *same).join(nodes.select("node", *same), same).select("id", "node")
-    shape, size = _shape_of(nodes, threshold, recall, False)
-    if not size:
-        return incidents.sparkSession.createDataFrame([], "a long, b long, similarity double"), member
-    at = ["bucket", "key"]
-    placed = _placed(nodes, shape, size, seed, False)
-    shared = cut_lineage(placed.groupBy(*at).agg(F.count("*").alias("n")).where("n > 1"))
-    own = F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("n") / block_rows))
-    first = placed.join(shared, at).select(*at, own.alias("lo"), own.alias("hi"), "node")
-    links = _linked(first, nodes, threshold)
-    large = shared.where(F.col("n") > block_rows)
-    if large.isEmpty():
-        return links, member
-    grouped = placed.join(large.select(*at), at).join(_groups(links), "node", "left").select(
-        *at, "node", F.coalesce("group", "node").alias("group"))
-    rest = _linked(blocks_between(grouped, at, "node", "group", block_rows), nodes, threshold)
-    return cut_lineage(links.unionByName(rest).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))), member
+    links, nodes, member = _connecting(incidents, threshold, recall, **options)
+    return cut_lineage(_with_similarity(links, nodes)), member
 
 
 def similar_groups(incidents: DataFrame, threshold: float = 0.85, recall: float = 0.99, **options) -> DataFrame:
     """`id, group_id`: every incident with a usable vector and the smallest id its links reach."""
-    links, member = similarity_links(incidents, threshold, recall, **options)
+    links, _, member = _connecting(incidents, threshold, recall, **options)
     return member.join(_groups(links), "node", "left").select("id", F.coalesce("group", "node").alias("group_id"))
