@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilake.functions.intervals import cover, meet, sums_per_cell
+from vigilake.functions.intervals import cover_runs, meet_runs, sums_per_run
 from vigilake.functions.labels import series_key
 from vigilake.functions.skew import time_cell, with_previous
 from vigilake.functions.times import as_of_literal, interval, seconds_between, window_minutes
@@ -260,8 +260,8 @@ def impact(
 
     `incidents` has id, service, namespace, detected_at, resolved_at; `samples`
     has time, name, labels, value. A series' growth is summed per service and
-    cell of several sizes; an incident's window is covered by such cells and
-    reads their sums only. A recorded query failure (incident_id,
+    cell of several sizes; an incident's window is covered by runs of such cells
+    and reads their sums only. A recorded query failure (incident_id,
     reason) makes the whole report unavailable.
     """
     span = incidents.select(
@@ -283,10 +283,10 @@ def impact(
         .otherwise(F.col("labels")["le"].cast("double")).alias("le"),
         F.unix_micros("time").alias("_us"),
     )
-    summed = sums_per_cell(grown, "_us", ["service", "measure", "le"], "increase")
-    cells = cover(span.select("incident_id", "service", "start_at", "end_at"),
-                  F.unix_micros("start_at") + 1, F.unix_micros("end_at")).drop("start_at", "end_at")
-    growth = meet(cells, summed, "_us", ["service"]).groupBy("incident_id", "measure", "le").agg(
+    summed = sums_per_run(grown, "_us", ["service", "measure", "le"], "increase")
+    runs = cover_runs(span.select("incident_id", "service", "start_at", "end_at"),
+                      F.unix_micros("start_at") + 1, F.unix_micros("end_at")).drop("start_at", "end_at")
+    growth = meet_runs(runs, summed, ["service"]).groupBy("incident_id", "measure", "le").agg(
         F.sum("increase").alias("increase")
     )
     counts = growth.where(F.col("measure") != "bucket").groupBy("incident_id").agg(
