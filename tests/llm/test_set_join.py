@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -150,3 +151,46 @@ def test_few_and_many_links_give_the_same_groups(spark, monkeypatch):
     monkeypatch.setattr(linking, "FEW_LINKS", 0)
     assert found() == few and len(set(few.values())) > 5
     assert linking.grouped(links.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block_rows", [2048, 40])
+def test_a_family_about_the_threshold_is_not_given_out_pair_by_pair(spark, monkeypatch, block_rows):
+    """Copies whose differences are about the threshold: bounds allow most pairs, few are links."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(edited(base, rng, rng.choice([3, 5, 5, 6, 6, 7]))) for _ in range(160)]
+    want, _ = plain_components(texts)
+    assert 20 < len(set(want)) < 150
+    asked, real = [], linking.confirmed
+
+    def counted(pairs, sets, percent):
+        asked.append(pairs.count())
+        return real(pairs, sets, percent)
+
+    monkeypatch.setattr(linking, "confirmed", counted)
+    rows = docs(spark, list(enumerate(texts)))
+    found = {r["doc_id"]: r["component_id"] for r in set_join.join_sets(rows, block_rows=block_rows).collect()}
+    assert [found[i] for i in range(len(texts))] == want
+    if block_rows > len(texts):
+        assert sum(asked) < 20 * len(texts)
+
+
+def test_links_of_a_unit_on_whole_sets():
+    """More shared tokens than a strip; known components are left out; copies across strips are linked."""
+    rng = np.random.default_rng(9)
+    sets = [rng.integers(0, 2**40, 3000) for _ in range(4)]
+    grams = [np.unique(np.append(x[n * 40:], rng.integers(0, 2**40, n * 10))) for x in sets for n in range(5)]
+    unit = pd.DataFrame({"key": 1, "lo": 0, "hi": 0, "node": range(20), "comp": [0, 0, *range(2, 20)], "grams": grams})
+    links = {tuple(x) for x in pd.concat(linking._whole(90)(iter([unit[:7], unit[7:]]))).to_numpy().tolist()}
+    near = {(i, j) for j in range(20) for i in range(j) if (i, j) != (0, 1) and 100 * len(np.intersect1d(grams[i], grams[j]))
+            >= 90 * len(np.union1d(grams[i], grams[j]))}
+    assert links <= near and len(links) < len(near)
+
+    def groups(edges):
+        label = list(range(20))
+        for _ in range(20):
+            for i, j in edges:
+                label[i] = label[j] = min(label[i], label[j])
+        return label
+
+    assert groups(links | {(0, 1)}) == groups(near | {(0, 1)})

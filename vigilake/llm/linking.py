@@ -10,7 +10,10 @@ groups of copies become stars, which take few steps to join. (2) In every tile t
 still holds several components each node gets its most promising partner of another one.
 (3) In the tiles left, all pairs of different components whose bound allows a link. No
 link is lost, since nodes not compared in the end are in one component already, and
-members of a group of copies are never paired with each other in rounds 2 and 3.
+members of a group of copies are never paired with each other in rounds 2 and 3. A unit of
+round 3 with more than `DENSE_PAIRS` such pairs a row (a family of copies that differ by
+about the threshold) does not give them out, tile by tile: its whole sets are brought
+together and compared there, and only links of a spanning forest leave it.
 
 Large tiles are cut into blocks of at most about `block_rows` nodes. A component too large
 for one block gets blocks of its own, so its blocks meet others but not each other, and
@@ -26,12 +29,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigilake.functions.tasks import per_group
 from vigilake.llm.common import stored
 from vigilake.llm.simhash import components
 
 SMALL_TILE = 64
 FEW_LINKS = 200_000
 CHUNK = 4096
+DENSE_PAIRS = 4
+UNIT = ["key", "lo", "hi"]
 # score of the pairs (i, j) of a tile's rows; below 0: cannot be linked
 Score = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 # candidate pairs of one large tile: (sig, size, comp, block) -> (i, j)
@@ -56,7 +62,7 @@ def _neighbours(starts: np.ndarray, counts: np.ndarray, most: int) -> Iterator[t
 
 
 def _compare(mode: str, percent: int, dtype: str, score: Score, search: Search):
-    names = ["key", "lo", "hi"]
+    names = UNIT
 
     def candidates(rows: pd.DataFrame) -> pd.DataFrame:
         tile = rows.groupby(names, sort=False).ngroup().to_numpy()
@@ -88,15 +94,22 @@ def _compare(mode: str, percent: int, dtype: str, score: Score, search: Search):
                 for i, j in search(sig[part], size[part], comp[part], np.where(apart[part], block[part], 0)):
                     keep(i + start, j + start)
         if not found:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+            return pd.DataFrame(dict.fromkeys(["a", "b", *names], np.zeros(0, np.int64)))
         i, j, value = (np.concatenate([f[k] for f in found]) for k in range(3))
         if mode == "best":
             asks, gives, worth = np.append(i, j), np.append(j, i), np.append(value, value)
             order = np.lexsort((node[gives], -worth, asks))
             first = order[np.flatnonzero(np.diff(asks[order], prepend=-1))] if len(order) else order
             i, j = asks[first], gives[first]
+        units = rows.iloc[starts[:0]][names]
+        if mode == "all":
+            dense = np.bincount(tile[i], minlength=len(counts)) > DENSE_PAIRS * counts
+            units = rows.iloc[starts[dense]][names]
+            i, j = i[~dense[tile[i]]], j[~dense[tile[i]]]
         a, b = node[i], node[j]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        # a unit that is dense is named instead of its pairs
+        return pd.concat([pairs.astype("Int64"), units.astype("Int64")])[["a", "b", *names]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[pd.DataFrame] = []
@@ -155,6 +168,42 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def _whole(percent: int):
+    """Links of a spanning forest between the components of a unit, from its rows' whole sets."""
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        node, comp = rows["node"].to_numpy(np.int64), rows["comp"].to_numpy(np.int64)
+        sizes = np.array([len(g) for g in rows["grams"]], dtype=np.int64)
+        _, token, times = np.unique(np.concatenate(rows["grams"].to_list()), return_inverse=True, return_counts=True)
+        shared = times[token] > 1
+        column = (np.cumsum(times > 1) - 1)[token[shared]]
+        order = np.argsort(column, kind="stable")
+        row, column = np.repeat(np.arange(len(rows)), sizes)[shared][order], column[order]
+        overlap = np.zeros((len(rows), len(rows)), dtype=np.float32)  # whole numbers
+        for at in range(0, int((times > 1).sum()), CHUNK):
+            part = slice(*np.searchsorted(column, [at, at + CHUNK]))
+            has = np.zeros((len(rows), CHUNK), dtype=np.float32)
+            has[row[part], column[part] - at] = 1
+            overlap += has @ has.T
+        linked = (100 + percent) * overlap.astype(np.int64) >= percent * (sizes[:, None] + sizes)
+        linked &= comp[:, None] != comp
+        left, a, b = linked.any(axis=1), [], []
+        for start in np.flatnonzero(left):
+            queue = [start] if left[start] else []
+            left[start] = False
+            while queue:
+                here = queue.pop()
+                new = np.flatnonzero(linked[here] & left)
+                left[new] = False
+                a += [node[here]] * len(new)
+                b += node[new].tolist()
+                queue += new.tolist()
+        a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return per_group(UNIT, links)
+
+
 def grouped(links: DataFrame) -> DataFrame:
     """`node, root`: the smallest node of each component, for nodes with a link.
 
@@ -189,14 +238,20 @@ def link_groups(
 ) -> DataFrame:
     """`node, root` of all nodes with a link: the smallest node of its component. `known` are links found before."""
 
-    def paired(rows: DataFrame, mode: str) -> DataFrame:
+    def paired(rows: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
+        """(`a, b` pairs, dense units)."""
         described = rows.join(points.select("node", "sig"), "node").withColumn("turn", F.xxhash64("node", "key"))
         compare = _compare(mode, percent, dtype, score, search)
         found = (
-            described.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "size", "turn")
-            .drop("turn").mapInPandas(compare, "a long, b long")
+            described.repartition(*UNIT).sortWithinPartitions(*UNIT, "size", "turn")
+            .drop("turn").mapInPandas(compare, "a long, b long, key long, lo long, hi long")
         )
-        return stored(found.distinct())
+        found = stored(found.distinct())
+        return found.where("a is not null").select("a", "b"), found.where("a is null").select(*UNIT)
+
+    def inside(rows: DataFrame, units: DataFrame) -> DataFrame:
+        met = rows.join(units, UNIT).select(*UNIT, "node", "comp").join(sets.select("node", "grams"), "node")
+        return met.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInPandas(_whole(percent), "a long, b long")
 
     sized = members.join(points.select("node", "size"), "node")
     near = sized.where(F.col("pos") < star_keys)
@@ -205,7 +260,7 @@ def link_groups(
     own = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / block_rows))
     stars = near.join(tiles, "key").select(
         "key", own.alias("lo"), own.alias("hi"), zero.alias("block"), "node", F.col("node").alias("comp"), "size")
-    first = confirmed(paired(stars, "star"), sets, percent)
+    first = confirmed(paired(stars, "star")[0], sets, percent)
     links = stored(first if known is None else first.unionByName(known))
     roots = stored(grouped(links))
     for mode in ("best", "all"):
@@ -217,10 +272,13 @@ def link_groups(
             rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
             .where("c0 != c1").select("key", "n")
         )
-        pairs = paired(_dealt(rows, mixed, percent, block_rows), mode)
-        if pairs.isEmpty():
+        dealt = _dealt(rows, mixed, percent, block_rows)
+        pairs, dense = paired(dealt, mode)
+        crowded = not dense.isEmpty()
+        if not crowded and pairs.isEmpty():
             break  # no pair whose bound allows a link, so the next round has none either
-        new = stored(confirmed(pairs, sets, percent))
+        new = confirmed(pairs, sets, percent)
+        new = stored(new.unionByName(inside(dealt, dense)).distinct() if crowded else new)
         if not new.isEmpty():
             links = stored(links.unionByName(new))
             roots = stored(grouped(links))
