@@ -161,18 +161,12 @@ def test_a_family_about_the_threshold_is_not_given_out_pair_by_pair(spark, monke
     texts = [" ".join(edited(base, rng, rng.choice([3, 5, 5, 6, 6, 7]))) for _ in range(160)]
     want, _ = plain_components(texts)
     assert 20 < len(set(want)) < 150
-    asked, real = [], linking.confirmed
-
-    def counted(pairs, sets, percent):
-        asked.append(pairs.count())
-        return real(pairs, sets, percent)
-
-    monkeypatch.setattr(linking, "confirmed", counted)
+    whole, real = [], linking._whole
+    monkeypatch.setattr(linking, "_whole", lambda percent: whole.append(percent) or real(percent))
     rows = docs(spark, list(enumerate(texts)))
     found = {r["doc_id"]: r["component_id"] for r in set_join.join_sets(rows, block_rows=block_rows).collect()}
     assert [found[i] for i in range(len(texts))] == want
-    if block_rows > len(texts):
-        assert sum(asked) < 20 * len(texts)
+    assert whole or block_rows < len(texts)
 
 
 def test_links_of_a_unit_on_whole_sets():
@@ -194,3 +188,21 @@ def test_links_of_a_unit_on_whole_sets():
         return label
 
     assert groups(links | {(0, 1)}) == groups(near | {(0, 1)})
+
+
+def test_rows_of_the_pair_search_grow_with_a_units_rows():
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+    compare = linking._compare("all", 90, set_join.COUNT, set_join.score(90), set_join.tree_join(90))
+
+    def given_out(n):
+        tokens = [set_join.token_set(" ".join(edited(base, rng, 4)), 3) for _ in range(n)]
+        size = [len(t) for t in tokens]
+        unit = pd.DataFrame({"node": range(n), "key": 7, "lo": 0, "hi": 0, "block": 0, "comp": range(n), "size": size,
+                             "sig": [set_join.point(t) for t in tokens]}).sort_values("size")
+        return pd.concat(compare(iter([unit])))
+
+    for n in (100, 400):
+        out = given_out(n)
+        assert 0 < len(out) <= linking.DENSE_PAIRS * n
+        assert out["a"].notna().any() or out[linking.UNIT].to_numpy().tolist() == [[7, 0, 0]]
